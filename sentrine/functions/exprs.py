@@ -158,7 +158,7 @@ def flatten_numbers(payload: Column) -> Column:
     """Every number in a JSON text, those inside strings and keys too, and sizes of arrays of scalars."""
     numbers = F.transform(extract_quantities(payload), lambda q: F.abs(q["value"]))
     lists = F.regexp_extract_all(payload, F.lit(r"\[([^\[\]{}]*)\]"), F.lit(1))
-    items = F.transform(lists, lambda s: F.when(F.trim(s) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(s, ","), F.trim)))
+    items = F.transform(lists, lambda s: F.when(F.trim(s) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(s, ","), lambda x: F.trim(x))))
     sizes = F.transform(items, lambda a: F.size(a).cast("double"))
     distinct = F.transform(items, lambda a: F.size(F.array_distinct(a)).cast("double"))
     return F.array_sort(F.array_distinct(F.concat(numbers, sizes, distinct)))

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from sentrine.config import DEFAULT, EngineConfig
 from sentrine.functions.exprs import haversine_km, java_round
 
-USER = Window.partitionBy("user_id")
-IN_ORDER = USER.orderBy("seq")
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+def _user():
+    return Window.partitionBy("user_id")
+
+
+def _in_order():
+    return _user().orderBy("seq")
+
+
+def _before():
+    return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def velocity_features(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -23,7 +31,7 @@ def velocity_features(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
         b = size // 60
         bucket = F.col("ts_ms") - F.pmod("ts_ms", F.lit(b))
         out = out.withColumn("_b", bucket)
-        frame = USER.orderBy("_b").rangeBetween(-(size - b), 0)
+        frame = _user().orderBy("_b").rangeBetween(-(size - b), 0)
         later = Window.partitionBy("user_id", "_b").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
         out = out.withColumn(f"cnt{name}", (F.count("*").over(frame) - F.count("*").over(later)).cast("long"))
         out = out.withColumn(f"sum{name}", F.sum("amount").over(frame) - F.coalesce(F.sum("amount").over(later), F.lit(0.0)))
@@ -32,14 +40,14 @@ def velocity_features(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 def amount_zscore(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``amt_z`` against the user's earlier amounts; 0 with few of them or hardly any spread."""
-    n, std = F.count("amount").over(BEFORE), F.stddev_samp("amount").over(BEFORE)
-    z = (F.col("amount") - F.avg("amount").over(BEFORE)) / F.when(std > 0, std)
+    n, std = F.count("amount").over(_before()), F.stddev_samp("amount").over(_before())
+    z = (F.col("amount") - F.avg("amount").over(_before())) / F.when(std > 0, std)
     return t.withColumn("amt_z", F.when((n >= cfg.min_samples) & (std >= cfg.min_std), java_round(z, 2)).otherwise(0.0))
 
 
 def geo_features(t: DataFrame) -> DataFrame:
     """``secs_since, gap_s, distance_km, speed_kmh`` against the payment before; -1 seconds and nulls without one."""
-    was = lambda c: F.lag(c).over(IN_ORDER)
+    was = lambda c: F.lag(c).over(_in_order())
     out = t.withColumns({"_lat": was("lat"), "_lon": was("lon"), "_ms": was("ts_ms")})
     gap = F.col("ts_ms") - F.col("_ms")
     out = out.withColumns({
@@ -81,7 +89,7 @@ def profile_snapshot(t: DataFrame) -> DataFrame:
 
 def recent_decisions(decisions: DataFrame, now_ms: int, hours: int, cap: int = DEFAULT.history_cap) -> DataFrame:
     """The newest ``cap`` of each user first, then those strictly newer than the cutoff; null times stay."""
-    newest = USER.orderBy(F.col("ts_ms").desc_nulls_first(), F.col("seq").desc())
+    newest = _user().orderBy(F.col("ts_ms").desc_nulls_first(), F.col("seq").desc())
     ranked = decisions.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= cap)
     return ranked.where(F.col("ts_ms").isNull() | (F.col("ts_ms") > now_ms - hours * 3_600_000))
 
@@ -95,7 +103,7 @@ def user_history(t: DataFrame, decisions: DataFrame, now_ms: int, hours: int) ->
 
 def history_view(decisions: DataFrame, most: int = 5) -> DataFrame:
     """Per account: number of decisions and the newest five as structs."""
-    newest = USER.orderBy(F.desc("seq"))
+    newest = _user().orderBy(F.desc("seq"))
     top = decisions.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= most)
     latest = F.array_sort(F.collect_list(F.struct("_r", "verdict", F.round("ml_score", 4).alias("score"))))
     return decisions.groupBy("user_id").agg(F.count("*").alias("in_period")).join(top.groupBy("user_id").agg(latest.alias("latest")), "user_id")
