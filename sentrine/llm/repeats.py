@@ -43,6 +43,11 @@ def _windows(g: dict[int, np.ndarray], lo: np.ndarray) -> np.ndarray:
     return _joined(_joined(g[64][lo], g[32][lo + 64]), g[4][lo + 96])
 
 
+def _cores(g: dict[int, np.ndarray], lo: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the 70 bytes that start at ``lo``."""
+    return _joined(_joined(g[64][lo], g[4][lo + 64]), g[2][lo + 68])
+
+
 def _chunks(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """(start, bytes) of pieces of a text that overlap by 99, so that each 100-byte string is in exactly one."""
     for at in range(0, len(raw) - WIDTH + 1, CHUNK):
@@ -50,10 +55,13 @@ def _chunks(raw: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def runs(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per chunk: key (hash of the sample gram), context (hash of all bytes of the run), first start, number of starts."""
+    """Per chunk, for each run of strings: key (hash of the sample gram), context (hash of all its bytes) and place.
+
+    A place is one integer: the first start, the number of starts and how far the sample gram lies behind the first.
+    """
     for base, piece in _chunks(raw):
         g = _powers(piece, 64)
-        val = _joined(g[32][:-8], g[8][32:]) if GRAM == 40 else None
+        val = _joined(g[32][:-8], g[8][32:])
         gram, span = val, WIDTH - GRAM + 1
         at, n = np.arange(len(val)), 1
         while 2 * n <= span:
@@ -67,7 +75,7 @@ def runs(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         count = np.diff(np.concatenate([lo, [len(at)]]))
         size = count + WIDTH - 1
         context = _joined(_joined(g[64][lo], g[64][lo + (size - 64) // 2]), _joined(g[64][lo + size - 64], size.astype(np.uint64)))
-        yield gram[at[lo]].view(np.int64), context.view(np.int64), lo + base, count
+        yield gram[at[lo]].view(np.int64), context.view(np.int64), ((lo + base) << 16) | (count << 8) | (at[lo] - lo)
 
 
 def _raw(text) -> bytes:
@@ -98,42 +106,69 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     yield pd.DataFrame({
                         "key": np.concatenate([x[1] for x in out]), "context": np.concatenate([x[2] for x in out]),
                         "doc_id": np.repeat([x[0] for x in out], [len(x[1]) for x in out]),
-                        "lo": np.concatenate([x[3] for x in out]), "n": np.concatenate([x[4] for x in out]).astype(np.int32),
+                        "place": np.concatenate([x[3] for x in out]),
                     })
 
-    schema = "key long, context long, doc_id long, lo long, n int"
+    schema = "key long, context long, doc_id long, place long"
     spark = docs.sparkSession
     twice = materialize(known.mapInPandas(scan, schema).select("key").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
     release(spark)
     shared = materialize(known.mapInPandas(scan, schema).join(twice, "key"))
     release(spark)
-    classes = materialize(shared.groupBy("key", "context").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.max("n").alias("n"), F.count("*").alias("c")))
+    classes = materialize(shared.groupBy("key", "context").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("c")))
     many = materialize(classes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
     copies = shared.join(classes.where("c > 1").select("key", "context", "first"), ["key", "context"])
-    whole = materialize(copies.where(F.struct("doc_id", "lo") != F.col("first")).select("doc_id", "lo", "n"))
-    open_ = classes.join(many, "key", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.lo").alias("lo"), "n")
-    todo = open_.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    size = F.shiftright("place", 8).bitwiseAND(F.lit(255).cast("long"))
+    whole = copies.where(F.struct("doc_id", "place") != F.col("first")).select("doc_id", F.shiftright("place", 16).alias("lo"), size.cast("int").alias("n"))
+    whole = materialize(whole)
+    open_ = classes.join(many, "key", "left_semi").select("first.doc_id", "first.place")
+    todo = open_.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each run in two halves: strings with at least 30 bytes before the sample gram, and the others. All of a half
+        hold the same 70 bytes, whose hash is ``core``; ``w`` are the hashes of the strings."""
         for pdf in batches:
-            for doc, raw, todo_ in zip(pdf["doc_id"], pdf["raw"], pdf["runs"], strict=True):
-                lo = np.array([r["lo"] for r in todo_], np.int64)
-                n = np.array([r["n"] for r in todo_], np.int64)
+            out = []
+            for doc, raw, places in zip(pdf["doc_id"], pdf["raw"], pdf["runs"], strict=True):
+                places = np.asarray(places, np.int64)
+                lo, n, a = places >> 16, places >> 8 & 255, places & 255
                 for base, piece in _chunks(_raw(raw)):
                     mine = (lo >= base) & (lo < base + CHUNK)
-                    if mine.any():
-                        k = n[mine]
-                        at = np.repeat(lo[mine] - base, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                        yield pd.DataFrame({"h": _windows(_powers(piece, 64), at).view(np.int64), "doc_id": doc, "p": at + base})
+                    if not mine.any():
+                        continue
+                    g, first, k, off = _powers(piece, 64), lo[mine] - base, n[mine], a[mine]
+                    early = np.clip(off - 30 + 1, 0, k)  # strings that start 30 bytes or more before the gram
+                    for begin, count, core in ((first, early, first + off - 30), (first + early, k - early, first + off)):
+                        some = count > 0
+                        b, c = begin[some], count[some]
+                        h = _windows(g, np.repeat(b, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype("<u8").tobytes()
+                        ends = np.cumsum(c) * 8
+                        out += [(x, doc, p, h[e - 8 * m : e]) for x, p, m, e in zip(_cores(g, core[some]).view(np.int64).tolist(), (b + base).tolist(), c.tolist(), ends.tolist(), strict=True)]
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=["core", "doc_id", "lo", "w"])
+                    out = []
+            yield pd.DataFrame(out, columns=["core", "doc_id", "lo", "w"]).astype({"core": "int64", "doc_id": "int64", "lo": "int64"})
+
+    halves = known.join(todo, "doc_id").mapInPandas(strings, "core long, doc_id long, lo long, w binary")
+    halves = materialize(halves)
+    release(spark)
+    cores = materialize(halves.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"))
 
-    texts = known.dropDuplicates(["doc_id", "raw"]).join(todo, "doc_id").mapInPandas(strings, "h long, doc_id long, p long")
-    one = materialize(texts)
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                w = [np.frombuffer(x, "<i8") for x in pdf["w"]]
+                k = np.array([len(x) for x in w])
+                at = np.repeat(pdf["lo"].to_numpy(), k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                yield pd.DataFrame({"h": np.concatenate(w), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), k), "p": at})
+
+    one = materialize(halves.join(cores, "core", "left_semi").select("doc_id", "lo", "w").mapInPandas(spread, "h long, doc_id long, p long"))
+    drop(halves, cores, shared, classes, many)
     release(spark)
     least = materialize(one.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first"))
     single = one.join(least, "h").where(F.struct("doc_id", "p") != F.col("first")).select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n"))
-    # neighbouring strings of one document become one interval before they are gathered
     found = materialize(whole.union(single).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n")).alias("found")))
-    drop(twice, shared, classes, many, whole, one, least)
+    drop(twice, whole, one, least)
     release(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
