@@ -77,7 +77,7 @@ def vote(x: np.ndarray, model, k: int = 15, power: float = 8.0) -> np.ndarray:
     cos = z @ known.T
     k = min(k, len(labels))
     at = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(cos, at, 1), 1e-6) ** power
+    w = np.maximum(np.take_along_axis(cos, at, 1).astype(np.float64), 1e-6) ** power
     return np.clip((w * labels[at]).sum(1) / w.sum(1), 0, 1)
 
 
