@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,9 +17,6 @@ from pyspark.sql import functions as F
 from sentrine.storage import materialize
 
 _READY: dict[str, tuple] = {}
-#: Fixed value: how byte-level BPE cuts a text before merging (the same as in the vocabulary's own file).
-CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -24,35 +24,46 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Units(dict):
+    """Ids of units of text; the first ``most`` that occur are remembered, which are the frequent ones."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most = encode, most
+
+    def __missing__(self, unit: str) -> bytes:
+        raw = array("I", self.encode([unit if unit[:1] == "\n" else " " + unit])[0].ids).tobytes()
+        if len(self) < self.most:
+            self[unit] = raw
+        return raw
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE merges nothing across its pre-tokens, so each distinct pre-token goes through the tokenizers
-    library once and its ids are remembered (up to ``most`` of them, then memory starts anew).
+    Byte-level BPE merges nothing across its pre-tokens, and a white space between two other characters always
+    starts one. So texts without neighbouring white space are split there, and each distinct unit (a space or line
+    feed and what follows it) passes the tokenizers library once. Other texts go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.cut, self.known, self.most = regex.compile(CUT).findall, {}, most
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        self.library = partial(model.encode_batch_fast, add_special_tokens=False)
+        self.units = _Units(self.library, most)
+        self.odd = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cuts = [self.cut(t) if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        miss = list({w for ws in cuts for w in ws if w not in known})
-        if miss:
-            for w, e in zip(miss, self.model.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in cuts]
+        texts = [t or "" for t in texts]
+        cuts = [[] if self.odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [ws.pop(0) if ws else t for ws, t in zip(cuts, texts, strict=True)]  # what follows no space, or all
+        units = self.units.__getitem__
+        return [array("I", e.ids).tobytes() + b"".join(map(units, ws)) for e, ws in zip(self.library(heads), cuts, strict=True)]
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
