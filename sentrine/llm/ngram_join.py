@@ -21,40 +21,48 @@ from pyspark.sql import functions as F
 
 from sentrine.llm.common import mix, words
 from sentrine.operators.components import connected_components
-from sentrine.storage import drop, materialize
+from sentrine.storage import drop, materialize, release
 
 BUCKETS = 1 << 16
 BLOCK = 256  # candidates in one trie
-_KNOWN: dict[bytes, int] = {}
+FEW = 500_000  # ids, of 8 bytes, that may be broadcast
+
+
+class _Words(dict):
+    """Hash of each word; the first half million that occur are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(self) < 500_000:
+            self[word] = h
+        return h
+
+
+_KNOWN = _Words()
 
 
 def gram_hashes(text: str | None, n: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word n-grams of a text; one for the whole of a shorter text."""
+    """64-bit hashes of the word n-grams of a text, repeats included; one for the whole of a shorter text."""
     ws = words(text)
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
-    for w in set(ws):
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh64_intdigest(w)
     h = np.fromiter(map(_KNOWN.__getitem__, ws), np.uint64, len(ws))
     k = min(n, len(h))
     m = len(h) - k + 1
     acc = np.full(m, k, np.uint64)
     for i in range(k):
         acc = mix(acc + h[i : i + m])
-    return np.unique(acc)
+    return acc
 
 
 def ordered(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The hashes with their leading 16 bits, the counting bucket, replaced by the bucket's rank: sorted, rare first."""
+    """The distinct hashes with their leading 16 bits, the counting bucket, replaced by the bucket's rank: sorted, rare first."""
     top = rank[(h >> np.uint64(48)).astype(np.int64)].astype(np.uint64)
-    return np.sort((top << np.uint64(48)) | (h & np.uint64((1 << 48) - 1)))
+    return np.unique((top << np.uint64(48)) | (h & np.uint64((1 << 48) - 1)))
 
 
 def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
-    """Rank of each of 65,536 hash buckets by how many (document, gram) pairs of the whole corpus fall in it.
+    """Rank of each of 65,536 hash buckets by how many grams of the whole corpus fall in it.
 
     What comes to the driver is this table of fixed size, whatever the corpus.
     """
@@ -62,8 +70,10 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                total += np.bincount((gram_hashes(text, n) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            texts = pdf["text"].tolist()
+            for i in range(0, len(texts), 256):
+                grams = np.concatenate([gram_hashes(t, n) for t in texts[i : i + 256]])
+                total += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
@@ -188,30 +198,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     every = materialize(docs.mapInPandas(describe, "doc_id long, n long, sig binary, prefix array<long>"))
     classes = materialize(every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cid")))
     reps = every.join(classes.withColumnRenamed("sig", "s2"), (F.col("doc_id") == F.col("cid")) & (F.col("sig") == F.col("s2")))
-    reps = reps.dropDuplicates(["sig"])
-    lists = reps.select(F.col("cid").alias("doc"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    lists = materialize(lists)
-    span = lists.groupBy("gram").agg(
-        F.min(F.struct("doc", "n", "pos")).alias("lo"), F.max(F.struct("doc", "n", "pos")).alias("hi"), F.count("*").alias("size")
-    )
-    span = materialize(span.where("size > 1"))
-    shared = lists.join(span, "gram")
+    lists = materialize(reps.select(F.col("cid").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram")).distinct())
+    twice = materialize(lists.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+    release(spark)
+    part = materialize(lists.join(twice, "gram"))
+    drop(lists, twice)
+    release(spark)
+    span = part.groupBy("gram").agg(F.min(F.struct("doc", "n", "pos")).alias("lo"), F.max(F.struct("doc", "n", "pos")).alias("hi"))
+    shared = part.join(materialize(span), "gram").withColumn("end", F.explode(F.array("lo", "hi")))
 
     def may(n1, p1, n2, p2):
         need = F.ceil((n1 + n2) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
         return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
     me = (F.col("n"), F.col("pos"))
-    tried = [
-        shared.where((F.col(f"{e}.doc") != F.col("doc")) & may(*me, F.col(f"{e}.n"), F.col(f"{e}.pos")))
-        .select(F.least(F.col(f"{e}.doc"), F.col("doc")).alias("hub"), F.greatest(F.col(f"{e}.doc"), F.col("doc")).alias("doc"))
-        for e in ("lo", "hi")
-    ]
-    star = materialize(tried[0].union(tried[1]).distinct())
+    tried = shared.where((F.col("end.doc") != F.col("doc")) & may(*me, F.col("end.n"), F.col("end.pos")))
+    star = materialize(tried.select(F.least("end.doc", "doc").alias("hub"), F.greatest("end.doc", "doc").alias("doc")).distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("hub").alias("cid")).union(pairs.select("doc")).distinct()
-        ids = reps.select("cid", "sig").join(ids, "cid").select("cid")
+        if ids.count() <= FEW:  # else the texts are shuffled
+            ids = F.broadcast(ids)
         text = docs.join(ids, F.col("doc_id") == F.col("cid")).select("cid", "text")
         return materialize(text.mapInPandas(full, "cid long, grams binary").dropDuplicates(["cid"]))
 
@@ -219,10 +226,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     found = materialize(_linked(star, sets1, num, den))
     comp1 = materialize(connected_components(found, "hub", "doc"))
 
-    tagged = lists.join(comp1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = tagged.join(span.select("gram"), "gram")
-    mixed = materialize(open_.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("gram"))
-    part = materialize(open_.join(mixed, "gram", "left_semi").select("gram", "doc", "n", "pos", "component"))
+    part = materialize(part.join(comp1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+    mixed = materialize(part.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("gram"))
+    part = materialize(part.join(mixed, "gram", "left_semi").select("gram", "doc", "n", "pos", "component"))
     left = part.select("gram", *[F.col(c).alias(f"{c}_l") for c in ("doc", "n", "pos", "component")])
     cond = (left["gram"] == part["gram"]) & (F.col("doc_l") < F.col("doc")) & (F.col("component_l") != F.col("component"))
     rest = left.join(part, cond & may(F.col("n_l"), F.col("pos_l"), *me)).select(F.col("doc_l").alias("hub"), "doc").distinct()
@@ -232,7 +238,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = found.union(more)
     comp = materialize(connected_components(links, "hub", "doc"))
     degree = links.select(F.col("hub").alias("node")).union(links.select("doc")).groupBy("node").agg(F.count("*").alias("n_links"))
-    drop(lists, span, star, sets1, sets2, comp1, mixed, part, rest)
+    drop(star, sets1, sets2, comp1, mixed, part, rest)
+    release(spark)
     by_class = materialize(
         classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(degree.withColumnRenamed("node", "cid"), "cid", "left")
         .select("sig", F.coalesce("component", "cid").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
