@@ -51,7 +51,7 @@ def geo_features(t: DataFrame) -> DataFrame:
     out = t.withColumns({"_lat": was("lat"), "_lon": was("lon"), "_ms": was("ts_ms")})
     gap = F.col("ts_ms") - F.col("_ms")
     out = out.withColumns({
-        "secs_since": F.coalesce(F.greatest(F.lit(0.0), gap / 1000.0), F.lit(-1.0)),
+        "secs_since": F.when(gap.isNull(), -1.0).otherwise(F.greatest(F.lit(0.0), gap / 1000.0)),
         "gap_s": F.floor(gap / 1000).cast("long"),
         "distance_km": haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")),
     })
