@@ -68,8 +68,24 @@ def _cells(q: np.ndarray, halves: list[np.ndarray], count: dict[tuple[int, int],
     return out
 
 
+def _shards(sizes: dict[int, int], most: int = 4096) -> dict[int, tuple[int, int]]:
+    """Of each cell its first shard and its number of shards: large cells are split, neighbouring small ones share one."""
+    out, at, have = {}, 0, 0
+    for cell, n in sorted(sizes.items()):
+        if n > most:
+            at += have > 0
+            out[cell] = (at, -(-n // most))
+            at, have = at + out[cell][1], 0
+        else:
+            if have + n > most:
+                at, have = at + 1, 0
+            out[cell] = (at, 1)
+            have += n
+    return out
+
+
 def multi_index_search(
-    rows: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 64, share: float = 0.5, least: int = 2000, fit_rows: int = 8192, seed: int = 7
+    rows: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 64, share: float = 0.5, least: int = 2000, fit_rows: int = 8192, seed: int = 7, query_block: int = 2048
 ) -> DataFrame:
     """k nearest rows by Euclidean distance for each query: ``query_id, rank, vec_id, score``.
 
@@ -80,8 +96,9 @@ def multi_index_search(
     Codebooks of the two vector halves are fitted on at most ``fit_rows`` rows, chosen by hash; every row is
     indexed by its pair of centroids. For each query the pairs are visited by a heap in order of summed distance
     until they hold ``max(least, share * rows)`` rows, all of which are reranked exactly. ``share`` is the price of
-    recall in data without clusters. Cells are split over tasks in blocks by their counts, so a cell with a third
-    of all rows is no longer task than others.
+    recall in data without clusters. Cells are put together or split into shards of a few thousand rows by their
+    counts, and queries are dealt in blocks, so a cell with a third of all rows makes no longer task than others and
+    a query gets k rows from each shard at most.
     """
     spark = rows.sparkSession
     data, asked = usable(rows, zero=False), usable(queries, zero=False)
@@ -105,38 +122,51 @@ def multi_index_search(
 
     indexed = data.mapInPandas(assign, "vec_id long, v array<double>, cell long")
     # at most centroids ** 2 rows
-    sizes = {(r["cell"] // centroids, r["cell"] % centroids): r["count"] for r in indexed.groupBy("cell").count().collect()}
-    total = sum(sizes.values())
-    parts = {a * centroids + b: -(-n // BLOCK) for (a, b), n in sizes.items()}
-    shared = spark.sparkContext.broadcast((sizes, parts))
-    want = max(least, int(share * total))
+    sizes = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
+    total, pairs = sum(sizes.values()), {(c // centroids, c % centroids): n for c, n in sizes.items()}
+    shards = _shards(sizes)
+    shared = spark.sparkContext.broadcast((pairs, shards))
+    want, blocks = max(least, int(share * total)), asked.count() // query_block + 1
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, blocks = shared.value
+        count, place = shared.value
         for pdf in batches:
-            out = [(q, v, c[0] * centroids + c[1]) for q, v in zip(pdf["vec_id"], pdf["v"], strict=True) for c in _cells(np.asarray(v), halves.value, count, want)]
-            out = [(q, v, c, p) for q, v, c in out for p in range(blocks[c])]
-            yield pd.DataFrame(out, columns=["query_id", "v", "cell", "part"])
-
-    split = F.create_map(*[F.lit(z) for cell, n in parts.items() if n > 1 for z in (cell, n)] or [F.lit(-1), F.lit(1)])
-    indexed = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.coalesce(split[F.col("cell").cast("int")], F.lit(1))).cast("long"))
-    asked = asked.mapInPandas(route, "query_id long, v array<double>, cell long, part long")
+            out = []
+            for q, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+                visits: dict[int, list[int]] = {}
+                for a, b in _cells(np.asarray(v), halves.value, count, want):
+                    first, n = place[a * centroids + b]
+                    for shard in range(first, first + n):
+                        visits.setdefault(shard, []).append(a * centroids + b)
+                out += [(q, v, shard, cells) for shard, cells in visits.items()]
+            yield pd.DataFrame(out, columns=["query_id", "v", "shard", "cells"])
+
+    place = spark.createDataFrame([(c, *x) for c, x in shards.items()], "cell long, first int, n int")
+    indexed = indexed.join(F.broadcast(place), "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int"))
+    indexed = indexed.select("vec_id", "v", "cell", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = asked.mapInPandas(route, "query_id long, v array<double>, shard int, cells array<long>")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
     def rerank(key, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        m, ids, out = _matrix(d["v"]), d["vec_id"].to_numpy(), []
-        for qid, v in zip(q["query_id"], q["v"], strict=True):
-            s = np.sqrt(((m - v) ** 2).sum(1))
-            ok = np.flatnonzero(ids != qid)
-            if len(ok) > k:
-                cut = np.partition(s[ok], k - 1)[k - 1]
-                ok = ok[s[ok] <= cut]
-            ok = ok[np.lexsort((ids[ok], s[ok]))][:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[ok], "score": s[ok]}))
-        return pd.concat(out)
-
-    found = asked.groupBy("cell", "part").cogroup(indexed.groupBy("cell", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+        out = []
+        if len(q) and len(d):
+            d = d.sort_values("cell")
+            m, ids, cells = _matrix(d["v"]), d["vec_id"].to_numpy(), d["cell"].to_numpy()
+            norm = (m * m).sum(1)
+            for qid, v, visit in zip(q["query_id"], q["v"], q["cells"], strict=True):
+                mine = np.isin(cells, visit) & (ids != qid)
+                ok = np.flatnonzero(mine)
+                if len(ok) > k:
+                    # squared distances by expansion are off by far less than this slack; what it leaves is measured exactly
+                    near, slack = norm + v @ v - 2 * (m @ v), 1e-9 * (norm.max() + v @ v)
+                    if np.isfinite(slack):
+                        ok = ok[near[ok] <= np.partition(near[ok], k - 1)[k - 1] + slack]
+                s = np.sqrt(((m[ok] - v) ** 2).sum(1))
+                o = np.lexsort((ids[ok], s))[:k]
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[ok][o], "score": s[o]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    found = asked.groupBy("shard", "block").cogroup(indexed.groupBy("shard", "block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     return _best(found, k, F.col("score"))
 
 
