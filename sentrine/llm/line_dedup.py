@@ -150,16 +150,20 @@ def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataFr
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = line_classes(typed, edits, near_chars).select(F.col("first_doc").alias("_doc"), F.col("first_pos").alias("_pos")).distinct()
     kept = first.groupBy("_doc").agg(F.array_sort(F.collect_list("_pos")).alias("_kept"))
-    parts = F.split("text", "\n", -1)
-    places = F.sequence(F.lit(0), F.size(parts) - 1)
-    blank = F.filter(places, lambda i: F.trim(F.get(parts, i)) == "")
     joined = docs.join(kept, F.col("doc_id") == F.col("_doc"), "left")
+
+    def rebuilt(parts: Column) -> Column:
+        """Of one text's lines, bound once: how many are not blank, and the text of those that stay."""
+        blank = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
+        stay = F.transform(F.array_sort(F.concat("_kept", blank)), lambda i: F.get(parts, i))
+        return F.struct((F.size(parts) - F.size(blank)).alias("lines"), F.array_join(stay, "\n").alias("text"))
+
+    made = joined.withColumn("_made", F.transform(F.array(F.split(F.col("text").cast("string"), "\n", -1)), rebuilt)[0])
     known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    lines = F.when(known, F.size(parts) - F.size(blank)).otherwise(0)
+    lines = F.when(known, F.col("_made.lines")).otherwise(0)
     left = F.when(known, F.coalesce(F.size("_kept"), F.lit(0))).otherwise(0)
-    text = F.array_join(F.transform(F.array_sort(F.concat("_kept", blank)), lambda i: F.get(parts, i)), "\n")
     some = known & (left > 0) & (left < lines)
-    out = joined.withColumns({"n_lines": lines.cast("long"), "n_removed": F.when(some, lines - left).otherwise(0).cast("long"), "text": F.when(some, text).otherwise(F.col("text"))})
+    out = made.withColumns({"n_lines": lines.cast("long"), "n_removed": F.when(some, lines - left).otherwise(0).cast("long"), "text": F.when(some, F.col("_made.text")).otherwise(F.col("text"))})
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
 
 
