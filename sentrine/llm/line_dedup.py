@@ -14,6 +14,9 @@ from sentrine.operators.components import connected_components
 from sentrine.storage import drop, materialize, release
 
 
+FEW = 500_000  # line ids, of 16 bytes, that may be broadcast; beyond that the lines are shuffled
+
+
 def _common_prefix(a: Column, b: Column) -> Column:
     """Length of the common prefix, by bisection over substring comparisons."""
     most = F.least(F.char_length(a), F.char_length(b))
@@ -125,13 +128,17 @@ def line_classes(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataF
     left, right = keys2.where("own").select("key", F.col("id").alias("a")), keys2.select("key", F.col("id").alias("b"), F.col("own").alias("own_b"))
     pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & (~F.col("own_b") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
     pairs = materialize(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    text = materialize(long_.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    few = wanted.count() <= FEW
+    # a line is fetched where it first stands, so that a line of many documents is no hot key
+    placed = ids.join(F.broadcast(wanted) if few else wanted, "id").select("id", "first.doc_id", "first.pos")
+    text = long_.join(F.broadcast(placed) if few else placed, ["id", "doc_id", "pos"]).select("id", "line")
+    text = materialize(text.dropDuplicates(["id"]))
     both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     links = materialize(both.where(edit_within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
     comp = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("class_id"))
     tagged = materialize(ids.join(comp, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")))
-    drop(keys2, pairs, text, links, ids)
+    drop(keys2, pairs, wanted, text, links, ids)
     release(docs.sparkSession)
     firsts = tagged.groupBy("class_id").agg(F.min("first").alias("f"))
     return tagged.join(firsts, "class_id").select("id", "n", "class_id", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"))
