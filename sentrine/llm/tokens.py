@@ -302,7 +302,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
             for part, segment, docs_, lengths, payload in pdf.itertuples(index=False):
                 dac, size = Dac(payload), np.frombuffer(lengths, "<u4").astype(np.int64)
                 at = np.cumsum(size) - size
-                crc = [zlib.crc32(dac.slice(int(a), int(a + n)).astype("<u4").tobytes()) for a, n in zip(at, size, strict=True)]
+                ids = memoryview(dac.slice(0, len(dac)).astype("<u4").tobytes())  # all are read, so levels are joined once
+                crc = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
                 yield pd.DataFrame({"part": part, "segment": segment, "doc_id": np.frombuffer(docs_, "<i8"), "at": at, "n_tokens": size, "ids_crc32": crc})
 
     rows = files.select("part", "segment", "doc_ids", "lengths", "payload").mapInPandas(decode, "part long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long")
