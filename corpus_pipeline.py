@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines seen before; ``n_chars`` follows the text."""
-    out = dedup_lines(docs).select(*docs.columns)
+    """Documents without lines seen before, and without documents of such lines alone; ``n_chars`` follows the text."""
+    out = dedup_lines(docs, keep_whole=False).where("n_lines = 0 or n_removed < n_lines").select(*docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -144,13 +144,14 @@ def line_classes(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataF
     return tagged.join(firsts, "class_id").select("id", "n", "class_id", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16, keep_whole: bool = True) -> DataFrame:
     """``docs`` with ``text`` rid of lines seen before, and ``n_lines, n_removed`` added.
 
     Lines within ``edits`` edits of each other, and chains of such lines, are one class; lines of fewer than
     ``near_chars`` characters are one class only if equal. Of each class the first occurrence (smallest doc_id, then
     line number) stays in the corpus. Blank lines are never touched. A document that would lose every line keeps
-    its text: whole copies are for a document-level stage. Rows without doc_id or text stay as they are and count
+    its text (op7's SQL says so), unless ``keep_whole`` is false: then only its blank lines stay, so that no line
+    seen before is left in the corpus. Rows without doc_id or text stay as they are and count
     0 lines; rows that repeat a doc_id are alike and keep the same lines. The columns of ``docs`` all come back
     (columns named n_lines or n_removed are replaced).
     """
@@ -162,14 +163,14 @@ def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataFr
     def rebuilt(parts: Column) -> Column:
         """Of one text's lines, bound once: how many are not blank, and the text of those that stay."""
         blank = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-        stay = F.transform(F.array_sort(F.concat("_kept", blank)), lambda i: F.get(parts, i))
+        stay = F.transform(F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank)), lambda i: F.get(parts, i))
         return F.struct((F.size(parts) - F.size(blank)).alias("lines"), F.array_join(stay, "\n").alias("text"))
 
     made = joined.withColumn("_made", F.transform(F.array(F.split(F.col("text").cast("string"), "\n", -1)), rebuilt)[0])
     known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     lines = F.when(known, F.col("_made.lines")).otherwise(0)
     left = F.when(known, F.coalesce(F.size("_kept"), F.lit(0))).otherwise(0)
-    some = known & (left > 0) & (left < lines)
+    some = known & (left < lines) & ((left > 0) | F.lit(not keep_whole))
     out = made.withColumns({"n_lines": lines.cast("long"), "n_removed": F.when(some, lines - left).otherwise(0).cast("long"), "text": F.when(some, F.col("_made.text")).otherwise(F.col("text"))})
     return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
 

@@ -202,3 +202,17 @@ def test_stages(spark, docs, tmp_path):
     empty = spark.createDataFrame([], docs.schema)
     for name, stage in c.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_stage_copies_share_lines_with_an_earlier_document(spark, tmp_path):
+    import corpus_pipeline as c
+
+    shared, own, more = ["\n".join(text(20) for _ in range(4)) for _ in range(3)]
+    rows = [(1, shared), (2, shared + "\n" + own), (3, shared + "\n" + own), (4, shared + "\n\n"), (5, more), (6, None), (7, "\n"), (None, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = c.fresh_lines(spark, docs, str(tmp_path)).cache()
+    assert {r.doc_id: r.text for r in lines.collect()} == {1: shared, 2: own, 5: more, 6: None, 7: "\n", None: shared}
+    assert {r.doc_id for r in c.distinct_documents(spark, lines, str(tmp_path)).collect()} == {1, 2, 5, 6, 7, None}
+    emptied = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs, keep_whole=False).collect()}
+    assert emptied[3] == ("", 8, 8) and emptied[4] == ("\n", 4, 4)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}[3] == shared + "\n" + own
