@@ -83,28 +83,58 @@ def some(texts: list, most: int = 64) -> Iterator[list]:
 WINDOWS = (256, 512, 1024, 2048)
 
 
+def _fill(lengths: list[int], gap: int) -> list[int] | None:
+    """Positions in ``lengths`` that sum to exactly ``gap``; None if there are none. Sums reached are bits of an integer."""
+    if not gap:
+        return []
+    reach, used, full = [1], [], (1 << (gap + 1)) - 1
+    for i, n in enumerate(lengths):
+        if n <= gap:
+            reach.append((reach[-1] | reach[-1] << n) & full)
+            used.append(i)
+            if reach[-1] >> gap & 1:
+                break
+    else:
+        return None
+    out = []
+    for i, before in zip(reversed(used), reversed(reach[:-1])):
+        if not before >> gap & 1:
+            out.append(i)
+            gap -= lengths[i]
+    return out[::-1]
+
+
+def _close(pool: list[list[int]], window: int) -> tuple[list[list[list[int]]], list[list[int]]]:
+    """Sequences of exactly ``window`` tokens from whole pieces of the pool, and the pieces left over.
+
+    Longest first, each piece is given the shorter ones that fill its sequence to the last token.
+    """
+    pool, done, left = sorted(pool, key=lambda x: (-x[2], x[0])), [], []
+    while pool:
+        first, *pool = pool
+        fill = _fill([p[2] for p in pool], window - first[2])
+        if fill is None:
+            left.append(first)
+            continue
+        done.append([first, *(pool[i] for i in fill)])
+        taken = set(fill)
+        pool = [p for i, p in enumerate(pool) if i not in taken]
+    return done, left
+
+
 def _pack(pieces: list[list[int]], window: int) -> list[list[list[int]]]:
     """Sequences of pieces ``[piece, from, length]`` for one shard: tiers first, then gaps of the longest window.
 
-    Pieces shorter than the longest window are routed to the smallest tier that holds them. In each tier exact
-    pairs are closed into full sequences of that power of two, which need no padding; the rest moves on to the
-    next tier. In the last tier the rest is laid out longest first, each gap being filled from the shorter pieces
-    that are left, the last of which is cut at the end of the window.
+    Pieces are routed to the smallest tier that holds them. From the shortest tier up, sequences of that power of
+    two are closed from whole pieces of the tier and of shorter ones, so that they need no padding; what is left
+    moves on to the next tier. What the last tier leaves is laid out longest first, each gap being filled from the
+    shorter pieces that are left, the last of which is cut at the end of the window.
     """
-    tiers: dict[int, dict[int, list[list[int]]]] = {w: {} for w in WINDOWS if w <= window}
+    tiers = [w for w in WINDOWS if w < window] + [window]
     done, rest = [], []
-    for p in sorted(pieces, key=lambda x: (x[2], x[0])):
-        tier = next(w for w in sorted(tiers) if p[2] <= w)
-        tiers[tier].setdefault(p[2], []).append(p)
-    for w, by_length in tiers.items():
-        for length in sorted(by_length):
-            mine, other = by_length[length], by_length.get(w - length, [])
-            if length == w:
-                done += [[p] for p in mine]
-                mine.clear()
-            while mine and other and (length < w - length or length == w - length and len(mine) > 1):
-                done.append([mine.pop(), other.pop()])
-        rest += [p for ps in by_length.values() for p in ps]
+    for below, w in zip([0, *tiers], tiers):
+        closed, rest = _close(rest + [p for p in pieces if below < p[2] <= w], w)
+        done += closed
     rest.sort(key=lambda x: (-x[2], x[0]))
     lo, hi, room, seq = 0, len(rest) - 1, window, []
     while lo <= hi:

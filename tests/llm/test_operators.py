@@ -125,6 +125,21 @@ def test_packing_fills_windows():
     assert sum(sizes) == sum(p[2] for p in pieces) and sum(n & (n - 1) != 0 for n in sizes) <= 1 and max(sizes) <= 2048
 
 
+def test_packing_tiers_mix_lengths():
+    pieces = [[0, 0, 300], [1, 0, 112], [2, 0, 100], [3, 0, 700], [4, 0, 290], [5, 0, 34], [6, 0, 1500], [7, 0, 513], [8, 0, 35], [9, 0, 200], [10, 0, 56], [11, 0, 90]]
+    seqs = tokens._pack(pieces, 2048)
+    assert sorted(sum(p[2] for p in s) for s in seqs if len({p[2] for p in s}) > 1) == [256, 512, 1024, 2048]
+    assert sorted(p[0] for s in seqs for p in s if not p[1]) == list(range(12))
+    rng = random.Random(1)
+    pieces = [[i, 0, rng.randrange(1, 2048)] for i in range(500)]
+    seqs = tokens._pack(pieces, 2048)
+    sizes = {w: [s for s in seqs if sum(p[2] for p in s) == w] for w in tokens.WINDOWS}
+    assert all(len({p[2] for s in sizes[w] for p in s}) > 2 for w in (512, 1024))
+    assert all(p[1] == 0 and p[2] == pieces[p[0]][2] for w in (256, 512, 1024) for s in sizes[w] for p in s)
+    assert tokens._fill([7, 5, 3], 8) == [1, 2] and tokens._fill([7, 5], 8) is None and tokens._fill([], 0) == []
+    assert sorted(sum(p[2] for p in s) for s in tokens._pack([[0, 0, 2900], [1, 0, 200]], 3000)) == [100, 3000]
+
+
 def test_mixing(docs):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == docs.count() and sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs).collect()))
