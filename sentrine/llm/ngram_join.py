@@ -162,12 +162,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "role").mapInPandas(verify, "hub long, doc long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, all_links: bool = True) -> DataFrame:
     """Group documents whose n-gram sets have ``den * intersection >= num * union``.
 
     Input: ``doc_id`` and ``text``; other columns are ignored. Returns one row per input row: ``doc_id``,
     ``n_shingles`` (size of the set), ``component_id`` (smallest doc_id reachable by links, itself included) and
-    ``n_links`` (other distinct sets found linked to this row's set).
+    ``n_links`` (other distinct sets linked to this row's set). Without ``all_links`` the components are the same
+    and found sooner, but ``n_links`` is null.
 
     A text of fewer than n words is one gram; a null or blank text has an empty set, links to nothing and is its
     own component. Rows that repeat a doc_id are judged one by one. Rows without doc_id keep their count and have a
@@ -175,8 +176,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     Equal sets are collapsed first, so a group of copies costs one set. Candidates come from shared prefix grams:
     first each gram's rarest-first list is tried against its smallest and largest member (linear in the list),
-    links found there are contracted, and only members of a list that are still in different components are tried
-    pairwise, with the length and position bounds applied inside the join.
+    links found there are contracted, and the other members of a list are tried pairwise, with the length and
+    position bounds applied inside the join; without ``all_links`` only those still in different components.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -224,13 +225,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     sets1 = sets_of(star)
     found = materialize(_linked(star, sets1, num, den))
-    comp1 = materialize(connected_components(found, "hub", "doc"))
 
-    part = materialize(part.join(comp1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-    mixed = materialize(part.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("gram"))
-    part = materialize(part.join(mixed, "gram", "left_semi").select("gram", "doc", "n", "pos", "component"))
-    left = part.select("gram", *[F.col(c).alias(f"{c}_l") for c in ("doc", "n", "pos", "component")])
-    cond = (left["gram"] == part["gram"]) & (F.col("doc_l") < F.col("doc")) & (F.col("component_l") != F.col("component"))
+    old = [part]
+    if not all_links:
+        comp1 = materialize(connected_components(found, "hub", "doc"))
+        part = materialize(part.join(comp1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
+        mixed = materialize(part.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("gram"))
+        old += [comp1, part, mixed]
+        part = materialize(part.join(mixed, "gram", "left_semi").select("gram", "doc", "n", "pos", "component"))
+        old.append(part)
+    left = part.select("gram", *[F.col(c).alias(f"{c}_l") for c in part.columns if c != "gram"])
+    cond = (left["gram"] == part["gram"]) & (F.col("doc_l") < F.col("doc"))
+    if not all_links:
+        cond = cond & (F.col("component_l") != F.col("component"))
     rest = left.join(part, cond & may(F.col("n_l"), F.col("pos_l"), *me)).select(F.col("doc_l").alias("hub"), "doc").distinct()
     rest = materialize(rest.join(star, ["hub", "doc"], "left_anti"))
     sets2 = sets_of(rest)
@@ -238,7 +245,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     links = found.union(more)
     comp = materialize(connected_components(links, "hub", "doc"))
     degree = links.select(F.col("hub").alias("node")).union(links.select("doc")).groupBy("node").agg(F.count("*").alias("n_links"))
-    drop(star, sets1, sets2, comp1, mixed, part, rest)
+    drop(star, sets1, sets2, rest, *old)
     release(spark)
     by_class = materialize(
         classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(degree.withColumnRenamed("node", "cid"), "cid", "left")
@@ -248,7 +255,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.lit(all_links), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
 
 
@@ -258,12 +265,17 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     A row with an empty set stays; so does one without doc_id, unless it repeats another's text. All columns of
     ``docs`` are returned.
     """
-    gone = jaccard_components(docs, n, num, den).where("component_id != doc_id").select("doc_id").distinct()
+    gone = jaccard_components(docs, n, num, den, all_links=False).where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100).drop("n_links")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100, all_links=False).drop("n_links")
+
+
+def op1_ngram_links(spark, sf_dir: str) -> DataFrame:
+    """op1_ngram_join with the number of links, which is no column of its SQL."""
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100)
 
 
 OP1_SQL = r"""

@@ -6,6 +6,7 @@ from sentrine.llm import line_dedup, mixing, ngram_join, quality, repeats, token
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op1_ngram_links": ngram_join.op1_ngram_links,
     "op2_multi_index": vectors.op2_multi_index,
     "op3_packing": tokens.op3_packing,
     "op4_exact_top_k": vectors.op4_exact_top_k,

@@ -231,3 +231,19 @@ def test_stage_copies_share_lines_with_an_earlier_document(spark, tmp_path):
     emptied = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs, keep_whole=False).collect()}
     assert emptied[3] == ("", 8, 8) and emptied[4] == ("\n", 4, 4)
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}[3] == shared + "\n" + own
+
+
+def test_all_links_of_near_copies(spark):
+    words_ = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join([*words_[: 10 * i], f"x{i}", *words_[10 * i + 1 :]])) for i in range(10)]
+    rows += [(20, rows[3][1]), (21, " ".join(words_)), (22, " ".join(words_[:100])), (23, text(80)), (24, None)]
+    sets = {i: grams(t, 4) for i, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    distinct = set(map(frozenset, sets.values()))
+    want = {i: sum(bool(s) and o != s and near(s, o) for o in distinct) for i, s in sets.items()}
+    assert want[21] == 10 and max(want[i] for i in range(10)) > 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.jaccard_components(docs, 4, 85, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    fast = ngram_join.jaccard_components(docs, 4, 85, 100, all_links=False).collect()
+    assert {r.doc_id: r.component_id for r in fast} == {r.doc_id: r.component_id for r in got} and {r.n_links for r in fast} == {None}
