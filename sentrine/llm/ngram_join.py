@@ -1,10 +1,10 @@
 """N-gram Jaccard join over prefix trees.
 
 Every document becomes its set of word n-grams, kept in one global order (rare first). Documents that can be
-similar share one of the first few grams of that order, so these prefixes give the candidates. Candidates of one
-query document are stored in a trie of their ordered sets and the query's set is walked through it once: a path
-that several sets share is compared once, and a subtree is left as soon as the grams still to come cannot reach
-the threshold for any length below it.
+similar share one of the first few grams of that order, so these prefixes give the candidates; what a pair's two
+prefixes share bounds what their sets can share, and few pairs pass. The sets of those are stored per hub document
+in a trie, and the hub's set is walked through it once: a path that several sets share is compared once, and a
+subtree is left as soon as the grams still to come cannot reach the threshold for any length below it.
 """
 
 from __future__ import annotations
@@ -15,44 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrine.llm.common import mix, words
+from sentrine.llm.common import gram_hashes
 from sentrine.operators.components import connected_components
 from sentrine.storage import drop, materialize, release
 
 BUCKETS = 1 << 16
-BLOCK = 256  # candidates in one trie
-FEW = 500_000  # ids, of 8 bytes, that may be broadcast
-
-
-class _Words(dict):
-    """Hash of each word; the first half million that occur are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
-
-
-_KNOWN = _Words()
-
-
-def gram_hashes(text: str | None, n: int) -> np.ndarray:
-    """64-bit hashes of the word n-grams of a text, repeats included; one for the whole of a shorter text."""
-    ws = words(text)
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_KNOWN.__getitem__, ws), np.uint64, len(ws))
-    k = min(n, len(h))
-    m = len(h) - k + 1
-    acc = np.full(m, k, np.uint64)
-    for i in range(k):
-        acc = mix(acc + h[i : i + m])
-    return acc
+BLOCK = 64  # candidates in one trie
+FEW = 500_000  # rows of 24 bytes that may be broadcast
+_SIGN = np.uint64(1 << 63)
 
 
 def ordered(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -72,7 +45,7 @@ def bucket_ranks(docs: DataFrame, n: int) -> np.ndarray:
         for pdf in batches:
             texts = pdf["text"].tolist()
             for i in range(0, len(texts), 256):
-                grams = np.concatenate([gram_hashes(t, n) for t in texts[i : i + 256]])
+                grams = np.concatenate(gram_hashes(texts[i : i + 256], n))
                 total += np.bincount((grams >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
@@ -135,7 +108,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("doc"), F.lit(0).alias("role"))
     rows = hubs.union(dealt.select("hub", "part", "doc", F.lit(1).alias("role")))
-    rows = rows.join(sets, rows["doc"] == sets["cid"]).select("hub", "part", "role", "doc", "grams")
+    rows = rows.join(sets, rows["doc"] == sets["node"]).select("hub", "part", "role", "doc", "grams")
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +132,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         if block:
             yield flush()
 
-    return rows.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "role").mapInPandas(verify, "hub long, doc long")
+    out = materialize(rows.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "role").mapInPandas(verify, "hub long, doc long"))
+    drop(heavy)
+    return out
+
+
+def _least(n1: Column, n2: Column, num: int, den: int) -> Column:
+    """``needed`` of two columns, in whole numbers."""
+    return F.call_function("div", F.lit(num).cast("long") * (n1 + n2) + F.lit(num + den - 1), F.lit(num + den))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, all_links: bool = True) -> DataFrame:
@@ -171,62 +151,86 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     and found sooner, but ``n_links`` is null.
 
     A text of fewer than n words is one gram; a null or blank text has an empty set, links to nothing and is its
-    own component. Rows that repeat a doc_id are judged one by one. Rows without doc_id keep their count and have a
-    null component. Grams are compared by 64-bit hashes.
+    own component. Rows that repeat a doc_id are judged one by one, whatever their order: sets are known by their
+    contents, not by ids. Rows without doc_id keep their count and have a null component; they take no part in
+    links. Grams are compared by 64-bit hashes, whole sets by 128 bits.
 
     Equal sets are collapsed first, so a group of copies costs one set. Candidates come from shared prefix grams:
     first each gram's rarest-first list is tried against its smallest and largest member (linear in the list),
     links found there are contracted, and the other members of a list are tried pairwise, with the length and
-    position bounds applied inside the join; without ``all_links`` only those still in different components.
+    position bounds applied inside the join; without ``all_links`` only those still in different components. Of
+    the pairs, those go on whose whole prefixes share enough; only their sets are made and moved.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rank = spark.sparkContext.broadcast(bucket_ranks(docs, n))
 
+    def sets_of(texts: list[str | None]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), 256):
+            yield from (ordered(h, rank.value) for h in gram_hashes(texts[i : i + 256], n))
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text in pdf["text"]:
-                s = ordered(gram_hashes(text, n), rank.value)
+            for s in sets_of(pdf["text"].tolist()):
                 keep = len(s) - math.ceil(num * len(s) / den) + 1 if len(s) else 0
-                out.append((len(s), hashlib.md5(s.tobytes()).digest(), s[:keep].view(np.int64)))
+                out.append((len(s), hashlib.md5(s.tobytes()).digest(), (s[:keep] ^ _SIGN).view(np.int64)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [x[0] for x in out], "sig": [x[1] for x in out], "prefix": [x[2] for x in out]})
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"cid": pdf["cid"], "grams": [ordered(gram_hashes(t, n), rank.value).astype(">u8").tobytes() for t in pdf["text"]]})
+            sets = list(sets_of(pdf["text"].tolist()))
+            yield pd.DataFrame({"made": [hashlib.md5(s.tobytes()).digest() for s in sets], "grams": [s.astype(">u8").tobytes() for s in sets], "sig": pdf["sig"], "node": pdf["node"]})
 
     every = materialize(docs.mapInPandas(describe, "doc_id long, n long, sig binary, prefix array<long>"))
-    classes = materialize(every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cid")))
-    reps = every.join(classes.withColumnRenamed("sig", "s2"), (F.col("doc_id") == F.col("cid")) & (F.col("sig") == F.col("s2")))
-    lists = materialize(reps.select(F.col("cid").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram")).distinct())
-    twice = materialize(lists.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"))
+    classes = every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     release(spark)
-    part = materialize(lists.join(twice, "gram"))
-    drop(lists, twice)
+    lists = classes.select(F.col("node").alias("doc"), "n", F.posexplode("prefix").alias("pos", "gram"))
+    span = materialize(lists.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo != hi"))
+    release(spark)
+    part = materialize(lists.join(span, "gram"))
+    drop(span)
     release(spark)
-    span = part.groupBy("gram").agg(F.min(F.struct("doc", "n", "pos")).alias("lo"), F.max(F.struct("doc", "n", "pos")).alias("hi"))
-    shared = part.join(materialize(span), "gram").withColumn("end", F.explode(F.array("lo", "hi")))
 
     def may(n1, p1, n2, p2):
-        need = F.ceil((n1 + n2) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
-        return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
+        return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= _least(n1, n2, num, den))
 
+    ends = part.where("doc = lo or doc = hi").select("gram", F.col("doc").alias("end"), F.col("n").alias("end_n"), F.col("pos").alias("end_pos"))
     me = (F.col("n"), F.col("pos"))
-    tried = shared.where((F.col("end.doc") != F.col("doc")) & may(*me, F.col("end.n"), F.col("end.pos")))
-    star = materialize(tried.select(F.least("end.doc", "doc").alias("hub"), F.greatest("end.doc", "doc").alias("doc")).distinct())
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("hub").alias("cid")).union(pairs.select("doc")).distinct()
-        if ids.count() <= FEW:  # else the texts are shuffled
-            ids = F.broadcast(ids)
-        text = docs.join(ids, F.col("doc_id") == F.col("cid")).select("cid", "text")
-        return materialize(text.mapInPandas(full, "cid long, grams binary").dropDuplicates(["cid"]))
-
-    sets1 = sets_of(star)
-    found = materialize(_linked(star, sets1, num, den))
-
-    old = [part]
+    tried = part.join(ends, "gram").where((F.col("end") != F.col("doc")) & may(*me, F.col("end_n"), F.col("end_pos")))
+    star = tried.select(F.least("end", "doc").alias("hub"), F.greatest("end", "doc").alias("doc")).distinct()
+
+    def promising(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The pairs as written, those whose prefixes share enough, and the sets of their members.
+
+        Of the prefix that ends first in the global order, every gram that the sets share is in both prefixes; what
+        lies beyond it is at most the rest of that set.
+        """
+        pairs = materialize(pairs)
+        wanted = materialize(pairs.select(F.col("hub").alias("node")).union(pairs.select("doc")).distinct())
+        some = materialize(classes.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "node").select("node", "n", "prefix"))
+        a, b = (some.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_p")) for k in ("hub", "doc"))
+        rest = lambda k: F.col(f"{k}_n") - F.size(f"{k}_p")
+        most = F.size(F.array_intersect("hub_p", "doc_p")) + F.when(F.get("hub_p", F.size("hub_p") - 1) <= F.get("doc_p", F.size("doc_p") - 1), rest("hub")).otherwise(rest("doc"))
+        good = materialize(pairs.join(a, "hub").join(b, "doc").where(most >= _least(F.col("hub_n"), F.col("doc_n"), num, den)).select("hub", "doc"))
+        drop(some, wanted)
+        nodes = good.select(F.col("hub").alias("node")).union(good.select("doc")).distinct()
+        known = materialize(classes.join(nodes, "node").select("node", "sig", "cid"))
+        ids = F.broadcast(known) if known.count() <= FEW else known  # else the texts are shuffled
+        text = docs.join(ids, F.col("doc_id") == F.col("cid")).select("sig", "node", "text")
+        made = text.mapInPandas(full, "made binary, grams binary, sig binary, node long").where("made = sig")
+        sets = materialize(made.select("node", "grams").dropDuplicates(["node"]))
+        drop(known)
+        release(spark)
+        return pairs, good, sets
+
+    star, good, sets = promising(star)
+    found = _linked(good, sets, num, den)
+    drop(good, sets)
+
+    old = [part, star]
+    part = part.select("gram", "doc", "n", "pos")
     if not all_links:
         comp1 = materialize(connected_components(found, "hub", "doc"))
         part = materialize(part.join(comp1.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
@@ -239,22 +243,24 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     if not all_links:
         cond = cond & (F.col("component_l") != F.col("component"))
     rest = left.join(part, cond & may(F.col("n_l"), F.col("pos_l"), *me)).select(F.col("doc_l").alias("hub"), "doc").distinct()
-    rest = materialize(rest.join(star, ["hub", "doc"], "left_anti"))
-    sets2 = sets_of(rest)
-    more = materialize(_linked(rest, sets2, num, den))
+    rest, good, sets = promising(rest.join(star, ["hub", "doc"], "left_anti"))
+    drop(*old, rest)
+    release(spark)
+    more = _linked(good, sets, num, den)
     links = found.union(more)
+    drop(good, sets)
     comp = materialize(connected_components(links, "hub", "doc"))
     degree = links.select(F.col("hub").alias("node")).union(links.select("doc")).groupBy("node").agg(F.count("*").alias("n_links"))
-    drop(star, sets1, sets2, rest, *old)
+    by_class = classes.select("node", "sig", "cid").join(comp, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    by_class = materialize(by_class.select("sig", "cid", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    drop(classes, comp, found, more)
     release(spark)
-    by_class = materialize(
-        classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left").join(degree.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("sig", F.coalesce("component", "cid").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    ids = by_class.groupBy("component").agg(F.min("cid").alias("component_id"))
+    by_class = by_class.join(ids, "component").select("sig", "component_id", "n_links")
     return every.select("doc_id", "n", "sig").join(by_class, "sig", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.lit(all_links), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
 
@@ -270,6 +276,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` by four-word shingles, similarity 0.85."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, num=85, den=100, all_links=False).drop("n_links")
 
 
