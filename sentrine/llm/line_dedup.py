@@ -2,7 +2,8 @@
 
 A line is cut into ``edits + 1`` segments. If two lines are within ``edits`` edits, one segment of the shorter
 stands unchanged in the longer, near its own place; so lines are joined on (length, segment number, segment), the
-longer probing each length it can reach. What meets is verified with a banded bit-parallel edit distance.
+longer probing each length it can reach. Where many lines share a segment, they are cut finer. What meets is verified
+with a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from sentrine.storage import drop, materialize, release
 
 
 FEW = 500_000  # line ids, of 16 bytes, that may be broadcast; beyond that the lines are shuffled
+MANY = 32  # lines that share a segment and are still tried pairwise
+BLOCKS = 16  # finer cuts of a line
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -109,39 +112,75 @@ def _keys(edits: int) -> Column:
     return F.array(*out)
 
 
+def _fine_keys() -> Column:
+    """For one edit: a line without one of ``BLOCKS`` blocks, and without such a block of a shorter partner and one character more."""
+    out, length = [], F.char_length("line")
+    for less in (0, 1):
+        n = length - less
+        for i in range(BLOCKS):
+            begin, end = F.floor(n * i / BLOCKS).cast("int"), F.floor(n * (i + 1) / BLOCKS).cast("int") + less
+            left, right = F.substring(F.col("line"), F.lit(1), begin), F.substring(F.col("line"), end + 1, length)
+            out.append(F.struct(F.xxhash64(n, F.lit(i), left, right).alias("key"), F.lit(less == 0).alias("own")))
+    return F.array(*out)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    every = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """The lines of all texts that are not blank. Rows that repeat a doc_id with other texts are told apart by a hash of the text."""
+    every = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("sig"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return every.where(F.trim("line") != "").withColumn("id", F.unhex(F.md5("line")))
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of lines that share a key, which one of them owns."""
+    left, right = keys.where("own").select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"), F.col("own").alias("own_b"))
+    return left.join(right, "key").where((F.col("a") != F.col("b")) & (~F.col("own_b") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+
+
 def line_classes(docs: DataFrame, edits: int = 1, near_chars: int = 16) -> DataFrame:
-    """``id`` (md5 of the line), ``n`` occurrences, ``class_id`` and the class's first occurrence ``first_doc, first_pos``."""
+    """``id`` (md5 of the line), ``n`` occurrences, ``class_id`` and the class's first occurrence ``first_doc, first_sig, first_pos``.
+
+    A segment that more than ``MANY`` lines share gives no pairs for one edit: these lines are joined again without
+    one of ``BLOCKS`` blocks each, where two lines within one edit meet all the same and few others do.
+    """
     lines = _lines(docs)
-    ids = materialize(lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")))
+    ids = materialize(lines.groupBy("id").agg(F.min(F.struct("doc_id", "sig", "pos")).alias("first"), F.count("*").alias("n")))
     long_ = lines.where(F.char_length("line") >= max(near_chars, 2 * edits + 2))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        few = wanted.count() <= FEW
+        # a line is fetched where it first stands, so that a line of many documents is no hot key
+        placed = ids.join(F.broadcast(wanted) if few else wanted, "id").select("id", "first.doc_id", "first.sig", "first.pos")
+        text = long_.join(F.broadcast(placed) if few else placed, ["id", "doc_id", "sig", "pos"]).select("id", "line")
+        return materialize(text.dropDuplicates(["id"]))
+
     keys = long_.select("id", F.explode(_keys(edits)).alias("k")).select("id", "k.key", "k.own").distinct()
     keys = materialize(keys)
-    meet = materialize(keys.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 and o").select("key"))
-    keys2 = materialize(keys.join(meet, "key", "left_semi"))
+    meet = materialize(keys.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 and o").select("key", "c"))
+    keys2 = materialize(keys.join(meet, "key"))
     drop(keys, meet)
     release(docs.sparkSession)
-    left, right = keys2.where("own").select("key", F.col("id").alias("a")), keys2.select("key", F.col("id").alias("b"), F.col("own").alias("own_b"))
-    pairs = left.join(right, "key").where((F.col("a") != F.col("b")) & (~F.col("own_b") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    old = [keys2]
+    if edits == 1:
+        pairs = _meeting(keys2.where(F.col("c") <= MANY))
+        crowd = materialize(keys2.where(F.col("c") > MANY).select("id").distinct())
+        crowded = texts(crowd)
+        fine = materialize(crowded.select("id", F.explode(_fine_keys()).alias("k")).select("id", "k.key", "k.own"))
+        pairs = pairs.union(_meeting(fine)).distinct()
+        old += [crowd, crowded, fine]
+    else:
+        pairs = _meeting(keys2)
     pairs = materialize(pairs)
+    drop(*old)
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= FEW
-    # a line is fetched where it first stands, so that a line of many documents is no hot key
-    placed = ids.join(F.broadcast(wanted) if few else wanted, "id").select("id", "first.doc_id", "first.pos")
-    text = long_.join(F.broadcast(placed) if few else placed, ["id", "doc_id", "pos"]).select("id", "line")
-    text = materialize(text.dropDuplicates(["id"]))
+    text = texts(wanted)
     both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
     links = materialize(both.where(edit_within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
     comp = connected_components(links, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("class_id"))
     tagged = materialize(ids.join(comp, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")))
-    drop(keys2, pairs, wanted, text, links, ids)
+    drop(pairs, wanted, text, links, ids)
     release(docs.sparkSession)
     firsts = tagged.groupBy("class_id").agg(F.min("first").alias("f"))
-    return tagged.join(firsts, "class_id").select("id", "n", "class_id", F.col("f.doc_id").alias("first_doc"), F.col("f.pos").alias("first_pos"))
+    return tagged.join(firsts, "class_id").select("id", "n", "class_id", F.col("f.doc_id").alias("first_doc"), F.col("f.sig").alias("first_sig"), F.col("f.pos").alias("first_pos"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16, keep_whole: bool = True) -> DataFrame:
@@ -152,30 +191,34 @@ def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16, keep_whol
     line number) stays in the corpus. Blank lines are never touched. A document that would lose every line keeps
     its text (op7's SQL says so), unless ``keep_whole`` is false: then only its blank lines stay, so that no line
     seen before is left in the corpus. Rows without doc_id or text stay as they are and count
-    0 lines; rows that repeat a doc_id are alike and keep the same lines. The columns of ``docs`` all come back
-    (columns named n_lines or n_removed are replaced).
+    0 lines. Rows that repeat a doc_id with the same text keep the same lines; with different texts they are judged
+    one after the other, in the order of a hash of the text. No rows give no rows. The columns of ``docs`` all come
+    back, whatever their names (only columns named n_lines or n_removed are replaced).
     """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = line_classes(typed, edits, near_chars).select(F.col("first_doc").alias("_doc"), F.col("first_pos").alias("_pos")).distinct()
-    kept = first.groupBy("_doc").agg(F.array_sort(F.collect_list("_pos")).alias("_kept"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("_doc"), "left")
+    first = line_classes(typed, edits, near_chars).select("first_doc", "first_sig", "first_pos").distinct()
+    kept = first.groupBy("first_doc", "first_sig").agg(F.array_sort(F.collect_list("first_pos")).alias("kept"))
+    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("line"))
+    joined = given.join(kept, (F.col("doc") == F.col("first_doc")) & (F.xxhash64("line") == F.col("first_sig")), "left")
 
     def rebuilt(parts: Column) -> Column:
         """Of one text's lines, bound once: how many are not blank, and the text of those that stay."""
         blank = F.filter(F.transform(parts, lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-        stay = F.transform(F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank)), lambda i: F.get(parts, i))
+        stay = F.transform(F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)), lambda i: F.get(parts, i))
         return F.struct((F.size(parts) - F.size(blank)).alias("lines"), F.array_join(stay, "\n").alias("text"))
 
-    made = joined.withColumn("_made", F.transform(F.array(F.split(F.col("text").cast("string"), "\n", -1)), rebuilt)[0])
-    known = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    lines = F.when(known, F.col("_made.lines")).otherwise(0)
-    left = F.when(known, F.coalesce(F.size("_kept"), F.lit(0))).otherwise(0)
+    made = joined.withColumn("made", F.transform(F.array(F.split("line", "\n", -1)), rebuilt)[0])
+    known = F.col("doc").isNotNull() & F.col("line").isNotNull()
+    lines = F.when(known, F.col("made.lines")).otherwise(0)
+    left = F.when(known, F.coalesce(F.size("kept"), F.lit(0))).otherwise(0)
     some = known & (left < lines) & ((left > 0) | F.lit(not keep_whole))
-    out = made.withColumns({"n_lines": lines.cast("long"), "n_removed": F.when(some, lines - left).otherwise(0).cast("long"), "text": F.when(some, F.col("_made.text")).otherwise(F.col("text"))})
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns])
+    new = {"n_lines": lines.cast("long"), "n_removed": F.when(some, lines - left).otherwise(0).cast("long"), "text": F.when(some, F.col("made.text")).otherwise(F.col("row.text"))}
+    names = [*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns]]
+    return made.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """``documents`` without lines seen before: counts of lines and a digest of each text that is left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
