@@ -50,6 +50,51 @@ def test_ngram_join(docs, n, num):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if comp[i] == i} | {None}
 
 
+def test_ngram_join_repeated_ids_in_any_order(spark):
+    a, b = text(60), text(60)
+    rows = [(3, a), (3, b), (10, a + " tail"), (11, b + " tail"), (3, a)]
+    for order in (rows, [rows[1], rows[0], *rows[:1:-1]]):
+        got = ngram_join.jaccard_components(spark.createDataFrame(order, "doc_id long, text string"), 4, 85, 100, all_links=False).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (3, 3), (3, 3), (10, 3), (11, 3)]
+
+
+def test_lines_against_all_pairs(spark):
+    def near(x):
+        i = random.randrange(len(x))
+        return random.choice([x[:i] + "Q" + x[i:], x[:i] + x[i + 1 :], x[:i] + "Q" + x[i + 1 :]])
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    base = [text(8)[: random.randrange(14, 30)].strip() for _ in range(12)]
+    crowd = [base[0] + f" {i:02d}{i:02d} " + base[1] for i in range(50)]  # more lines than are tried pairwise share a half
+    lines_ = list(dict.fromkeys([*base, *crowd, *map(near, base), *map(near, map(near, base)), *map(near, crowd[:10])]))
+    df = spark.createDataFrame(list(enumerate(lines_)), "doc_id long, text string")
+    for edits in (1, 2):
+        comp = {x: x for x in lines_}
+        links = [(a, b) for a in lines_ for b in lines_ if a < b and min(len(a), len(b)) >= 16 and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits]
+        for _ in lines_:
+            for a, b in links:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+        got = line_dedup.line_classes(df, edits).join(df.select(F.unhex(F.md5("text")).alias("id"), "text"), "id").collect()
+        groups = lambda c: sorted(sorted(x for x in lines_ if c[x] == k) for k in set(c.values()))
+        assert groups({r.text: bytes(r.class_id) for r in got}) == groups(comp) and len(links) > 10
+
+
+def test_lines_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "one line of some length\nb", "x", 7), (1, "another line of some length\nb", "y", 8), (2, "one line of some length\nc", "z", 9)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, _doc string, kept int"))
+    assert out.columns == ["doc_id", "text", "_doc", "kept", "n_lines", "n_removed"]
+    got = {r._doc: (r.text, r.kept, r.n_removed) for r in out.collect()}
+    assert got["z"] == ("c", 9, 1) and sorted(got[k][2] for k in "xy") == [0, 1]
+    assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_lines(spark, docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"] and out.count() == docs.count()
@@ -72,9 +117,10 @@ def test_edit_distance(spark):
         assert near.where(line_dedup.edit_within(F.col("a"), F.col("b"), k) != (F.levenshtein("a", "b") <= k)).count() == 0
 
 
-def test_repeats(docs):
+def removed(texts):
+    """Byte by byte: length, bytes that go, maximal runs of them, digest of the rest."""
     seen, want = set(), {}
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -82,9 +128,33 @@ def test_repeats(docs):
                 gone[p : p + 100] = b"\1" * 100
             seen.add(b[p : p + 100])
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        want[i] = (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs).collect() if r.doc_id is not None}
-    assert got == want
+        want[i] = (len(b), sum(gone), sum(1 for x in bytes(gone).split(b"\0") if x), hashlib.sha256(kept).hexdigest())
+    return want
+
+
+def test_repeats(spark, docs):
+    def got(df, **sizes):
+        return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df, **sizes).collect() if r.doc_id is not None}
+
+    assert got(docs) == removed(TEXTS)
+    # a passage that many share with other text around it, far more slices than one task sorts; texts cut into many parts
+    passage = text(30)[:130]
+    many = [text(random.randrange(40)) + passage + text(random.randrange(40)) for _ in range(40)] + [text(900) + "é" * 150 + passage, "ab" * 300, "é" * 90]
+    df = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    assert got(df) == got(df, chunk=333, block_size=64, crowd=8) == removed(many)
+    assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    twice = spark.createDataFrame([(1, passage), (1, "short"), (2, passage + "x"), (None, passage)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in repeats.remove_repeats(twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, len(passage))]
+
+
+def test_equal_suffixes_by_cover_ranks():
+    rng = np.random.default_rng(2)
+    for _ in range(10):
+        base = rng.integers(0, 3, 400).astype(np.uint8)
+        t = np.concatenate([base[a : a + rng.integers(110, 200)] for a in rng.integers(0, 250, 20)] + [np.zeros(300, np.uint8)])
+        starts, seen, raw = np.sort(rng.choice(len(t) - 100, 700, replace=False)), {}, t.tobytes()
+        assert repeats.first_equal(t, starts).tolist() == [seen.setdefault(raw[s : s + 100], i) for i, s in enumerate(starts)]
+    assert {(a - b) % repeats.PERIOD for a in repeats.COVER for b in repeats.COVER} == set(range(repeats.PERIOD))
 
 
 def test_tokens(spark, docs):
@@ -108,6 +178,9 @@ def test_tokens(spark, docs):
             assert r.start == pos and r.ids_crc32 == zlib.crc32(np.array(full[pos : pos + r.length], "<u4").tobytes())
             pos += r.length
         assert pos == len(full)
+    same = spark.createDataFrame([(2, "b"), (1, "a a"), (1, "c"), (1, "a a"), (None, "d")], "doc_id long, text string")
+    got = sorted((r.start, r.n_tokens, r.doc_id) for r in tokens.read_token_files(tokens.write_token_files(same, path, segment_ids=2)).collect())
+    assert [d for _, _, d in got] == [None, 1, 1, 1, 2] and [s for s, _, _ in got] == [sum(n for _, n, _ in got[:i]) for i in range(5)]
     empty = spark.createDataFrame([], SCHEMA)
     assert tokens.pack_documents(empty, path).count() == 0 and tokens.read_token_files(tokens.write_token_files(empty, path)).count() == 0
 
@@ -154,6 +227,78 @@ def test_mixing(docs):
         assert all(0 <= k <= sizes[n] for n, k in take.items()) and 0 <= budget - sum(n * k for n, k in take.items()) < 3
 
 
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), rng.choice(["b", "a", "a", "a", None, "c"])) for i in range(400)] + [(None, "w w w", "a")] * 5 + [(1000, None, "c"), (1001, "", None)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + len((t or "").split())
+    order = sorted((s for s in total if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(total.values())
+    while open_:  # what is over the cap is shared anew, round by round
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] > 2 * total[s]}
+        for s in full or open_:
+            target[s] = 2 * total[s] if full else unit * weight[s]
+            left -= target[s]
+        open_ -= full or open_
+    for s in order:
+        mine = [r for r in got if r.source == s]
+        assert {r.source_size for r in mine} == {total[s]} and all(abs(r.target - target[s]) < 1e-6 for r in mine)
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in mine) and len({r.taken // r.size for r in mine if r.size}) <= 2
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 0.5  # so many lengths reach every sum
+    assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_packing_contract(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([i, i, None]), text(rng.randrange(0, 900))) for i in range(300)] + [(7, "same text")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = tokens.pack_documents(df, tokens.default_tokenizer(), shard_bytes=1 << 18).collect()
+    seqs = {}
+    for r in pieces:
+        seqs.setdefault(r.sequence_id, []).append(r)
+    odd = 0
+    for s in seqs.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at <= 2048 and {r.sequence_tokens for r in s} == {at}
+        odd += at & (at - 1) != 0
+    shards = {i >> 32 for i in seqs}
+    assert odd <= len(shards) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+    groups = {}
+    for s in seqs.values():
+        groups.setdefault(s[0].step_group, []).append(s[0].sequence_tokens)
+    for shard in shards:
+        mine = [g for k, g in groups.items() if k >> 32 == shard]
+        assert max(map(len, mine)) - min(map(len, mine)) <= 1 and max(map(len, mine)) <= 32
+
+
+def test_special_names_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    model = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    parts = [*"abAB12.,;:!?'()é\u0660中-_ \n\t", "<|endoftext|>", " don't", "\u3000", "½", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    want = [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tokens.Encoder(path)(texts) == want and tokens.Encoder(path, most=5)(texts) == want
+    assert 50256 in np.frombuffer(want[next(i for i, t in enumerate(texts) if "<|endoftext|>" in t)], "<u4")
+
+
+def test_quality_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    rows = quality.op9_quality_votes(spark, sf).join(truth, "doc_id").where("held_out").collect()
+    wrong = sum(r.predicted != r.quality for r in rows)
+    assert len(rows) > 50 and wrong <= 0.03 * len(rows)
+
+
 def vecs(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string")
 
@@ -174,11 +319,21 @@ def test_vectors(spark):
         assert [got[i][k + 1] for k in range(5)] == [(j, -v) for v, j in s]
     assert set(got) == set(range(0, 600, 50))
     hit = 0
-    found = vectors.multi_index_search(df, df.where("vec_id % 50 = 0"), least=400).collect()
+    found = vectors.multi_index_search(df, df.where("vec_id % 50 = 0")).collect()
     for i in range(0, 600, 50):
         d = sorted((float(((x[i].astype(float) - x[j]) ** 2).sum()), j) for j in range(600) if j != i)[:10]
         hit += len({j for _, j in d} & {r.vec_id for r in found if r.query_id == i})
     assert hit >= 0.9 * 120
+    assert all(len({r.vec_id for r in found if r.query_id == i}) == 10 for i in range(0, 600, 50))
+    # other lengths have neighbours of their own; sums beyond a long are held to its range
+    mixed = vecs(spark, [(0, [1.0, 0.0, 0.0], "c"), (1, [1.0, 1.0, 0.0], "c"), (2, [1.0, 0.0, 9.0], "c"), (100, [1.0, 0.0], "c"), (101, [3.0, 0.0], "c")])
+    got = vectors.multi_index_search(mixed, mixed.where("vec_id % 100 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 9.0), (100, 1, 101, 2.0)]
+    huge = vecs(spark, [(0, [1e37, 1.0], "c"), (1, [1e37, 2.0], "c"), (2, [1.0, 1.0], "c"), (3, [-1e37, 0.0], "c"), (4, [2e37, 0.0], "c"), (50, [1.0, 1.0], "c")])
+    got = vectors.exact_top_k(huge, huge.where("vec_id % 50 = 0")).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [1, 2, 4, 50, 3]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 50] == [0, 1, 4, 2, 3]
+    assert {r.vec_id: r.score for r in got if r.query_id == 50}[2] == 2 * 256 * 256
     none = vecs(spark, bad[:3])
     assert vectors.exact_top_k(none, none).count() == 0 and vectors.multi_index_search(none, none).count() == 0
 
