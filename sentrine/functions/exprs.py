@@ -1,11 +1,14 @@
-"""Column expressions of the payment domain; all stay in the JVM."""
+"""Column expressions of the payment domain; all but the walk through JSON evidence stay in the JVM."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrine.config import CHANNELS, CITIES, EARTH_KM, TIERS
 
@@ -93,6 +96,7 @@ def triage_hypotheses(fired: Column, default: str = "No rule fired; the model sc
     return F.when(F.size(texts) > 0, texts).otherwise(F.array(F.lit(default)))
 
 
+# The questions.
 def suggested_questions(fired: Column) -> Column:
     always = F.array(F.lit("Why was this flagged?"), F.lit("Is this normal for the account?"), F.lit("What evidence would change the verdict?"))
     has = lambda *c: F.arrays_overlap(fired, F.array(*map(F.lit, c)))
@@ -143,6 +147,7 @@ def number_matches(value: Column, candidate: Column) -> Column:
     return near | (gap <= 0.5 * F.pow(F.lit(10.0), -places) + 1e-9) | ((places == 0) & (value == F.when(candidate < 0, F.ceil(candidate)).otherwise(F.floor(candidate))))
 
 
+# What is no quantity.
 def extract_quantities(text: Column) -> Column:
     """``array<struct<value double, is_percent boolean>>``: numbers that assert a quantity, not times, ids or markers."""
     t = F.translate(text, "\u2212\u2010\u2011\u2012\u2013\ufe63\uff0d", "-------")
@@ -154,11 +159,41 @@ def extract_quantities(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.regexp_replace(x, "[,%]", "").cast("double").alias("value"), x.endswith("%").alias("is_percent")))
 
 
+@F.pandas_udf(T.StructType().add("numbers", T.ArrayType(T.DoubleType())).add("texts", T.ArrayType(T.StringType())))
+def _leaves(payloads: pd.Series) -> pd.DataFrame:
+    """Of each JSON text the numbers and the sizes of its arrays, and its strings and keys. What is no JSON is one string."""
+
+    def leaves(payload: str | None) -> tuple[list[float], list[str]]:
+        numbers, texts = [], []
+        try:
+            todo = [] if payload is None else [json.loads(payload)]
+        except ValueError:
+            return [], [payload]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                texts.append(x)
+            elif isinstance(x, dict):
+                texts += x
+                todo += x.values()
+            elif isinstance(x, list):
+                numbers.append(float(len(x)))
+                if not any(isinstance(y, dict | list) for y in x):  # members that can be told apart as values
+                    numbers.append(float(len(set(x))))
+                todo += x
+            elif isinstance(x, int | float) and not isinstance(x, bool) and abs(x) < 1e308:
+                numbers.append(float(x))
+        return numbers, texts
+
+    return pd.DataFrame([leaves(p) for p in payloads], columns=["numbers", "texts"])
+
+
 def flatten_numbers(payload: Column) -> Column:
-    """Every number in a JSON text, those inside strings and keys too, and sizes of arrays of scalars."""
-    numbers = F.transform(extract_quantities(payload), lambda q: F.abs(q["value"]))
-    lists = F.regexp_extract_all(payload, F.lit(r"\[([^\[\]{}]*)\]"), F.lit(1))
-    items = F.transform(lists, lambda s: F.when(F.trim(s) == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(s, ","), lambda x: F.trim(x))))
-    sizes = F.transform(items, lambda a: F.size(a).cast("double"))
-    distinct = F.transform(items, lambda a: F.size(F.array_distinct(a)).cast("double"))
-    return F.array_sort(F.array_distinct(F.concat(numbers, sizes, distinct)))
+    """Every number of a JSON text by size, those inside strings and keys too, and for arrays how many members and different members they have."""
+    parsed = F.array(_leaves(payload))
+
+    def numbers(leaf: Column) -> Column:
+        quoted = F.flatten(F.transform(leaf["texts"], lambda t: F.transform(extract_quantities(t), lambda q: q["value"])))
+        return F.array_sort(F.array_distinct(F.transform(F.concat(leaf["numbers"], quoted), lambda x: F.abs(x))))
+
+    return F.transform(parsed, numbers)[0]

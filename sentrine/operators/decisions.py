@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +43,40 @@ def pass_through_signal(cfg: EngineConfig = DEFAULT) -> Column:
     return _signal(F.col("chain_depth") >= cfg.pass_depth, "PASS_THROUGH", F.col("chain_depth") / 3.0, depth=F.col("chain_depth"), ratio=F.col("pt_ratio"), secs=F.col("pt_secs"))
 
 
-def hard_rules(cfg: EngineConfig = DEFAULT) -> Column:
+@dataclass(frozen=True)
+class Rule:
+    """A hard rule: of those whose ``condition`` holds, the one of lowest ``priority`` decides, and says why in its ``evidence``."""
+
+    code: str
+    priority: int
+    condition: Callable[[EngineConfig], Column]
+    evidence: Callable[[EngineConfig], dict[str, Column]] = lambda cfg: {}
+    verdict: str = "BLOCK"
+
+
+RULES = (
+    Rule(HARD_RULES[0], 0, lambda cfg: F.col("merchant_id").isin(*cfg.sanctioned), lambda cfg: {"merchantId": F.col("merchant_id")}),
+    Rule(HARD_RULES[1], 10, lambda cfg: F.col("amount") > cfg.amount_cap, lambda cfg: {"amount": F.col("amount"), "cap": F.lit(float(cfg.amount_cap))}),
+)
+
+
+def fired_rule(cfg: EngineConfig = DEFAULT, rules=RULES) -> Column:
+    """``struct<verdict, signal>`` of the first rule that fits, by priority; null if none does. A rule that cannot be built is left out."""
+    out = None
+    for rule in sorted(rules, key=lambda r: r.priority):
+        try:
+            on, facts = rule.condition(cfg), rule.evidence(cfg)
+            hit = F.struct(F.lit(rule.verdict).alias("verdict"), _signal(F.lit(True), rule.code, F.lit(1.0), **facts).alias("signal"))
+        except Exception:  # one rule must not stop the others
+            logging.getLogger(__name__).warning("rule %s failed", rule.code, exc_info=True)
+            continue
+        out = F.when(on, hit) if out is None else out.when(on, hit)
+    return F.lit(None).cast("struct<verdict:string,signal:struct<code:string,severity:double,evidence:map<string,string>>>") if out is None else out
+
+
+def hard_rules(cfg: EngineConfig = DEFAULT, rules=RULES) -> Column:
     """Code of the first hard rule that fits, by priority."""
-    return F.when(F.col("merchant_id").isin(*cfg.sanctioned), HARD_RULES[0]).when(F.col("amount") > cfg.amount_cap, HARD_RULES[1])
+    return fired_rule(cfg, rules)["signal"]["code"]
 
 
 def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = False) -> DataFrame:
@@ -66,11 +99,11 @@ def all_signals(cfg: EngineConfig = DEFAULT, checks: list[Callable[[EngineConfig
     return F.array_compact(F.array(*velocity_signals(cfg), geo_signal(cfg), ring_signal(cfg), pass_through_signal(cfg), *[c(cfg) for c in checks]))
 
 
-def threshold_policy(rule: Column, score: Column, signals: Column, mode: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    """BLOCK, REVIEW or ALLOW; the first condition that holds decides."""
+def threshold_policy(rule: Column, score: Column, signals: Column, mode: Column, cfg: EngineConfig = DEFAULT, ruled: Column | None = None) -> Column:
+    """BLOCK, REVIEW or ALLOW; the first condition that holds decides. A rule means ``ruled``, by default BLOCK."""
     strong = F.size(F.filter(signals, lambda s: s["severity"] >= cfg.min_severity)) >= cfg.min_signals
     return (
-        F.when(rule.isNotNull(), "BLOCK").when(score >= cfg.block, "BLOCK").when((score >= cfg.review) | strong, "REVIEW")
+        F.when(rule.isNotNull(), F.lit("BLOCK") if ruled is None else ruled).when(score >= cfg.block, "BLOCK").when((score >= cfg.review) | strong, "REVIEW")
         .when((mode == "DEGRADED") & (F.size(signals) >= 1), "REVIEW").otherwise("ALLOW")
     )
 
@@ -83,18 +116,23 @@ def decision_mode(gate: Column, score: Column) -> Column:
     return F.when(gate & score.isNull(), "DEGRADED").otherwise("FULL")
 
 
-def assemble_decision(f: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None, cfg: EngineConfig = DEFAULT, checks=()) -> DataFrame:
-    """Features to decisions. ``scorer`` adds ``ml_score`` and is only given the payments the gate lets through."""
+def assemble_decision(f: DataFrame, scorer: Callable[[DataFrame], DataFrame] | None = None, cfg: EngineConfig = DEFAULT, checks=(), rules=RULES) -> DataFrame:
+    """Features to decisions. ``scorer`` adds ``ml_score`` and is only given the payments the gate lets through.
+
+    The rule that fires is one more signal of the decision, with its evidence, after those of the checks; it does not
+    count as one of the strong signals that ask for a review.
+    """
     out = f.withColumn("signals", all_signals(cfg, checks)).withColumn("gate", score_gate(F.col("signals"), F.col("txn_id"), cfg))
     if scorer is None:
         out = out.withColumn("ml_score", F.lit(None).cast("double"))
     else:
         rest = out.where("not gate").withColumn("ml_score", F.lit(None).cast("double"))
         out = scorer(out.where("gate")).unionByName(rest)
-    out = out.withColumn("rule", hard_rules(cfg)).withColumn("mode", decision_mode(F.col("gate"), F.col("ml_score")))
-    out = out.withColumn("verdict", threshold_policy(F.col("rule"), F.col("ml_score"), F.col("signals"), F.col("mode"), cfg))
-    codes = F.transform("signals", lambda s: s["code"])
-    out = out.withColumn("fired_rules", F.when(F.col("rule").isNull(), codes).otherwise(F.concat(codes, F.array("rule"))))
+    out = out.withColumn("ruled", fired_rule(cfg, rules)).withColumn("rule", F.col("ruled.signal.code"))
+    out = out.withColumn("mode", decision_mode(F.col("gate"), F.col("ml_score")))
+    out = out.withColumn("verdict", threshold_policy(F.col("rule"), F.col("ml_score"), F.col("signals"), F.col("mode"), cfg, F.col("ruled.verdict")))
+    out = out.withColumn("signals", F.array_compact(F.array_append("signals", F.col("ruled.signal")))).drop("ruled")
+    out = out.withColumn("fired_rules", F.transform("signals", lambda s: s["code"]))
     out = out.withColumn("features", features_map())
     return out.withColumn("latency_ms", latency_ms(F.col("ts_ms"), F.col("decided_ms") if "decided_ms" in out.columns else F.col("ts_ms")))
 

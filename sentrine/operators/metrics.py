@@ -72,11 +72,19 @@ def per_pattern_recall(scored: DataFrame, threshold: float, p: str = "p") -> Dat
     return scored.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("positives"), F.avg(hit.cast("double")).alias("recall"))
 
 
-def _curve(scored: DataFrame, p: str, y: str) -> DataFrame:
-    """Distinct scores with their counts and what lies at or above each; only distinct scores are ordered."""
+def _curve(scored: DataFrame, p: str, y: str, bands: int = 4096) -> DataFrame:
+    """Distinct scores with their counts and what lies at or above each.
+
+    Scores between 0 and 1 are ordered in ``bands`` of their own; one window of a row per band adds what lies above each.
+    """
     by = scored.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    up = Window.orderBy(F.desc("p"))
-    return by.withColumns({"above": F.sum("n").over(up), "tp": F.sum("pos").over(up)})
+    by = by.withColumn("band", F.greatest(F.lit(0), F.least(F.lit(bands), F.floor(F.col("p") * bands).cast("int"))))
+    before = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = by.groupBy("band").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    sums = sums.select("band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("pos0"))
+    up = Window.partitionBy("band").orderBy(F.desc("p"))
+    by = by.join(F.broadcast(sums), "band")  # at most bands + 1 rows
+    return by.withColumns({"above": F.col("n0") + F.sum("n").over(up), "tp": F.col("pos0") + F.sum("pos").over(up)})
 
 
 def pr_auc(scored: DataFrame, p: str = "p", y: str = "y") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sentrine.config import DEFAULT, EngineConfig
 from sentrine.functions.exprs import java_round
 from sentrine.operators.components import connected_components
-from sentrine.storage import materialize
+from sentrine.storage import drop, materialize
 
 
 def build_edges(t: DataFrame) -> DataFrame:
@@ -90,23 +90,31 @@ def chain_depth(matched: DataFrame, cap: int = DEFAULT.chain_cap) -> DataFrame:
 def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """First path, by edge order, from ``node`` to ``goal`` over the edges live when ``seq`` arrives.
 
-    ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. Accounts
-    that nothing leaves or nothing enters are trimmed first. Returns ``seq, path`` (accounts) and ``hops``.
+    ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. Transfers of
+    an account are ranked; a path knows how many its account had sent when ``seq`` arrived, and so meets at most the
+    newest ``max_edges`` of them by an equi-join on (account, rank), however many are no longer live. Accounts that
+    nothing leaves are trimmed. Returns ``seq, path`` (accounts) and ``hops``.
     """
-    live = edge_lifetimes(edges, cfg)
-    live = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")  # its target leads somewhere
-    step = live.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), "out_until")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("seq"))
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), rank.alias("rank"))
+    step = materialize(step.join(edges.select(F.col("src").alias("to")).distinct(), "to", "left_semi"))  # its target leads somewhere
+    sent = edges.select(F.col("src").alias("node"), "seq", F.lit(1).alias("sent"))
+    so_far = Window.partitionBy("node").orderBy("seq", "sent").rowsBetween(Window.unboundedPreceding, 0)
     cur = starts.withColumns({"path": F.array("node"), "hops": F.array().cast("array<string>")})
-    found = None
-    for hop in range(1, cfg.max_cycle):
-        ok = (F.col("e_seq") < F.col("seq")) & (F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms) & (F.col("out_until").isNull() | (F.col("out_until") > F.col("seq")))
-        nxt = cur.join(step, "node").where(ok & ~F.array_contains("path", F.col("to")))
-        nxt = nxt.select("seq", "ts_ms", "goal", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"), F.concat("hops", F.array("e_seq")).alias("hops"))
-        nxt = materialize(nxt)
+    found, tables = None, [step]
+    for _ in range(1, cfg.max_cycle):
+        here = cur.withColumn("sent", F.lit(0)).unionByName(sent, allowMissingColumns=True).withColumn("had", F.sum("sent").over(so_far)).where("sent = 0 and had > 0")
+        ranks = F.sequence(F.greatest(F.lit(1), F.col("had") - (cfg.max_edges - 1)), F.col("had"))
+        nxt = here.withColumn("rank", F.explode(ranks)).withColumn("rank", F.col("rank").cast("int")).join(step, ["node", "rank"])
+        nxt = nxt.where((F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms) & ~F.array_contains("path", F.col("to")))
+        nxt = materialize(nxt.select("seq", "ts_ms", "goal", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"), F.concat("hops", F.array("e_seq")).alias("hops")))
+        tables.append(nxt)
         done = nxt.where("node = goal").select("seq", "path", "hops")
         found = done if found is None else found.union(done)
         cur = nxt.where("node != goal")
-    return found.groupBy("seq").agg(F.min_by("path", "hops").alias("path"), F.min("hops").alias("hops"))
+    out = materialize(found.groupBy("seq").agg(F.min_by("path", "hops").alias("path"), F.min("hops").alias("hops")))
+    drop(*tables)
+    return out
 
 
 def ring_cycles(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -178,6 +186,6 @@ def component_size_asof(edges: DataFrame) -> DataFrame:
 def component_size_windowed(edges: DataFrame, window_ms: int = 86_400_000) -> DataFrame:
     """``slot, node, size``: components within each tumbling window, so that old transfers stop counting."""
     e = edges.withColumn("slot", F.floor(F.col("ts_ms") / window_ms).cast("long"))
-    tag = lambda c: F.concat_ws("|", F.lpad(F.col("slot").cast("string"), 12, "0"), c)
+    tag = lambda c: F.concat(F.lpad(F.col("slot").cast("string"), 12, "0"), c)
     c = components_final(e.select(tag("src").alias("src"), tag("dst").alias("dst")))
-    return c.select(F.split("node", r"\|")[0].cast("long").alias("slot"), F.split("node", r"\|")[1].alias("node"), "size")
+    return c.select(F.substring("node", 1, 12).cast("long").alias("slot"), F.expr("substr(node, 13)").alias("node"), "size")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from sentrine.operators import models as ML
 from sentrine.operators import transfers as G
 from sentrine.operators import users as U
 from sentrine.sources import payments as P
+from sentrine.storage import materialize, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -144,18 +147,56 @@ def latency_ms(t, *_):
     return dec(t).select("txn_id", X.latency_ms(F.col("ts_ms") + 100, F.col("ts_ms") + F.col("latency_ms")).alias("latency"))
 
 
-@query()
+_KNOWN = ", ".join(f"'{k}': '{v}'" for k, v in X.HYPOTHESES.items())
+
+
+@query(f""", h AS (SELECT txn_id, list_filter(list_transform(fired_rules, lambda r: map {{{_KNOWN}}}[r]), lambda x: x IS NOT NULL) AS x FROM d)
+SELECT txn_id, CASE WHEN len(x) > 0 THEN array_to_string(x, '; ') ELSE 'No rule fired; the model score alone raised it' END AS hypotheses FROM h""")
 def triage_hypotheses(t, *_):
     return dec(t).select("txn_id", F.array_join(X.triage_hypotheses(F.col("fired_rules")), "; ").alias("hypotheses"))
 
 
+@query(_HASH + " SELECT txn_id, k % 7 = 0 OR CAST(xor(h, h >> 13) & 2147483647 AS DOUBLE) / 2147483647.0 < " + str(DEFAULT.sample_rate) + " AS gate FROM h2 JOIN t USING (txn_id)")
+def score_gate(t, *_):
+    signals = F.when(F.col("k") % 7 == 0, F.array(F.lit("s"))).otherwise(F.array().cast("array<string>"))
+    return t.select("txn_id", D.score_gate(signals, F.col("txn_id")).alias("gate"))
+
+
+@query(" SELECT txn_id, CASE WHEN k % 2 = 0 AND ml_score IS NULL THEN 'DEGRADED' ELSE 'FULL' END AS mode FROM d")
+def decision_mode(t, *_):
+    return dec(t).select("txn_id", D.decision_mode(F.col("k") % 2 == 0, F.col("ml_score")).alias("mode"))
+
+
+@query(""", c AS (SELECT txn_id, CAST(k AS DOUBLE) AS v, k + (event_id % 9 - 4) / 4.0 AS c FROM t)
+SELECT txn_id, abs(v - c) <= greatest(abs(v), abs(c)) * 0.01 OR abs(v - c) <= 0.5 + 1e-9 OR v = trunc(c) AS same FROM c""")
+def number_matches(t, *_):
+    near = F.col("k") + (F.col("event_id") % 9 - 4) / 4.0
+    return t.select("txn_id", X.number_matches(F.col("k").cast("double"), near).alias("same"))
+
+
+@query(""" SELECT txn_id, array_to_string(list_filter(['VELOCITY_1M', 'RING_SUSPECT', 'AMOUNT_CAP'], lambda x: NOT list_contains(fired_rules, x)), ',') AS missing FROM d""")
+def missing_features(t, *_):
+    wanted = F.array(*map(F.lit, ("VELOCITY_1M", "RING_SUSPECT", "AMOUNT_CAP")))
+    return dec(t).select("txn_id", F.array_join(D.missing_features(wanted, F.col("fired_rules")), ",").alias("missing"))
+
+
+@query(""" SELECT txn_id, array_to_string(CASE WHEN merchant_id IN ('""" + "', '".join(SANCTIONED) + """') THEN ['BLOCK', 'HARD_BLOCK_MERCHANT', 'merchantId', merchant_id]
+  WHEN amount > 200000 THEN ['BLOCK', 'AMOUNT_CAP', 'cap', '200000.0'] END, ',') AS outcome FROM t WHERE merchant_id IN ('""" + "', '".join(SANCTIONED) + """') OR amount > 200000""")
+def rule_evidence(t, *_):
+    r = t.withColumn("r", D.fired_rule()).where("r is not null")
+    name = F.when(F.col("r.signal.code") == "AMOUNT_CAP", "cap").otherwise("merchantId")
+    return r.select("txn_id", F.concat_ws(",", "r.verdict", "r.signal.code", name, F.element_at("r.signal.evidence", name)).alias("outcome"))
+
+
 @query(""" SELECT txn_id, CAST(3 + CAST(list_contains(fired_rules, 'VELOCITY_1M') AS INTEGER) + CAST(list_contains(fired_rules, 'GEO_IMPOSSIBLE') AS INTEGER)
   + CAST(list_has_any(fired_rules, ['RING_SUSPECT', 'PASS_THROUGH']) AS INTEGER) + CAST(list_contains(fired_rules, 'HARD_BLOCK_MERCHANT') AS INTEGER) AS INTEGER) AS questions FROM d""")
 def suggested_questions(t, *_):
     return dec(t).select("txn_id", F.size(X.suggested_questions(F.col("fired_rules"))).alias("questions"))
 
 
-@query()
+@query(""", c AS (SELECT txn_id, score, unnest([{'f': 'amount', 'v': abs(amount / 1e5)}, {'f': 'k', 'v': abs(k - 50.0)}, {'f': 'score', 'v': abs(score)}]) AS x FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY x.v DESC, x.f) AS r FROM c)
+SELECT txn_id, CASE WHEN score >= 0.4 THEN string_agg(x.f, ',' ORDER BY r) FILTER (WHERE r <= 2) ELSE '' END AS top FROM r GROUP BY txn_id, score""")
 def top_contributions(t, *_):
     parts = F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value")) for n, v in (("amount", F.col("amount") / 1e5), ("k", F.col("k") - 50), ("score", F.col("score")))])
     top = X.F.coalesce(C.top_contributions(parts, F.col("score"), 2), F.array().cast("array<struct<feature:string,value:double>>"))
@@ -253,9 +294,14 @@ def recent_decisions(t, *_):
     return U.recent_decisions(dec(t), DAY, 20).select("txn_id", "rank")
 
 
-@query()
+@query(f""", pr AS (SELECT user_id, count(*) AS n, {_jr('avg(amount)', 2)} AS mean, coalesce({_jr('stddev_samp(amount)', 2)}, 0.0) AS std FROM t GROUP BY user_id),
+wi AS (SELECT user_id, """ + ", ".join(f"count(*) FILTER (WHERE ts_ms - ts_ms % {s // 60} > {NOW - s} AND ts_ms - ts_ms % {s // 60} <= {NOW}) AS cnt{n}" for n, s, _ in DEFAULT.windows) + f""" FROM t WHERE ts_ms <= {NOW} GROUP BY user_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, seq DESC) AS rank FROM d),
+rc AS (SELECT user_id, count(*) AS recent, max(ts_ms) AS last_ms FROM rk WHERE rank <= 50 AND ts_ms > {NOW - 24 * 3_600_000} GROUP BY user_id)
+SELECT pr.*, cnt1m, cnt5m, cnt1h, coalesce(recent, 0) AS recent, last_ms FROM pr LEFT JOIN wi USING (user_id) LEFT JOIN rc USING (user_id)""")
 def user_history(t, *_):
-    return U.user_history(t, dec(t), NOW, 24)
+    h = U.user_history(t, dec(t), NOW, 24)
+    return h.select("user_id", "n", "mean", "std", "cnt1m", "cnt5m", "cnt1h", "recent", "last_ms")
 
 
 @query(" SELECT user_id, count(*) AS in_period, CAST(least(5, count(*)) AS INTEGER) AS shown FROM d GROUP BY user_id")
@@ -312,6 +358,11 @@ def pass_through(t, *_):
     return G.pass_through(G.build_edges(t), WIDE).drop("in_amount")
 
 
+@query(_PT + " SELECT seq, in_seq, fits FROM pm", 5)
+def match_pass_through(t, *_):
+    return G.match_pass_through(G.build_edges(t), WIDE).select("seq", "in_seq", "fits")
+
+
 @query(_PT.replace(", pt AS", ", pt AS") + ", ch(seq, depth) AS (SELECT seq, 0 FROM pt WHERE parent IS NULL UNION ALL SELECT g.seq, 0 FROM g WHERE g.seq NOT IN (SELECT seq FROM pt) UNION ALL SELECT pt.seq, ch.depth + 1 FROM pt JOIN ch ON pt.parent = ch.seq) SELECT pt.seq, CAST(least(10, max(ch.depth)) AS INTEGER) AS depth FROM pt JOIN ch ON ch.seq = pt.seq GROUP BY pt.seq", 5)
 def chain_depth(t, *_):
     return G.chain_depth(G.pass_through(G.build_edges(t), WIDE))
@@ -334,7 +385,12 @@ def ring_signal(t, *_):
     return G.ring_cycles(G.build_edges(t)).where(D.ring_signal().isNotNull()).select("seq", F.size(F.array_distinct("cycle")).cast("long").alias("accounts"))
 
 
-@query()
+@query(_LIVE + """, rp(seq, goal, node, path, hops) AS (SELECT seq, src, dst, [dst], CAST([] AS VARCHAR[]) FROM lv
+  UNION ALL SELECT rp.seq, rp.goal, lv.dst, list_append(rp.path, lv.dst), list_append(rp.hops, lv.seq) FROM rp JOIN lv ON lv.src = rp.node
+  WHERE rp.node <> rp.goal AND len(rp.hops) < 4 AND NOT list_contains(rp.path, lv.dst)),
+rc AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY hops) AS r FROM rp WHERE node = goal),
+ds AS (SELECT *, row_number() OVER (PARTITION BY goal, list_sort(list_distinct(list_append(path, goal))) ORDER BY seq) AS d FROM rc WHERE r = 1)
+SELECT goal AS root, seq, goal || ',' || array_to_string(path, ',') AS cycle FROM ds WHERE d = 1""", 30)
 def cycles_through(t, *_):
     e = G.build_edges(t)
     return G.cycles_through(e, e.select(F.col("src").alias("root")).distinct(), DAY).select("root", "seq", F.array_join("cycle", ",").alias("cycle"))
@@ -358,7 +414,9 @@ def component_size_asof(t, *_):
     return G.component_size_asof(G.build_edges(t))
 
 
-@query(None, 5)
+@query(""", w AS (SELECT DISTINCT ts_ms // 3600000 AS slot, src, dst FROM g), ud AS (SELECT slot, src AS a, dst AS b FROM w UNION SELECT slot, dst, src FROM w),
+rw(slot, node, root) AS (SELECT slot, a, a FROM ud UNION SELECT ud.slot, ud.b, rw.root FROM rw JOIN ud ON ud.slot = rw.slot AND ud.a = rw.node),
+mn AS (SELECT slot, node, min(root) AS root FROM rw GROUP BY slot, node) SELECT slot, node, count(*) OVER (PARTITION BY slot, root) AS size FROM mn""", 5)
 def component_size_windowed(t, *_):
     return G.component_size_windowed(G.build_edges(t), 3_600_000)
 
@@ -411,6 +469,23 @@ def gate_cost(t, *_):
     return g.select(*[F.round(c, 6).alias(c) for c in g.columns])
 
 
+@query(" SELECT strftime(epoch_ms(ts_ms), '%Y-%m-%d') AS day, count(*) AS n FROM d GROUP BY day", 5)
+def write_decisions(t, *_):
+    """The log written by day to the shared folder, and read back."""
+    path = f"{shared_dir(t.sparkSession)}/log_{uuid.uuid4().hex}"
+    P.write_decisions(dec(t), path)
+    return t.sparkSession.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT count(*) AS all_rows, count(*) FILTER (WHERE k % 4 <> 0) AS usable, sum(CASE channel WHEN 'CARD' THEN 0.0 WHEN 'UPI' THEN 1.0 ELSE 2.0 END) AS channels FROM t")
+def usable_decisions(t, *_):
+    """Feature maps of which every fourth lacks a key."""
+    have = t.withColumns({n: F.lit(0) for n in D.FEATURES if n != "channel"}).withColumn("features", D.features_map())
+    some = have.withColumn("features", F.when(F.col("k") % 4 == 0, F.map_filter("features", lambda n, _: n != "tier")).otherwise(F.col("features")))
+    good = D.usable_decisions(some).agg(F.count("*").alias("usable"))
+    return some.agg(F.count("*").alias("all_rows"), F.sum(F.element_at("features", "channel")).alias("channels")).crossJoin(good)
+
+
 @query(" SELECT txn_id, user_id, verdict, mode FROM d")
 def decision_tick(t, *_):
     return D.decision_tick(dec(t)).select("txn_id", "user_id", "verdict", "mode")
@@ -690,34 +765,70 @@ def index_closed_cases(t, *_):
 
 
 def evidence(t):
-    case = F.concat(F.lit("case_"), "txn_id")
-    e = t.select(case.alias("case_id"), F.lit(0).alias("idx"), F.concat(F.lit('{"count": '), "k", F.lit(', "ids": ["a", "b", "a"]}')).alias("payload"), F.lit(None).cast("string").alias("error"))
+    """Two pieces of evidence a case: a document with lists, nested lists, exponents and numbers in its strings, and one that failed."""
+    case, k = F.concat(F.lit("case_"), "txn_id"), F.col("k").cast("string")
+    payload = F.concat(
+        F.lit('{"count": '), k, F.lit(', "ids": ["a", "b", "a"], "counts": ['), k, F.lit(", 14, "), k, F.lit('], "pairs": [[1, 2], [1, 2], [7, 7, 7, '), k,
+        F.lit(']], "share": 1.5e3, "low": -0.25, "none": [], "note": "paid 1,'), F.lpad(k, 3, "0"), F.lit(' to m_9, \\"x,y\\"", "of 40": {"flag": true, "gap": null}}'),
+    )
+    e = t.select(case.alias("case_id"), F.lit(0).alias("idx"), payload.alias("payload"), F.lit(None).cast("string").alias("error"))
     return e.union(t.select(case, F.lit(1), F.lit(None).cast("string"), F.when(F.col("k") % 2 == 0, "timeout").otherwise("failed")))
 
 
 def claims(t):
+    """A claim a case, of which some cite nothing, a piece that is not there or failed, or quote a number that may not be in the payload."""
     k = F.col("k")
     refs = F.when(k % 5 == 0, F.array().cast("array<int>")).when(k % 5 == 1, F.array(F.lit(7))).when(k % 5 == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    said = F.when(k % 5 == 3, F.concat(F.lit("it was "), (k + 500).cast("string"), F.lit(" times [0]"))).otherwise(F.concat(F.lit("it was "), k.cast("string"), F.lit(" times, 2 ids")))
+    said = F.when(k % 5 == 3, F.concat(F.lit("it was "), (k * 13 + 17).cast("string"), F.lit(" times [0]"))).otherwise(F.concat(F.lit("it was "), k.cast("string"), F.lit(" times, 2 ids, 25% and 1,500")))
     return t.select(F.concat(F.lit("case_"), "txn_id").alias("case_id"), F.lit(0).alias("claim"), said.alias("text"), refs.alias("refs"))
 
 
-@query(" SELECT 'case_' || txn_id AS case_id, CASE k % 5 WHEN 0 THEN 'no_refs' WHEN 1 THEN 'bad_ref' WHEN 2 THEN 'failed_tool_ref' WHEN 3 THEN 'uncited_number' END AS violation FROM t")
+#: The payload of each case read with DuckDB's JSON functions: numbers, sizes of lists, and what stands in strings and keys.
+_NUMBERS = r""", ev AS (SELECT txn_id, k, '{"count": ' || k || ', "ids": ["a", "b", "a"], "counts": [' || k || ', 14, ' || k || '], "pairs": [[1, 2], [1, 2], [7, 7, 7, ' || k ||
+  ']], "share": 1.5e3, "low": -0.25, "none": [], "note": "paid 1,' || lpad(CAST(k AS VARCHAR), 3, '0') || ' to m_9, \"x,y\"", "of 40": {"flag": true, "gap": null}}' AS payload FROM t),
+tr AS (SELECT ev.txn_id, j.* FROM ev, LATERAL (SELECT key, type, atom, value FROM json_tree(ev.payload)) j),
+nm AS (SELECT txn_id, abs(CAST(atom AS DOUBLE)) AS number FROM tr WHERE type IN ('UBIGINT', 'BIGINT', 'DOUBLE')
+  UNION SELECT txn_id, CAST(json_array_length(value) AS DOUBLE) FROM tr WHERE type = 'ARRAY'
+  UNION SELECT txn_id, CAST(len(list_distinct(CAST(value AS JSON[]))) AS DOUBLE) FROM tr WHERE type = 'ARRAY' AND NOT regexp_matches(CAST(value AS VARCHAR), '.[\[{]')
+  UNION SELECT txn_id, abs(CAST(replace(unnest(regexp_extract_all(x, '-?\d{1,3}(,\d{3})+(\.\d+)?|-?\d+(\.\d+)?')), ',', '') AS DOUBLE))
+    FROM (SELECT txn_id, CASE WHEN type = 'VARCHAR' THEN CAST(atom AS VARCHAR) END AS x FROM tr UNION ALL SELECT txn_id, CASE WHEN NOT regexp_matches(key, '^\d+$') THEN key END FROM tr) WHERE x IS NOT NULL),
+sd AS (SELECT txn_id, k, CASE WHEN k % 5 = 3 THEN [{'v': k * 13.0 + 17.0, 'p': false}] ELSE [{'v': CAST(k AS DOUBLE), 'p': false}, {'v': 2.0, 'p': false}, {'v': 25.0, 'p': true}, {'v': 1500.0, 'p': false}] END AS q FROM t),
+qd AS (SELECT txn_id, k, unnest(q) AS q FROM sd WHERE k % 5 <> 0),
+cd AS (SELECT txn_id, k, q, unnest(CASE WHEN q.p THEN [q.v, q.v / 100] ELSE [q.v] END) AS v FROM qd),
+hit AS (SELECT cd.txn_id, cd.k, q, coalesce(bool_or(abs(v - number) <= greatest(v, number) * 0.01 OR abs(v - number) <= CASE WHEN v = trunc(v) THEN 0.5 ELSE 0.005 END + 1e-9 OR v = trunc(number)), false) AS ok
+  FROM cd LEFT JOIN nm ON nm.txn_id = cd.txn_id AND cd.k % 5 <> 1 GROUP BY ALL),
+vd AS (SELECT t.txn_id, t.k, CASE WHEN t.k % 5 = 0 THEN 'no_refs' WHEN t.k % 5 = 1 THEN 'bad_ref' WHEN t.k % 5 = 2 THEN 'failed_tool_ref' WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'uncited_number' END AS violation
+  FROM t LEFT JOIN hit ON hit.txn_id = t.txn_id GROUP BY t.txn_id, t.k)"""
+
+
+@query(_NUMBERS + " SELECT 'case_' || txn_id AS case_id, violation FROM vd")
 def verify_claims(t, *_):
     return C.verify_claims(claims(t), evidence(t)).select("case_id", "violation")
 
 
-@query(", v AS (SELECT k, unnest(list_distinct([CAST(k AS DOUBLE), 3.0, 2.0])) AS number FROM t) SELECT number, count(*) AS n FROM v GROUP BY number")
+@query(_NUMBERS + " SELECT 'case_' || txn_id AS case_id, q.v AS value, ok AS supported FROM hit")
+def claims_x_evidence(t, *_):
+    return C.claims_x_evidence(claims(t), evidence(t)).select("case_id", "value", "supported")
+
+
+@query(_NUMBERS + " SELECT number, count(*) AS n FROM nm GROUP BY number")
 def evidence_numbers(t, *_):
     return C.evidence_numbers(evidence(t)).groupBy("number").agg(F.count("*").alias("n"))
 
 
-@query(" SELECT 'case_' || txn_id AS case_id, CAST(k % 5 = 4 AS INTEGER) AS kept, CAST(k % 5 <> 4 AS BIGINT) AS removed FROM t")
+@query(_NUMBERS + " SELECT txn_id, count(*) AS n, round(sum(number), 4) AS total FROM nm GROUP BY txn_id")
+def flatten_numbers(t, *_):
+    numbers = X.flatten_numbers(F.col("payload"))
+    e = evidence(t).where("idx = 0").select(F.expr("substr(case_id, 6)").alias("txn_id"), numbers.alias("x"))
+    return e.select("txn_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(_NUMBERS + " SELECT 'case_' || txn_id AS case_id, CAST(violation IS NULL AS INTEGER) AS kept, CAST(violation IS NOT NULL AS BIGINT) AS removed FROM vd")
 def verified_answer(t, *_):
     return C.verified_answer(C.verify_claims(claims(t), evidence(t))).select("case_id", F.size("kept").alias("kept"), "removed")
 
 
-@query(" SELECT 'case_' || txn_id AS case_id, CASE WHEN k % 5 = 4 THEN 'RING' ELSE 'UNCERTAIN' END AS fraud_type, CASE WHEN k % 5 = 4 THEN 0.9 ELSE 0.0 END AS confidence, k % 5 = 4 AS passed FROM t")
+@query(_NUMBERS + " SELECT 'case_' || txn_id AS case_id, CASE WHEN violation IS NULL THEN 'RING' ELSE 'UNCERTAIN' END AS fraud_type, CASE WHEN violation IS NULL THEN 0.9 ELSE 0.0 END AS confidence, violation IS NULL AS passed FROM vd")
 def finalize_reports(t, *_):
     r = t.select(F.concat(F.lit("case_"), "txn_id").alias("case_id"), F.lit("RING").alias("fraud_type"), F.lit(0.9).alias("confidence"), F.lit("CONFIRM_BLOCK").alias("action"))
     return C.finalize_reports(r, C.verify_claims(claims(t), evidence(t))).select("case_id", "fraud_type", "confidence", "passed")
@@ -736,30 +847,54 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, c
 
 
 def _decided(t):
-    """Payments with the per-user and transfer-degree features; the ring features are left at rest to keep models quick."""
-    f = G.out_degree(U.geo_features(U.amount_zscore(U.velocity_features(t))))
-    f = X.merchant_risk_tier(f.withColumn("category", X.merchant_category(F.col("merchant_id"))))
-    rest = {"geo_speed": F.coalesce("speed_kmh", F.lit(0.0)), "in_cycle": F.lit(False), "component_size": F.lit(1), "pt_ratio": F.lit(0.0), "pt_secs": F.lit(-1), "chain_depth": F.lit(0)}
-    return f.withColumns(rest).withColumn("features", D.features_map())
+    """Payments with all features but the size of the component, which is 1 unless asked for."""
+    return D.features(t).withColumn("features", D.features_map())
+
+
+_FEATURES = _DECIDE[: _DECIDE.index(",\ns AS (SELECT *, list_filter")] + ", fx AS (SELECT f.*, pt.pt_ratio, pt.pt_secs FROM f LEFT JOIN pt ON pt.seq = f.seq)"
 
 
-@query(_V + _LABELLED + " SELECT v.txn_id, CAST(cnt1h AS DOUBLE) AS cnt1h, jl.y FROM v JOIN jl ON jl.txn_id = v.txn_id")
+@query(_FEATURES + _LABELLED + """ SELECT fx.txn_id, CAST(fx.cnt1h AS DOUBLE) AS cnt1h, CAST(ring IS NOT NULL AS DOUBLE) AS in_cycle, CAST(coalesce(pt_secs, -1) AS DOUBLE) AS pt_secs,
+  coalesce(pt_ratio, 0.0) AS pt_ratio, CAST(least(10, depth) AS DOUBLE) AS chain_depth, jl.y FROM fx JOIN jl ON jl.txn_id = fx.txn_id""", 100)
 def training_frame(t, *_):
-    return ML.training_frame(_decided(t), P.labels(t)).select("txn_id", F.col("f_cnt1h").alias("cnt1h"), "y")
+    names = ("cnt1h", "in_cycle", "pt_secs", "pt_ratio", "chain_depth")
+    return ML.training_frame(_decided(t), P.labels(t)).select("txn_id", *[F.col(f"f_{n}").alias(n) for n in names], "y")
 
 
-@query(_V + " SELECT txn_id, CAST(cnt5m AS DOUBLE) AS cnt5m, CASE channel WHEN 'CARD' THEN 0.0 WHEN 'UPI' THEN 1.0 ELSE 2.0 END AS channel FROM v")
+@query(_FEATURES + """ SELECT fx.txn_id, CAST(cnt5m AS DOUBLE) AS cnt5m, CASE channel WHEN 'CARD' THEN 0.0 WHEN 'UPI' THEN 1.0 ELSE 2.0 END AS channel,
+  CAST(ring IS NOT NULL AS DOUBLE) AS in_cycle, CAST(least(10, depth) AS DOUBLE) AS chain_depth FROM fx JOIN t ON t.txn_id = fx.txn_id""", 100)
 def feature_row(t, *_):
-    return D.feature_row(_decided(t)).select("txn_id", F.col("f_cnt5m").alias("cnt5m"), F.col("f_channel").alias("channel"))
+    return D.feature_row(_decided(t)).select("txn_id", *[F.col(f"f_{n}").alias(n) for n in ("cnt5m", "channel", "in_cycle", "chain_depth")])
 
 
-@query()
+@query(None, 100)
 def fit_score(t, *_):
-    frame = ML.training_frame(_decided(t), P.labels(t))
-    return ML.score(ML.fit_model(frame, trees=5, depth=3), frame).select("txn_id", "y", "p")
+    frame = materialize(ML.training_frame(_decided(t), P.labels(t)))
+    return ML.score(ML.fit_model(frame), frame).select("txn_id", "y", "p")
 
 
-@query()
+@query(None, 100)
+def decide_scored(t, *_):
+    """Decisions with a model: the linear baseline, fitted on the same payments, scores what the gate lets through."""
+    f = materialize(D.features(t))
+    model = ML.fit_model(ML.training_frame(f.withColumn("features", D.features_map()), P.labels(t)), kind="linear")
+    names = {f"f_{k}": F.col(k).cast("double") for k in D.FEATURES} | {"f_channel": X.channel_code(F.col("channel")).cast("double"), "f_in_cycle": F.col("in_cycle").cast("double")}
+    scorer = lambda rows: ML.score(model, rows.withColumns(names)).withColumnRenamed("p", "ml_score").drop(*names)
+    return D.assemble_decision(f, scorer).select("txn_id", "verdict", "mode", F.round("ml_score", 6).alias("ml_score"), F.array_join("fired_rules", ",").alias("fired"))
+
+
+@query(None, 100)
+def feature_importance(t, *_):
+    """What each feature weighs in the trees, with all features and without the velocity counts."""
+    frame = materialize(ML.training_frame(_decided(t), P.labels(t)))
+    rows = []
+    for without in ((), ("f_cnt1m", "f_cnt5m", "f_cnt1h")):
+        model = ML.ablate(frame, without, trees=5, depth=3)
+        rows += [(len(without), name, value) for name, value in ML.feature_importance(model)]
+    return t.sparkSession.createDataFrame(rows, "left_out int, feature string, importance double")
+
+
+@query(None, 100)
 def explain(t, *_):
-    frame = ML.training_frame(_decided(t), P.labels(t))
+    frame = materialize(ML.training_frame(_decided(t), P.labels(t)))
     return ML.explain(ML.fit_model(frame, kind="linear"), frame).select("txn_id", F.explode("contributions").alias("c")).select("txn_id", "c.feature", "c.value")

@@ -38,6 +38,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing later reads."""
     for df in tables:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sentrine.config import DEFAULT, EngineConfig
+from sentrine.config import DEFAULT, EARTH_KM, EngineConfig
 from sentrine.operators import cases as C
 from sentrine.operators import decisions as D
 from sentrine.operators.metrics import feed_pulse
+from sentrine.storage import exists
 
 
 def stream_dedup(t: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -21,8 +23,18 @@ def stream_dedup(t: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return t.where("txn_id is not null").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["txn_id"])
 
 
+def _km(lat: float, lon: float, lat2: float, lon2: float) -> float:
+    a, b, c, d = map(math.radians, (lat, lon, lat2, lon2))
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+
+
 class UserState(StatefulProcessor):
-    """Velocity buckets, spending profile and last location of one user, in event order within each batch."""
+    """Velocity buckets with counts and sums, spending profile, and place and time of the last payment of one user.
+
+    Rows are taken in event order within each batch. A payment that comes late, behind ones of an earlier batch, counts
+    in its own buckets and in the profile, but does not move the last place back.
+    """
 
     def __init__(self, cfg: EngineConfig = DEFAULT, grace_ms: int = 30_000):
         self.cfg, self.grace = cfg, grace_ms
@@ -32,37 +44,50 @@ class UserState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.state.get() if self.state.exists() else None
-        s = json.loads(kept[0]) if kept else {"b": {}, "n": 0, "mean": 0.0, "m2": 0.0, "last": -1}
+        s = json.loads(kept[0]) if kept else {"b": {}, "n": 0, "mean": 0.0, "m2": 0.0, "last": -1, "at": None}
         pdf, out = pd.concat(list(rows)).sort_values("seq"), []
-        for txn, ms, amount in zip(pdf["txn_id"], pdf["ts_ms"], pdf["amount"], strict=True):
-            counts = []
+        for txn, ms, amount, lat, lon in zip(pdf["txn_id"], pdf["ts_ms"], pdf["amount"], pdf["lat"], pdf["lon"], strict=True):
+            counts, ms, amount = [], int(ms), float(amount)
             for name, size, _ in self.cfg.windows:
                 b, mine = size // 60, s["b"].setdefault(name, {})
-                at = int(ms) - int(ms) % b
-                mine[str(at)] = mine.get(str(at), 0) + 1
+                at = ms - ms % b
+                n, total = mine.get(str(at), (0, 0.0))
+                mine[str(at)] = (n + 1, total + amount)
                 for old in [x for x in mine if int(x) <= s["last"] - size - self.grace]:  # retention
                     del mine[old]
-                counts.append(sum(n for x, n in mine.items() if at - (size - b) <= int(x) <= at))
+                now = [v for x, v in mine.items() if at - (size - b) <= int(x) <= at]
+                counts.append((sum(n for n, _ in now), sum(v for _, v in now)))
             std = (s["m2"] / (s["n"] - 1)) ** 0.5 if s["n"] > 1 else 0.0
             known = s["n"] >= self.cfg.min_samples and std >= self.cfg.min_std
             z = (amount - s["mean"]) / std if known else 0.0
-            out.append((key[0], txn, *counts, float(int((z * 100 + 0.5) // 1)) / 100))
+            since, km, speed = -1.0, None, None
+            if s["at"] is not None:
+                since = max(0.0, (ms - s["last"]) / 1000)
+                km, gap = _km(*s["at"], float(lat), float(lon)), (ms - s["last"]) // 1000
+                speed = km / (gap / 3600) if gap >= 1 else None
+            out.append((key[0], txn, *(n for n, _ in counts), counts[-1][1], float(int((z * 100 + 0.5) // 1)) / 100, since, km, speed))
             s["n"] += 1
             d = amount - s["mean"]
             s["mean"] += d / s["n"]
             s["m2"] += d * (amount - s["mean"])
-            s["last"] = max(s["last"], int(ms))
+            if ms >= s["last"]:
+                s["last"], s["at"] = ms, (float(lat), float(lon))
         self.state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=["user_id", "txn_id", "cnt1m", "cnt5m", "cnt1h", "amt_z"])
+        yield pd.DataFrame(out, columns=["user_id", "txn_id", "cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "secs_since", "distance_km", "speed_kmh"])
 
     def close(self) -> None:
         pass
 
 
 def stream_user_state(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``user_id, txn_id, cnt1m, cnt5m, cnt1h, amt_z`` as payments arrive (needs the RocksDB state store)."""
-    schema = "user_id string, txn_id string, cnt1m long, cnt5m long, cnt1h long, amt_z double"
-    return t.groupBy("user_id").transformWithStateInPandas(UserState(cfg), schema, "append", "none")
+    """Velocity, spending and travel of each payment as it arrives (needs the RocksDB state store).
+
+    ``user_id, txn_id, cnt1m, cnt5m, cnt1h, sum1h, amt_z, secs_since, distance_km, speed_kmh``; the last two are null
+    for a user's first payment.
+    """
+    schema = "user_id string, txn_id string, cnt1m long, cnt5m long, cnt1h long, sum1h double, amt_z double, secs_since double, distance_km double, speed_kmh double"
+    out = t.groupBy("user_id").transformWithStateInPandas(UserState(cfg), schema, "append", "none")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("distance_km", "speed_kmh")})  # pandas has no null numbers
 
 
 def stream_pulse(decisions: DataFrame) -> DataFrame:
@@ -92,12 +117,7 @@ def open_cases_batch(spark: SparkSession, path: str):
     """A foreachBatch function that opens cases for flagged decisions without one."""
 
     def run(batch: DataFrame, number: int) -> None:
-        try:
-            have = spark.read.parquet(path).where(F.col("batch") < number)
-        except Exception as e:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.select("txn_id").limit(0)
+        have = spark.read.parquet(path).where(F.col("batch") < number) if exists(spark, path) else batch.limit(0)
         C.open_cases(batch, have)[0].write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run

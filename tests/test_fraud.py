@@ -46,6 +46,30 @@ def test_impossible_travel_and_rules(spark):
     assert [x["fired_rules"] for x in d] == [["HARD_BLOCK_MERCHANT"], ["AMOUNT_CAP"]] and {x["verdict"] for x in d} == {"BLOCK"}
 
 
+def test_rules_carry_evidence_and_fail_alone(spark):
+    (d,) = decided(spark, [{"at": 0, "amount": 500000}])
+    assert [(s["code"], s["severity"]) for s in d["signals"]] == [("AMOUNT_CAP", 1.0)] and d["signals"][0]["evidence"]["cap"] == "200000.0"
+
+    def broken(cfg):
+        raise RuntimeError("no such table")
+
+    rules = [D.Rule("LATE", 5, lambda cfg: F.col("amount") > 100, lambda cfg: {"amount": F.col("amount")}, "REVIEW"), D.Rule("BROKEN", 1, broken), D.Rule("NEVER", 0, lambda cfg: F.lit(False))]
+    f = D.features(txns(spark, [{"at": 0}, {"at": 90000, "amount": 50}]))
+    got = D.assemble_decision(f, rules=rules).orderBy("seq").collect()
+    assert [(r.verdict, r.fired_rules) for r in got] == [("REVIEW", ["LATE"]), ("ALLOW", [])]
+    assert D.assemble_decision(f, rules=()).where("rule is not null").count() == 0
+
+
+def test_numbers_of_a_document(spark):
+    cases = {
+        '{"counts": [13, 14], "n": 2}': {13, 14, 2}, '["x,y","z"]': {2}, '{"a": 1.5e3}': {1500}, "[[1, 2], [1, 2]]": {2, 1}, '[{"a": 1}, {"a": 1}]': {2, 1},
+        "[]": {0}, '{"k7": true, "b": null}': {7}, '"paid 1,200 in 3 parts"': {1200, 3}, "not json 5": {5}, "[1, 1.0, 1]": {3, 1}, '{"x": -4}': {4},
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "payload string")
+    got = {r.payload: set(r.x) for r in df.select("payload", X.flatten_numbers(F.col("payload")).alias("x")).collect()}
+    assert got == {k: set(map(float, v)) for k, v in cases.items()} | {None: set()}
+
+
 def test_ring(spark):
     names = ["u_a", "u_b", "u_c", "u_d", "u_a"]
     d = decided(spark, [{"user": names[i], "to": names[i + 1], "amount": 40000 - 1000 * i, "at": 120 * i, "channel": "P2P"} for i in range(4)])
@@ -141,6 +165,49 @@ def test_stream_decisions_equal_batch(spark, tmp_path):
     assert got == {r.txn_id: r.verdict for r in D.decide(t).collect()}
 
 
+def test_stream_user_state_equals_batch_over_several_batches(spark, tmp_path):
+    from sentrine.streaming.jobs import stream_user_state
+
+    rng = random.Random(2)
+    rows = [{"user": rng.choice(["u_a", "u_b"]), "at": 7 * i + rng.random(), "amount": rng.randrange(10, 900), "lat": 17 + rng.random() * 9, "lon": 77 + rng.random()} for i in range(60)]
+    t = txns(spark, rows).cache()
+    for i in range(3):
+        t.where((F.col("ts_ms") - T0_MS >= 140_000 * i) & (F.col("ts_ms") - T0_MS < 140_000 * (i + 1) + (10**9 if i == 2 else 0))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream_user_state(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert q.awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    names = ("cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "secs_since", "distance_km", "speed_kmh")
+    near = lambda r: tuple(None if r[n] is None else round(r[n], 4) for n in names)
+    want = {r.txn_id: near(r) for r in U.geo_features(U.amount_zscore(U.velocity_features(t))).collect()}
+    assert {r.txn_id: near(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_cases_open_once_whatever_the_batches(spark, tmp_path):
+    from sentrine.streaming.jobs import open_cases_batch
+
+    d = D.decide(txns(spark, [{"at": 3 * i} for i in range(11)])).cache()
+    run = open_cases_batch(spark, str(tmp_path / "cases"))
+    for number, n in ((0, 10), (1, 11), (1, 11)):  # the second batch is run again
+        run(d.orderBy("seq").limit(n), number)
+    flagged = d.where("verdict != 'ALLOW'").count()
+    cases = spark.read.parquet(str(tmp_path / "cases"))
+    assert flagged == 3 and cases.count() == 3 and cases.select("case_id").distinct().count() == 3
+
+
+def test_stream_pulse(spark, tmp_path):
+    from sentrine.streaming.jobs import stream_pulse
+
+    t = txns(spark, [{"at": i} for i in range(40)]).select(F.timestamp_millis("ts_ms").alias("ts"), F.lit(5).cast("long").alias("latency_ms"))
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = stream_pulse(spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("pulse").outputMode("complete").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("pulse").collect())) == sorted(map(tuple, M.feed_pulse(t).collect())) and spark.table("pulse").count() > 3
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
