@@ -103,9 +103,7 @@ def _walk(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> Iter
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (hub, doc) that are similar. The candidates of a hub are dealt out in blocks; each block is one trie."""
     heavy = materialize(pairs.groupBy("hub").count().where(F.col("count") > BLOCK).select("hub", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")))
-    dealt = pairs.join(heavy, "hub", "left").select(
-        "hub", "doc", F.expr("int(pmod(xxhash64(doc), coalesce(parts, 1)))").alias("part")
-    )
+    dealt = materialize(pairs.join(heavy, "hub", "left").select("hub", "doc", F.expr("int(pmod(xxhash64(doc), coalesce(parts, 1)))").alias("part")))
     hubs = dealt.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("doc"), F.lit(0).alias("role"))
     rows = hubs.union(dealt.select("hub", "part", "doc", F.lit(1).alias("role")))
     rows = rows.join(sets, rows["doc"] == sets["node"]).select("hub", "part", "role", "doc", "grams")
@@ -133,7 +131,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             yield flush()
 
     out = materialize(rows.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "role").mapInPandas(verify, "hub long, doc long"))
-    drop(heavy)
+    drop(heavy, dealt)
     return out
 
 
@@ -184,7 +182,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     every = materialize(docs.mapInPandas(describe, "doc_id long, n long, sig binary, prefix array<long>"))
     classes = every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
+    unsorted = materialize(classes)
+    # nodes are numbered in order of doc_id: the hubs of a gram are its first and its last document
+    classes = materialize(unsorted.orderBy("cid", "sig").withColumn("node", F.monotonically_increasing_id()))
+    drop(unsorted)
     release(spark)
     lists = classes.select(F.col("node").alias("doc"), "n", F.posexplode("prefix").alias("pos", "gram"))
     span = materialize(lists.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo != hi"))
