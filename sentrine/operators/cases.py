@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +96,41 @@ def top_contributions(contributions: Column, score: Column, n: int = 5, least: f
     return F.when(score >= least, F.transform(F.slice(ranked, 1, n), lambda c: F.struct(c["feature"].alias("feature"), c["value"].alias("value"))))
 
 
-def similar_cases(closed: DataFrame, asked: DataFrame, k: int = 3, parts: int = 64) -> DataFrame:
+def similar_cases(closed: DataFrame, asked: DataFrame, k: int = 3, block: int = 8192) -> DataFrame:
     """k most similar closed cases by cosine: ``query_id, rank, case_id, similarity``.
 
-    Both have ``case_id, embedding``. Queries meet cases in blocks: cases are dealt to ``parts`` blocks, and each
-    query visits every block, which keeps its best k before the last ranking.
+    Both have ``case_id, embedding`` of one length; zero and null vectors take no part. Cases are dealt into blocks of
+    about ``block``, which meet the queries as one matrix product each and keep their best k before the last ranking.
     """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-    vec = F.col("embedding").cast("array<double>")
-    c = closed.where(F.exists("embedding", lambda x: x != 0)).select("case_id", unit(vec).alias("u"), F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part"))
-    q = asked.select(F.col("case_id").alias("query_id"), unit(vec).alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    s = q.join(c, "part").where("query_id != case_id").withColumn("similarity", F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
-    best = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(F.desc("similarity"), "case_id"))
+    vec, parts = F.col("embedding").cast("array<double>"), closed.count() // block + 1
+    some = F.exists("embedding", lambda x: x != 0)
+    c = closed.where(some).select("case_id", vec.alias("v"), F.pmod(F.xxhash64("case_id"), F.lit(parts)).alias("part"))
+    q = asked.where(some).select(F.col("case_id").alias("query_id"), vec.alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        m = np.vstack(vectors.to_numpy())
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(key: tuple, qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out, names = [], ["query_id", "case_id", "similarity"]
+        if len(qs) and len(cs):
+            cs = cs.sort_values("case_id")  # so that of ties the first come first
+            known, ids = unit(cs["v"]), cs["case_id"].to_numpy()
+            for lo in range(0, len(qs), 256):
+                asked_ids = qs["query_id"].to_numpy()[lo : lo + 256]
+                s = unit(qs["v"].iloc[lo : lo + 256]) @ known.T
+                s[asked_ids[:, None] == ids[None]] = -2.0  # not itself
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -1.5)
+                for query, near, at_least in zip(asked_ids, s, np.maximum(least, -1.5), strict=True):
+                    at = np.flatnonzero(near >= at_least)
+                    at = at[np.argsort(-near[at], kind="stable")][:k]
+                    out.append(pd.DataFrame({"query_id": query, "case_id": ids[at], "similarity": near[at]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in closed.schema}
+    found = q.groupBy("part").cogroup(c.groupBy("part")).applyInPandas(best, f"query_id {asked.schema['case_id'].dataType.simpleString()}, case_id {kinds['case_id']}, similarity double")
     last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "case_id"))
-    s = s.withColumn("_r", best).where(F.col("_r") <= k).withColumn("rank", last).where(F.col("rank") <= k)
-    return s.select("query_id", "rank", "case_id", F.round("similarity", 3).alias("similarity"))
+    return found.withColumn("rank", last).where(F.col("rank") <= k).select("query_id", "rank", "case_id", F.round("similarity", 3).alias("similarity"))
 
 
 def index_closed_cases(cases: DataFrame) -> DataFrame:
