@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sentrine.config import DEFAULT, EngineConfig
 from sentrine.functions.exprs import java_round
 from sentrine.operators.components import connected_components
+from sentrine.operators.metrics import global_rank
 from sentrine.storage import drop, materialize
 
 
@@ -159,9 +160,38 @@ def components_final(edges: DataFrame) -> DataFrame:
     return c.join(c.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def component_size_asof(edges: DataFrame) -> DataFrame:
-    """``seq, component_size`` when each transfer arrived. A component is replayed in one task; use the windowed size for giant ones."""
-    comp = materialize(connected_components(edges).select(F.col("node").alias("src"), "component"))
+def component_size_asof(edges: DataFrame, block: int = 4096) -> DataFrame:
+    """``seq, component_size``: the size of its component when each transfer arrived, itself included.
+
+    The order of arrival is cut into slices of at most ``block`` transfers. From the halves of the whole down to
+    slices, the first half of each part is contracted to its components, which become the accounts of the second half
+    and carry their sizes. A slice then knows its accounts as they were when it began, and is replayed in one task. So
+    the number of rounds is logarithmic, and no task sees more than a slice, however large a component is.
+    """
+    n = edges.count()
+    slices = 1
+    while slices * block < n:
+        slices *= 2
+    rows = global_rank(edges.select("seq", "src", "dst"), "seq").withColumn("slice", F.floor((F.col("rank") - 1) * slices / max(n, 1)).cast("long"))
+    one = F.lit(1).cast("long")
+    rows = materialize(rows.select("seq", "slice", F.col("src").alias("a"), F.col("dst").alias("b"), one.alias("size_a"), one.alias("size_b")))
+    width, tag = slices, lambda c: F.concat(F.col("part").cast("string"), F.lit(":"), F.col(c))
+    while width > 1:
+        halves = rows.withColumn("part", F.floor(F.col("slice") / width).cast("long")).withColumn("late", F.col("slice") % width >= width // 2)
+        early = halves.where("not late")
+        nodes = early.select(tag("a").alias("node"), F.col("size_a").alias("size")).union(early.select(tag("b"), "size_b")).distinct()
+        comp = connected_components(early.select(tag("a").alias("src"), tag("b").alias("dst"))).join(nodes, "node")
+        sizes = comp.groupBy("component").agg(F.sum("size").alias("total"))
+        comp = materialize(comp.join(sizes, "component").select("node", F.regexp_replace("component", "^[0-9]+:", "").alias("to"), "total"))
+        out = halves
+        for side in ("a", "b"):
+            found = comp.select(F.col("node").alias(f"node_{side}"), F.col("to").alias(f"to_{side}"), F.col("total").alias(f"total_{side}"))
+            out = out.join(found, F.col("late") & (tag(side) == F.col(f"node_{side}")), "left")
+        moved = lambda new, old: F.coalesce(F.col(new), F.col(old)).alias(old)
+        out = out.select("seq", "slice", moved("to_a", "a"), moved("to_b", "b"), moved("total_a", "size_a"), moved("total_b", "size_b"))
+        rows, was = materialize(out), rows
+        drop(was, comp)
+        width //= 2
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, up, size, out = pdf.sort_values("seq"), {}, {}, []
@@ -172,15 +202,16 @@ def component_size_asof(edges: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        for a, b, size_a, size_b in zip(pdf["a"], pdf["b"], pdf["size_a"], pdf["size_b"], strict=True):
             a, b = top(a), top(b)
+            size.setdefault(a, size_a)
             if a != b:
                 up[b] = a
-                size[a] = size.get(a, 1) + size.get(b, 1)
-            out.append(size.get(a, 1))
+                size[a] += size.get(b, size_b)
+            out.append(size[a])
         return pd.DataFrame({"seq": pdf["seq"], "component_size": out})
 
-    return edges.select("seq", "src", "dst").join(comp, "src").groupBy("component").applyInPandas(replay, "seq string, component_size long")
+    return rows.groupBy("slice").applyInPandas(replay, "seq string, component_size long")
 
 
 def component_size_windowed(edges: DataFrame, window_ms: int = 86_400_000) -> DataFrame:

@@ -53,7 +53,7 @@ def geo_features(t: DataFrame) -> DataFrame:
     out = out.withColumns({
         "secs_since": F.when(gap.isNull(), -1.0).otherwise(F.greatest(F.lit(0.0), gap / 1000.0)),
         "gap_s": F.floor(gap / 1000).cast("long"),
-        "distance_km": haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")),
+        "distance_km": F.when(gap.isNotNull(), haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))),
     })
     return out.withColumn("speed_kmh", F.when(F.col("gap_s") >= 1, F.col("distance_km") / (F.col("gap_s") / 3600.0))).drop("_lat", "_lon", "_ms")
 

@@ -254,7 +254,7 @@ def amount_zscore(t, *_):
 
 
 _GEO = f""", g0 AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(ts_ms) OVER w AS pm FROM t WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
-g1 AS (SELECT *, CASE WHEN pm IS NULL THEN -1.0 ELSE greatest(0.0, (ts_ms - pm) / 1000.0) END AS secs_since, (ts_ms - pm) // 1000 AS gap_s, {_km('la', 'lo', 'lat', 'lon')} AS km FROM g0),
+g1 AS (SELECT *, CASE WHEN pm IS NULL THEN -1.0 ELSE greatest(0.0, (ts_ms - pm) / 1000.0) END AS secs_since, (ts_ms - pm) // 1000 AS gap_s, CASE WHEN pm IS NOT NULL THEN {_km('la', 'lo', 'lat', 'lon')} END AS km FROM g0),
 g2 AS (SELECT *, CASE WHEN gap_s >= 1 THEN km / (gap_s / 3600.0) END AS speed FROM g1)"""
 
 

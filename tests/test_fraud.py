@@ -109,6 +109,16 @@ def test_components_against_union_find(spark):
 def test_component_size_asof(spark):
     t = txns(spark, [{"user": a, "to": b, "at": i} for i, (a, b) in enumerate([("a", "b"), ("c", "d"), ("b", "c"), ("a", "d")])])
     assert [r.component_size for r in G.component_size_asof(G.build_edges(t)).orderBy("seq").collect()] == [2, 2, 4, 4]
+    rng = random.Random(6)
+    pairs = [(f"u{rng.randrange(25)}", f"u{rng.randrange(25)}") for _ in range(40)]
+    e = G.build_edges(txns(spark, [{"user": a, "to": b, "at": i} for i, (a, b) in enumerate(pairs)])).cache()
+    groups, want = {}, []
+    for r in e.orderBy("seq").collect():
+        both = groups.get(r.src, {r.src}) | groups.get(r.dst, {r.dst})
+        groups |= dict.fromkeys(both, both)
+        want.append(len(both))
+    for block in (6, 1000):
+        assert [r.component_size for r in G.component_size_asof(e, block).orderBy("seq").collect()] == want
 
 
 def test_quantities_and_numbers(spark):
