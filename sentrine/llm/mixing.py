@@ -81,20 +81,21 @@ def with_targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
-    """What a mix of all sources takes of every document: ``doc_id, size, source_size, target, taken`` and ``copies``.
+    """What a mix of all sources takes of every document: ``doc_id, size, source_size, target, taken``, and ``source, sig, copies``.
 
-    Size is the number of words (null text: 0). Rows with null source are a source of their own, the last one. The
+    ``sig`` is a hash of the text, ``copies`` how often the document is repeated. Size is the number of words (null text: 0). Rows with null source are a source of their own, the last one. The
     target of a source is met by whole documents: as many times all of them as fit, then for the remaining budget a
     count per exact length, fitted by bounded knapsack, and of each length that many documents in seeded order.
     Nothing is drawn at random, so reruns agree. Every row counts for itself, repeated or without doc_id; empty
-    documents take 0; no rows give no rows. ``copies`` is how often the document is repeated.
+    documents take 0; no rows give no rows. What the knapsack fits exactly is at most ``EXACT`` words; what a budget has
+    beyond, which is the rounding of the shares of all lengths, goes to whole documents first.
 
     Only lengths and counts meet in one task per source (its distinct lengths). The documents of one length are
     ranked in cells of about 256 by hash, with running sums over the cells, so no group is ranked in one task.
     """
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")).withColumn("key", key))
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("sig"), words.alias("size")).withColumn("key", key))
     hist = materialize(sizes.groupBy("key", "source", "size").agg(F.count("*").alias("n")))
     sources = hist.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     sources = materialize(with_targets(sources, weights, share, float(most)).select("key", "source_size", "target"))
@@ -109,16 +110,17 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: in
 
     plan = hist.drop("source").join(sources, "key").groupBy("key").applyInPandas(fit, "key string, size long, n long, source_size long, target double, base int, extra long")
     plan = materialize(plan.withColumn("cells", F.ceil(F.col("n") / CELL).cast("long")).drop("n"))
-    turn = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sizes.drop("source").join(plan, ["key", "size"]).withColumn("turn", turn).withColumn("cell", F.pmod("turn", "cells"))
+    turn = F.xxhash64(F.lit(seed), "doc_id", "sig")
+    rows = sizes.join(plan, ["key", "size"]).withColumn("turn", turn).withColumn("cell", F.pmod("turn", "cells"))
     over = Window.partitionBy("key", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(rows.groupBy("key", "size", "cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n"))
-    place = F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("turn", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("key", "size", "cell").orderBy("turn", "doc_id", "sig"))
     # not materialized: two small equi-joins and one ranking of small cells
     out = rows.join(cells, ["key", "size", "cell"]).withColumn("copies", F.col("base") + (F.col("before") + place <= F.col("extra")).cast("int"))
     drop(hist, sources)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "sig", "copies")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("copies")
+    """What a mix of the sources of ``documents`` takes of each document."""
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).drop("source", "sig", "copies")
