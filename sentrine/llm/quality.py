@@ -1,4 +1,9 @@
-"""Quality by nearest-neighbour voting in a latent space of character shapes."""
+"""Quality by nearest-neighbour voting among latent-semantic vectors.
+
+Terms are trigrams of character shapes (vowel, consonant, digit, mark, ...), which every text has, whatever its
+language. Their counts are weighted by entropy over the labelled documents, so that terms found everywhere count
+little, and a truncated singular value decomposition makes them vectors.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Classes of bytes, from 1; whatever is not named is class 0.
-SHAPES = ("aeiouyäöüáéíóú", "bcdfghjklmnpqrstvwxzñß", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "0123456789", " ", "\n\t\r", ".,;:", "!?", "|", "'\"()[]-/")
+SHAPES = ("aeiouy", "bcdfghjklmnpqrstvwxz", "AEIOUY", "BCDFGHJKLMNPQRSTVWXZ", "0123456789", " ", "\n\t\r", ".,;:", "!?", "|", "'\"()[]-/")
 WIDE = len(SHAPES) + 2  # and one for bytes beyond ASCII
-SIZE = WIDE**3 + 8
+SIZE = WIDE**3 + 6
 
 
 def _table() -> np.ndarray:
@@ -20,8 +25,7 @@ def _table() -> np.ndarray:
     t[128:] = WIDE - 1
     for i, chars in enumerate(SHAPES, 1):
         for c in chars:
-            if ord(c) < 128:
-                t[ord(c)] = i
+            t[ord(c)] = i
     return t
 
 
@@ -40,39 +44,46 @@ def features(text: str | None) -> np.ndarray:
     if ws:
         distinct = len(set(ws)) / len(ws)
         lines = raw.split(b"\n")
-        out[WIDE**3 :] = np.array([distinct, 1 - distinct, len(set(lines)) / len(lines), min(len(raw) / len(ws) / 20, 1), min(len(ws) / 50, 1), 1 / (1 + len(ws) / 10), 0, 0]) / 4
+        out[WIDE**3 :] = np.array([distinct, 1 - distinct, len(set(lines)) / len(lines), min(len(raw) / len(ws) / 20, 1), min(len(ws) / 50, 1), 1 / (1 + len(ws) / 10)]) / 4
     return out
 
 
 def fit(docs: DataFrame, labelled: DataFrame, rows: int = 3000, rank: int = 48, seed: int = 3):
-    """Latent vectors of at most ``rows`` labelled documents (by hash of doc_id): ``(mean, basis, vectors, labels)``.
+    """Latent vectors of at most ``rows`` labelled documents (by hash of doc_id): ``(origin, basis, vectors, labels)``.
 
     ``labelled``: ``doc_id, label`` without nulls. The sample is what the driver sees of the corpus; its bound is
-    ``rows``. None if there is no labelled document.
+    ``rows``. Of several labels or texts of one doc_id the smallest counts. None if there is no labelled document.
     """
-    chosen = labelled.dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
+    chosen = labelled.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [features(t).tobytes() for t in pdf["text"]]})
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(describe, "doc_id long, label int, x binary").collect()
-    got = sorted({r["doc_id"]: r for r in got}.values(), key=lambda r: r["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInPandas(describe, "doc_id long, label int, x binary").collect()
+    got = sorted(got, key=lambda r: r["doc_id"])
     if not got:
         return None
     x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64)
+    share = x[:, : WIDE**3] ** 2
+    share /= np.maximum(share.sum(0), 1e-12)
+    weight = np.ones(SIZE)
+    if len(got) > 1:
+        weight[: WIDE**3] += (share * np.log(np.maximum(share, 1e-12))).sum(0) / np.log(len(got))
+    x *= weight
     mean = x.mean(0)
     values, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
     basis = vectors[:, ::-1][:, : min(rank, len(got))]
     z = (x - mean) @ basis
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    return mean.astype(np.float32), basis.astype(np.float32), z.astype(np.float32), np.array([r["label"] for r in got], np.float32)
+    return (mean @ basis).astype(np.float32), (weight[:, None] * basis).astype(np.float32), z.astype(np.float32), np.array([r["label"] for r in got], np.float32)
 
 
 def vote(x: np.ndarray, model, k: int = 15, power: float = 8.0) -> np.ndarray:
     """Share of label 1 among the k labelled vectors of highest cosine, weighted by a power of similarity."""
-    mean, basis, known, labels = model
-    z = (x - mean) @ basis
+    origin, basis, known, labels = model
+    z = x @ basis - origin
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     cos = z @ known.T
     k = min(k, len(labels))
@@ -81,14 +92,16 @@ def vote(x: np.ndarray, model, k: int = 15, power: float = 8.0) -> np.ndarray:
     return np.clip((w * labels[at]).sum(1) / w.sum(1), 0, 1)
 
 
-def score_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, rows: int = 3000, block: int = 256) -> DataFrame:
+def score_quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, rows: int = 3000, block: int = 256, known: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 if score >= threshold).
 
+    ``known`` are the documents to learn from (``doc_id, text``), by default ``docs``.
+
     Each document's whole text is compared, block by block, with every labelled vector (broadcast; at most ``rows``
     of them). Columns named score or predicted are replaced. Null and empty texts get the vote of the labelled
     texts nearest to an empty one. Without any labelled document every score is 1: nothing is known against any.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labelled, rows))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if known is None else known, labelled, rows))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -113,6 +126,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def op9_quality_votes(spark, sf_dir: str) -> DataFrame:
+    """A quality score for every document of ``documents``, learnt from four fifths of ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score_quality(docs, learnable(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
