@@ -198,8 +198,9 @@ def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16, keep_whol
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = line_classes(typed, edits, near_chars).select("first_doc", "first_sig", "first_pos").distinct()
     kept = first.groupBy("first_doc", "first_sig").agg(F.array_sort(F.collect_list("first_pos")).alias("kept"))
-    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("line"))
-    joined = given.join(kept, (F.col("doc") == F.col("first_doc")) & (F.xxhash64("line") == F.col("first_sig")), "left")
+    text = F.col("row.text").cast("string")
+    given = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("sig"))
+    joined = given.join(kept, (F.col("doc") == F.col("first_doc")) & (F.col("sig") == F.col("first_sig")), "left")
 
     def rebuilt(parts: Column) -> Column:
         """Of one text's lines, bound once: how many are not blank, and the text of those that stay."""
@@ -207,8 +208,8 @@ def dedup_lines(docs: DataFrame, edits: int = 1, near_chars: int = 16, keep_whol
         stay = F.transform(F.array_sort(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blank)), lambda i: F.get(parts, i))
         return F.struct((F.size(parts) - F.size(blank)).alias("lines"), F.array_join(stay, "\n").alias("text"))
 
-    made = joined.withColumn("made", F.transform(F.array(F.split("line", "\n", -1)), rebuilt)[0])
-    known = F.col("doc").isNotNull() & F.col("line").isNotNull()
+    made = joined.withColumn("made", F.transform(F.array(F.split(text, "\n", -1)), rebuilt)[0])
+    known = F.col("doc").isNotNull() & text.isNotNull()
     lines = F.when(known, F.col("made.lines")).otherwise(0)
     left = F.when(known, F.coalesce(F.size("kept"), F.lit(0))).otherwise(0)
     some = known & (left < lines) & ((left > 0) | F.lit(not keep_whole))
