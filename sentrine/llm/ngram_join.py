@@ -183,6 +183,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     every = materialize(docs.mapInPandas(describe, "doc_id long, n long, sig binary, prefix array<long>"))
     classes = every.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("cid"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"))
     unsorted = materialize(classes)
+    wide, every = every, materialize(every.select("doc_id", "n", "sig"))
+    drop(wide)
     # nodes are numbered in order of doc_id: the hubs of a gram are its first and its last document
     classes = materialize(unsorted.orderBy("cid", "sig").withColumn("node", F.monotonically_increasing_id()))
     drop(unsorted)
