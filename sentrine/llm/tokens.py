@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from sentrine.storage import materialize
 
-_READY: dict[str, tuple] = {}
+_READY: dict[str, object] = {}  # tokenizers, which have a fixed size, by path
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -24,39 +25,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The byte-level alphabet and the pattern that cuts text before merges, as the vocabulary file fixes them.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class _Units(dict):
-    """Ids of units of text; the first ``most`` that occur are remembered, which are the frequent ones."""
+    """Ids of units of text, each a word with the space or line feed before it; the first ``most`` that occur are remembered.
 
-    def __init__(self, encode, most: int):
+    A new unit is cut like the tokenizer cuts, and each piece passes the library's model. A unit that ends with a
+    punctuation mark after a letter or digit is two pieces, of which the first is often known.
+    """
+
+    def __init__(self, model, most: int):
         super().__init__()
-        self.encode, self.most = encode, most
+        import regex
+
+        self.model, self.most, self.cut = model, most, regex.compile(_CUT).findall
+
+    def piece(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
-        raw = array("I", self.encode([unit if unit[:1] == "\n" else " " + unit])[0].ids).tobytes()
+        if unit[:1] == "\n":
+            raw = b"".join(map(self.piece, self.cut(unit)))
+        elif (word := unit.rstrip(".,;:!?")) != unit and word and word[-1].isalnum():
+            return self[word] + b"".join(map(self.piece, self.cut(unit[len(word) :])))
+        else:
+            raw = self.piece(" " + unit) if unit.isalpha() else b"".join(map(self.piece, self.cut(" " + unit)))
         if len(self) < self.most:
             self[unit] = raw
         return raw
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+    """Ids as little-endian unsigned 32-bit bytes, equal to those of the library's ``encode`` of each whole text.
 
-    Byte-level BPE merges nothing across its pre-tokens, and a white space between two other characters always
-    starts one. So texts without neighbouring white space are split there, and each distinct unit (a space or line
-    feed and what follows it) passes the tokenizers library once. Other texts go to the library whole.
+    Byte-level BPE merges nothing across the pieces that the text is cut into first, and a white space between two
+    other characters always starts one. So texts without neighbouring white space are split there, and each distinct
+    unit (a space or line feed and what follows it) passes the tokenizers library once. Other texts, and those that
+    hold a special token's name, go to the library whole; such names become that token, as is the library's default.
+    One encoder serves one task, so that what it remembers is freed with it.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+        if path not in _READY:
+            _READY[path] = Tokenizer.from_file(path)
+        model = _READY[path]
         self.library = partial(model.encode_batch_fast, add_special_tokens=False)
-        self.units = _Units(self.library, most)
-        self.odd = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
+        self.units = _Units(model.model, most)
+        self.special = [t.content for t in model.get_added_tokens_decoder().values()]
+        self.spaces = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
+
+    def odd(self, text: str) -> bool:
+        return any(name in text for name in self.special) or self.spaces(text) is not None
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
@@ -65,13 +93,6 @@ class Encoder:
         units = self.units.__getitem__
         return [array("I", e.ids).tobytes() + b"".join(map(units, ws)) for e, ws in zip(self.library(heads), cuts, strict=True)]
 
-    @classmethod
-    def at(cls, path: str) -> "Encoder":
-        """One for each Python worker, which outlives its tasks."""
-        if path not in _READY:
-            _READY[path] = cls(path)
-        return _READY[path]
-
 
 def some(texts: list, most: int = 64) -> Iterator[list]:
     for i in range(0, len(texts), most):
@@ -161,7 +182,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     Input: ``doc_id``, ``text`` (null: empty; every document gets ``end_id`` at its end). Returns a row per piece:
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, tier, step_group``.
-    Repeated rows are packed each for itself; rows without doc_id too. No rows give no pieces.
+    Repeated rows are packed each for itself; rows without doc_id too. No rows give no pieces. Which pieces share a
+    sequence depends on how the input is partitioned; the pieces' contents do not.
 
     Whole windows of a document are sequences of their own and leave the document where it is read; only what
     remains of it moves, with its ids, to a shard. The number of shards follows the bytes of the input, so a shard
@@ -171,7 +193,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     shards = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] // shard_bytes + 1
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = Encoder.at(tokenizer), struct.pack("<I", end_id)
+        encode, end = Encoder(tokenizer), struct.pack("<I", end_id)
         for pdf in batches:
             for ids in some(list(zip(pdf["doc_id"], pdf["text"], strict=True))):
                 out = []
@@ -186,7 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
     schema = "doc_id long, start long, length long, crc long, doc_tokens long, ids binary"
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, schema)
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(shards)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))  # repeated rows are dealt out too
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "doc_tokens"], kind="stable", na_position="first").reset_index(drop=True)
@@ -214,6 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document of ``documents`` cut and packed into sequences of at most 2048 tokens, a row per piece."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
 
 
@@ -288,7 +311,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
     empty input gives an empty table. Documents are range-partitioned by doc_id and sorted within partitions.
     """
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = Encoder.at(tokenizer), struct.pack("<I", end_id)
+        enc, end = Encoder(tokenizer), struct.pack("<I", end_id)
         docs_, parts, have, part, segment = [], [], 0, 0, 0
 
         def flush():
@@ -312,8 +335,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt = dealt.withColumn("part", F.spark_partition_id())
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))  # rows that repeat a doc_id, or have none, may fill several partitions
+    dealt = dealt.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
     schema = "first_doc long, part long, segment long, doc_ids binary, lengths binary, n_ids long, payload binary"
     return materialize(dealt.mapInPandas(encode, schema))
 
@@ -321,11 +345,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
 def read_token_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the written segments.
 
-    Where a segment starts is a running sum over the list of segments (one small row each); payloads stay where
-    they are and are opened once.
+    Where a segment starts is a running sum over the segments of its part, beyond a running sum over the parts (one
+    row for each partition written); payloads stay where they are and are opened once.
     """
-    w = Window.orderBy("part", "segment")
-    begin = files.select("part", "segment", "n_ids").withColumn("begin", F.sum("n_ids").over(w) - F.col("n_ids")).select("part", "segment", "begin")
+    earlier, within = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("part").orderBy("segment")
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    begin = files.select("part", "segment", "n_ids").join(parts, "part").withColumn("begin", F.col("before") + F.sum("n_ids").over(within) - F.col("n_ids")).select("part", "segment", "begin")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -343,5 +368,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
+    """``documents`` written as token files in order of doc_id, and what reading them back gives for each document."""
     files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
     return read_token_files(files)
