@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentrine.llm import line_dedup, mixing, ngram_join, quality, repeats, tokens, url_filter, vectors
+from sentrine.llm import line_dedup, mixing, ngram_join, pieces, quality, repeats, tokens, url_filter, vectors
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_files": tokens.op8_token_files,
     "op9_quality_votes": quality.op9_quality_votes,
     "op10_repeats": repeats.op10_repeats,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.OP1_SQL,
