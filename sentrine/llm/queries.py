@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentrine.llm import line_dedup, mixing, ngram_join, pieces, quality, repeats, tokens, url_filter, vectors
+from sentrine.llm import line_dedup, mixing, ngram_join, pieces, quality, repeats, search, tokens, url_filter, vectors
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_files": tokens.op8_token_files,
     "op9_quality_votes": quality.op9_quality_votes,
     "op10_repeats": repeats.op10_repeats,
+    "op11_ranked_search": search.op11_ranked_search,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_exact_top_k": vectors.OP4_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op11_ranked_search": search.OP11_SQL,
 }
