@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sentrine.llm import line_dedup, mixing, ngram_join, pieces, quality, repeats, search, tokens, url_filter, vectors
+from sentrine.llm import line_dedup, mixing, ngram_join, phrases, pieces, quality, repeats, search, tokens, url_filter, vectors
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_votes": quality.op9_quality_votes,
     "op10_repeats": repeats.op10_repeats,
     "op11_ranked_search": search.op11_ranked_search,
+    "op12_collocations": phrases.op12_collocations,
     "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_url_filter": url_filter.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op11_ranked_search": search.OP11_SQL,
+    "op12_collocations": phrases.OP12_SQL,
 }

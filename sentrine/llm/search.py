@@ -33,20 +33,21 @@ def raw_bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
-    """Maximal runs of ``inside`` bytes, A-Z in lower case, none across the bounds ``at``; and how many each text has."""
+    """Maximal runs of ``inside`` bytes, A-Z in lower case, none across the bounds ``at``; and where in ``raw`` each begins."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = at[:-1][at[:-1] < at[1:]]
     first[begins] = inside[begins]
     ends = np.append((np.cumsum(inside, dtype=np.int32) - 1)[first], np.count_nonzero(inside)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(_LOWER[raw[inside]]))
-    return words, np.diff(np.concatenate([[0], np.cumsum(first, dtype=np.int64)])[at])
+    return words, np.flatnonzero(first)
 
 
 def terms(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
     """All terms of ``texts`` one after the other, and how many each text has."""
     raw, at = raw_bytes(texts)
-    return runs(raw, at, _IN_TERM[raw])
+    found, begins = runs(raw, at, _IN_TERM[raw])
+    return found, np.diff(np.searchsorted(begins, at))
 
 
 def forward_table(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
