@@ -154,8 +154,8 @@ def extend(relation: DataFrame, frequent: DataFrame, most: int, packed: bool) ->
             out.append(_keep(r.block, r.lang, size, at, b"", local, found).to_pandas())
         return pd.concat(out) if out else pd.DataFrame(columns=["block", "lang", "mask", "breaks", "codes", "ids"])
 
-    pairs = relation.mapInArrow(listed, "block long, place long, left long, right long").join(frequent.select("left", "right", "id"), ["left", "right"]).select("block", "place", "id")
-    return materialize(relation.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(give, RELATION))
+    pairs = relation.mapInArrow(listed, "block long, place long, left long, right long").join(frequent.select("left", "right", "id"), ["left", "right"]).select(F.col("block").alias("of"), "place", "id")
+    return materialize(relation.groupBy("block").cogroup(pairs.groupBy("of")).applyInPandas(give, RELATION))
 
 
 def first_relation(words: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
@@ -187,9 +187,9 @@ def first_relation(words: DataFrame, frequent: DataFrame, most: int) -> DataFram
             out.append(_keep(r.block, r.lang, len(local), np.arange(len(local)), r.breaks, local, found).to_pandas())
         return pd.concat(out) if out else pd.DataFrame(columns=["block", "lang", "mask", "breaks", "codes", "ids"])
 
-    listed = words.select("block", "lang", F.posexplode("words").alias("place", "word")).join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("block", "place", "id")
+    listed = words.select("block", "lang", F.posexplode("words").alias("place", "word")).join(frequent.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("of"), "place", "id")
     mine = words.select("block", "lang", "breaks", "codes", F.size("words").alias("groups"))
-    return materialize(mine.groupBy("block").cogroup(listed.groupBy("block")).applyInPandas(give, RELATION))
+    return materialize(mine.groupBy("block").cogroup(listed.groupBy("of")).applyInPandas(give, RELATION))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most: int = 1_000_000) -> tuple[list[DataFrame], DataFrame]:
