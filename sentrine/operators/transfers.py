@@ -10,6 +10,7 @@ from sentrine.config import DEFAULT, EngineConfig
 from sentrine.functions.exprs import java_round
 from sentrine.operators.components import connected_components
 from sentrine.operators.metrics import global_rank
+from sentrine.operators.users import running_count
 from sentrine.storage import drop, materialize
 
 
@@ -88,32 +89,96 @@ def chain_depth(matched: DataFrame, cap: int = DEFAULT.chain_cap) -> DataFrame:
     return cur.select("seq", F.least(F.lit(cap), "depth").cast("int").alias("depth"))
 
 
+def ranked_edges(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``seq, src, dst, ts_ms, rank, until``: the number of each transfer among those of its source, and the one that pushes it out of the newest."""
+    e = running_count(edges.select("seq", "src", "dst", "ts_ms"), "src", "rank")
+    fall = e.select("src", (F.col("rank") - cfg.max_edges).alias("rank"), F.col("seq").alias("until"))
+    return e.join(fall, ["src", "rank"], "left").select("seq", "src", "dst", "ts_ms", "rank", "until")
+
+
+def _forward(cur: DataFrame, step: DataFrame, sent: DataFrame, i: int, cfg: EngineConfig) -> DataFrame:
+    """Paths one transfer longer: ``x<i>`` and ``s<i>`` are the account it reaches and the transfer.
+
+    A path knows how many transfers its account had sent when ``seq`` arrived, and so meets at most the newest
+    ``max_edges`` of them by an equi-join on (account, rank), however many are no longer live.
+    """
+    both = cur.withColumns({"_sent": F.lit(0), "ev": F.col("ts_ms")}).unionByName(sent, allowMissingColumns=True)
+    had = running_count(both, "node", "had", "ev", "_sent").where("_sent = 0 and had > 0").drop("_sent", "ev")
+    ranks = F.sequence(F.greatest(F.lit(1), F.col("had") - (cfg.max_edges - 1)), F.col("had"))
+    nxt = had.withColumn("rank", F.explode(ranks)).join(step, ["node", "rank"]).where(F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms)
+    for seen in ["x0", *(f"x{j}" for j in range(1, i))]:
+        nxt = nxt.where(F.col("to") != F.col(seen))
+    return nxt.withColumns({f"x{i}": F.col("to"), f"s{i}": F.col("e_seq"), "node": F.col("to")}).drop("had", "rank", "to", "e_seq", "e_ts")
+
+
+def half_paths(step: DataFrame, wanted: DataFrame | None, length: int, cfg: EngineConfig) -> DataFrame:
+    """Paths of one or two transfers by first and last account and day: ``node, goal, day, mid, hops, newest, until, oldest_ms``.
+
+    A transfer counts on its own day and the next, beyond which it is dead. Two meet at the account between them; where
+    an account has so many on both sides that all pairs would exceed ``max_edges`` squared for each of its transfers, only
+    pairs between ``wanted`` accounts (``node, goal, day``) are made, a lookup for each of them.
+    """
+    days = lambda ts: F.explode(F.array(F.floor(ts / cfg.edge_ttl_ms), F.floor(ts / cfg.edge_ttl_ms) + 1))
+    e = step.select("seq", "src", "dst", "ts_ms", "until").withColumn("day", days(F.col("ts_ms")))
+    out = e.select(F.col("src").alias("node"), F.col("dst").alias("goal"), "day", F.lit(None).cast("string").alias("mid"), F.array("seq").alias("hops"), F.col("seq").alias("newest"), "until", F.col("ts_ms").alias("oldest_ms"))
+    if length < 2:
+        return out
+    a = e.select(F.col("src").alias("node"), F.col("dst").alias("mid"), "day", *[F.col(c).alias(f"{c}_a") for c in ("seq", "ts_ms", "until")])
+    b = e.select(F.col("src").alias("mid"), F.col("dst").alias("goal"), "day", *[F.col(c).alias(f"{c}_b") for c in ("seq", "ts_ms", "until")])
+    if wanted is not None:
+        dense = dense_accounts(step, cfg).withColumn("day", F.explode(F.array("day", F.col("day") + 1))).distinct()
+        heavy = a.join(dense, ["mid", "day"], "left_semi").join(wanted, ["node", "day"]).join(b, ["mid", "goal", "day"])
+        a = a.join(dense, ["mid", "day"], "left_anti")
+        pairs = a.join(b, ["mid", "day"]).unionByName(heavy)
+    else:
+        pairs = a.join(b, ["mid", "day"])
+    newest, until = F.greatest("seq_a", "seq_b"), F.least("until_a", "until_b")  # least skips nulls, which stand for never
+    two = pairs.where((F.col("node") != F.col("goal")) & (until.isNull() | (until > newest)))
+    return out.unionByName(two.select("node", "goal", "day", "mid", F.array("seq_a", "seq_b").alias("hops"), newest.alias("newest"), until.alias("until"), F.least("ts_ms_a", "ts_ms_b").alias("oldest_ms")))
+
+
+def dense_accounts(step: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``mid, day`` of accounts whose incoming times outgoing transfers of a day exceed ``max_edges`` squared for each transfer."""
+    day = F.floor(F.col("ts_ms") / cfg.edge_ttl_ms).alias("day")
+    ends = step.select(F.col("dst").alias("mid"), day, F.lit(1).alias("i"), F.lit(0).alias("o")).union(step.select("src", day, F.lit(0), F.lit(1)))
+    n = ends.groupBy("mid", "day").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    return n.where(F.least("i", "o") > cfg.max_edges**2).select("mid", "day")
+
+
 def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """First path, by edge order, from ``node`` to ``goal`` over the edges live when ``seq`` arrives.
 
-    ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. Transfers of
-    an account are ranked; a path knows how many its account had sent when ``seq`` arrived, and so meets at most the
-    newest ``max_edges`` of them by an equi-join on (account, rank), however many are no longer live. Accounts that
-    nothing leaves are trimmed. Returns ``seq, path`` (accounts) and ``hops``.
+    ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. They meet in the
+    middle: paths of two transfers go forward from each start, at most ``max_edges`` squared of them, and look up the
+    half paths of one or two transfers that lead from where they are to the goal, by (account, goal, day); whether
+    those are live is checked as of ``seq``. So no step makes rows for paths that do not close beyond the second
+    transfer. Accounts that nothing leaves are trimmed. Returns ``seq, path`` (accounts) and ``hops``.
     """
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("seq"))
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), rank.alias("rank"))
-    step = materialize(step.join(edges.select(F.col("src").alias("to")).distinct(), "to", "left_semi"))  # its target leads somewhere
-    sent = edges.select(F.col("src").alias("node"), "seq", F.lit(1).alias("sent"))
-    so_far = Window.partitionBy("node").orderBy("seq", "sent").rowsBetween(Window.unboundedPreceding, 0)
-    cur = starts.withColumns({"path": F.array("node"), "hops": F.array().cast("array<string>")})
-    found, tables = None, [step]
-    for _ in range(1, cfg.max_cycle):
-        here = cur.withColumn("sent", F.lit(0)).unionByName(sent, allowMissingColumns=True).withColumn("had", F.sum("sent").over(so_far)).where("sent = 0 and had > 0")
-        ranks = F.sequence(F.greatest(F.lit(1), F.col("had") - (cfg.max_edges - 1)), F.col("had"))
-        nxt = here.withColumn("rank", F.explode(ranks)).withColumn("rank", F.col("rank").cast("int")).join(step, ["node", "rank"])
-        nxt = nxt.where((F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms) & ~F.array_contains("path", F.col("to")))
-        nxt = materialize(nxt.select("seq", "ts_ms", "goal", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"), F.concat("hops", F.array("e_seq")).alias("hops")))
-        tables.append(nxt)
-        done = nxt.where("node = goal").select("seq", "path", "hops")
-        found = done if found is None else found.union(done)
-        cur = nxt.where("node != goal")
-    out = materialize(found.groupBy("seq").agg(F.min_by("path", "hops").alias("path"), F.min("hops").alias("hops")))
+    back = max(0, min(2, cfg.max_cycle - 2))
+    ahead = cfg.max_cycle - 1 - back
+    step = materialize(ranked_edges(edges, cfg))
+    leads = step.select(F.col("src").alias("dst")).distinct()
+    onward = step.join(leads, "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), "rank")
+    sent = step.select(F.col("src").alias("node"), "seq", F.col("ts_ms").alias("ev"), F.lit(1).alias("_sent"))
+    cur, found, tables = starts.select("seq", "ts_ms", "goal", "node", F.col("node").alias("x0")), [], [step]
+    for i in range(1, ahead + 1):
+        cur = materialize(_forward(cur, onward, sent, i, cfg))
+        tables.append(cur)
+        path, hops = F.array(*[f"x{j}" for j in range(i + 1)]), F.array(*[f"s{j}" for j in range(1, i + 1)])
+        found.append(cur.where("node = goal").select("seq", path.alias("path"), hops.alias("hops")))
+        cur = cur.where("node != goal")
+    if back:
+        cur = cur.withColumn("day", F.floor(F.col("ts_ms") / cfg.edge_ttl_ms))
+        crowded = back > 1 and bool(dense_accounts(step, cfg).head(1))
+        half = half_paths(step, cur.select("node", "goal", "day").distinct() if crowded else None, back, cfg).withColumnRenamed("hops", "rest")
+        live = (F.col("newest") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq"))) & (F.col("oldest_ms") >= F.col("ts_ms") - cfg.edge_ttl_ms)
+        meet = cur.join(half, ["node", "goal", "day"]).where(live & ~F.coalesce(F.array_contains(path, F.col("mid")), F.lit(False)))
+        found.append(meet.select("seq", F.concat(path, F.array_compact(F.array("mid")), F.array("goal")).alias("path"), F.concat(hops, "rest").alias("hops")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    best = every.groupBy("seq").agg(F.min(F.struct("hops", "path")).alias("b"))
+    out = materialize(best.select("seq", "b.path", "b.hops"))
     drop(*tables)
     return out
 

@@ -21,6 +21,26 @@ def _before():
     return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 
+HOUR = 3_600_000
+
+
+def running_count(rows: DataFrame, key: str, name: str, at: str = "ts_ms", counted: str | None = None, order: str = "seq", chunk_ms: int = HOUR) -> DataFrame:
+    """Adds ``name``: of the rows of one ``key`` how many there are up to each by ``order``, itself included.
+
+    With ``counted`` only rows where it is 1 count, and of equal ``order`` rows of 0 come first. A key's rows are counted
+    in chunks of time, whose totals are carried on, so that a key with a third of all rows is spread over tasks;
+    ``order`` has to follow ``at``.
+    """
+    chunk = F.floor(F.col(at) / chunk_ms)
+    one = F.col(counted).cast("long") if counted else F.lit(1).cast("long")
+    own = Window.partitionBy(key, "_c").orderBy(order, *([counted] if counted else []))
+    within = F.sum(one).over(own.rowsBetween(Window.unboundedPreceding, 0)) if counted else F.row_number().over(own).cast("long")
+    totals = rows.groupBy(key, chunk.alias("_c")).agg(F.sum(one).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("_before", before).drop("_n")
+    return rows.withColumn("_c", chunk).withColumn(name, within).join(totals, [key, "_c"]).withColumn(name, F.col(name) + F.col("_before")).drop("_c", "_before")
+
+
 def velocity_features(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``cnt1m, cnt5m, cnt1h`` and sums, the payment itself included.
 
