@@ -875,9 +875,9 @@ def fit_score(t, *_):
 
 @query(None, 100)
 def decide_scored(t, *_):
-    """Decisions with a model: the linear baseline, fitted on the same payments, scores what the gate lets through."""
+    """Decisions with a model: boosted trees, fitted on the same payments, score what the gate lets through."""
     f = materialize(D.features(t))
-    model = ML.fit_model(ML.training_frame(f.withColumn("features", D.features_map()), P.labels(t)), kind="linear")
+    model = ML.fit_model(ML.training_frame(f.withColumn("features", D.features_map()), P.labels(t)))
     names = {f"f_{k}": F.col(k).cast("double") for k in D.FEATURES} | {"f_channel": X.channel_code(F.col("channel")).cast("double"), "f_in_cycle": F.col("in_cycle").cast("double")}
     scorer = lambda rows: ML.score(model, rows.withColumns(names)).withColumnRenamed("p", "ml_score").drop(*names)
     return D.assemble_decision(f, scorer).select("txn_id", "verdict", "mode", F.round("ml_score", 6).alias("ml_score"), F.array_join("fired_rules", ",").alias("fired"))
@@ -889,12 +889,12 @@ def feature_importance(t, *_):
     frame = materialize(ML.training_frame(_decided(t), P.labels(t)))
     rows = []
     for without in ((), ("f_cnt1m", "f_cnt5m", "f_cnt1h")):
-        model = ML.ablate(frame, without, trees=5, depth=3)
-        rows += [(len(without), name, value) for name, value in ML.feature_importance(model)]
+        rows += [(len(without), name, value) for name, value in ML.feature_importance(ML.ablate(frame, without))]
     return t.sparkSession.createDataFrame(rows, "left_out int, feature string, importance double")
 
 
 @query(None, 100)
 def explain(t, *_):
+    """What each feature adds to the log-odds that the boosted trees give each payment."""
     frame = materialize(ML.training_frame(_decided(t), P.labels(t)))
-    return ML.explain(ML.fit_model(frame, kind="linear"), frame).select("txn_id", F.explode("contributions").alias("c")).select("txn_id", "c.feature", "c.value")
+    return ML.explain(ML.fit_model(frame), frame).select("txn_id", "base", F.explode("contributions").alias("c")).select("txn_id", "base", "c.feature", "c.value")
