@@ -79,14 +79,14 @@ def hard_rules(cfg: EngineConfig = DEFAULT, rules=RULES) -> Column:
     return fired_rule(cfg, rules)["signal"]["code"]
 
 
-def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = False) -> DataFrame:
-    """All features of every payment. ``sizes`` adds component sizes, which replay each component in order."""
+def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> DataFrame:
+    """All features of every payment; without ``sizes`` components count as 1."""
     out = merchant_risk_tier(t.withColumn("category", merchant_category(F.col("merchant_id"))))
     out = G.out_degree(U.geo_features(U.amount_zscore(U.velocity_features(out, cfg), cfg)), cfg)
     edges = G.build_edges(t)
     pt = G.pass_through(edges, cfg)
     out = out.join(pt.join(G.chain_depth(pt, cfg.chain_cap), "seq"), "seq", "left").join(G.ring_cycles(edges, cfg), "seq", "left")
-    out = out.join(G.component_size_asof(edges), "seq", "left") if sizes else out.withColumn("component_size", F.lit(None).cast("long"))
+    out = out.join(G.component_size_asof(t.select("seq", "ts_ms", F.col("user_id").alias("src"), F.col("counterparty_id").alias("dst"))), "seq", "left") if sizes else out.withColumn("component_size", F.lit(None).cast("long"))
     speed = F.when(F.col("gap_s") >= cfg.min_gap_s, java_round(F.col("speed_kmh"), 1)).otherwise(0.0)
     return out.withColumns({
         "chain_depth": F.coalesce("depth", F.lit(0)), "pt_ratio": F.coalesce("pt_ratio", F.lit(0.0)), "pt_secs": F.coalesce("pt_secs", F.lit(-1)),
@@ -159,7 +159,7 @@ def missing_features(wanted: Column, produced: Column) -> Column:
     return F.array_except(wanted, produced)
 
 
-def decide(t: DataFrame, scorer=None, cfg: EngineConfig = DEFAULT, sizes: bool = False) -> DataFrame:
+def decide(t: DataFrame, scorer=None, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> DataFrame:
     """Payments to auditable decisions."""
     return assemble_decision(features(U.dedup_first(t, cfg.dedup_ttl_ms), cfg, sizes), scorer, cfg)
 

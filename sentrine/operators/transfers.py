@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -225,63 +226,128 @@ def components_final(edges: DataFrame) -> DataFrame:
     return c.join(c.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def component_size_asof(edges: DataFrame, block: int = 4096) -> DataFrame:
-    """``seq, component_size``: the size of its component when each transfer arrived, itself included.
+def component_size_asof(t: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``seq, component_size``: the size of its account's component as each payment arrives, its own transfer included; 1 if unseen.
 
-    The order of arrival is cut into slices of at most ``block`` transfers. From the halves of the whole down to
-    slices, the first half of each part is contracted to its components, which become the accounts of the second half
-    and carry their sizes. A slice then knows its accounts as they were when it began, and is replayed in one task. So
-    the number of rounds is logarithmic, and no task sees more than a slice, however large a component is.
+    ``t``: ``seq, ts_ms, src, dst``; a payment without ``dst`` links nothing.
     """
-    n = edges.count()
+    return component_sizes(t, None, block)
+
+
+def component_size_windowed(t: DataFrame, window_ms: int = 86_400_000, block: int = 1 << 16) -> DataFrame:
+    """``seq, component_size`` over the transfers of the trailing window alone, so that old ones stop counting; the window's start is included."""
+    return component_sizes(t, window_ms, block)
+
+
+def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 16) -> DataFrame:
+    """Sizes of components that gain and lose transfers, by offline dynamic connectivity over a segment tree of time.
+
+    Arrivals and ends of all transfers get places in one order, which is cut into slices of at most ``block`` of them.
+    From the whole of it down to slices, each part is halved: transfers that live throughout a half are contracted there,
+    so that their components become the accounts of that half and carry their sizes, and those that begin or end within
+    it go on to its own halves. A slice is one task, which halves on in memory with a union-find that is rolled back.
+    The number of rounds is logarithmic, and no task sees more than ``block`` ends, however large a component is.
+    ``t`` may carry ``size_a, size_b``, where accounts stand for several.
+    """
+    one = F.lit(1).cast("long")
+    linked = F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))
+    sizes = [F.col(c) if c in t.columns else one.alias(c) for c in ("size_a", "size_b")]
+    rows = t.select("seq", F.col("ts_ms").alias("at"), F.lit(0).alias("end"), F.col("src").alias("a"), F.when(linked, F.col("dst")).otherwise(F.col("src")).alias("b"), *sizes)
+    if window_ms is not None:
+        ends = rows.where("a != b").select("seq", (F.col("at") + window_ms).alias("at"), F.lit(1).alias("end"))
+        placed = global_rank(rows.unionByName(ends, allowMissingColumns=True), "at", "end", "seq")
+        placed = materialize(placed.withColumn("rank", F.col("rank") - 1))
+        over = placed.where("end = 1").select("seq", F.col("rank").alias("hi"))
+        rows = placed.where("end = 0").join(over, "seq", "left")
+    else:
+        placed = rows = materialize(global_rank(rows, "at", "end", "seq").withColumn("rank", F.col("rank") - 1).withColumn("hi", F.lit(None).cast("long")))
+    n = placed.count()
     slices = 1
     while slices * block < n:
         slices *= 2
-    rows = global_rank(edges.select("seq", "src", "dst"), "seq").withColumn("slice", F.floor((F.col("rank") - 1) * slices / max(n, 1)).cast("long"))
-    one = F.lit(1).cast("long")
-    rows = materialize(rows.select("seq", "slice", F.col("src").alias("a"), F.col("dst").alias("b"), one.alias("size_a"), one.alias("size_b")))
+    slot = lambda c: F.floor(F.col(c) * slices / max(n, 1)).cast("long")
+    forever = F.lit(1 << 62)
+    rows = rows.select(F.lit(0).cast("long").alias("part"), "seq", F.col("rank").alias("lo"), F.coalesce("hi", F.when(F.col("a") == F.col("b"), F.col("rank") + 1).otherwise(forever)).alias("hi"), "a", "b", "size_a", "size_b")
+    rows = rows.withColumns({"lo_s": slot("lo"), "hi_s": F.when(F.col("hi") == forever, forever).otherwise(slot("hi"))})
     width, tag = slices, lambda c: F.concat(F.col("part").cast("string"), F.lit(":"), F.col(c))
+    tables = [placed]
     while width > 1:
-        halves = rows.withColumn("part", F.floor(F.col("slice") / width).cast("long")).withColumn("late", F.col("slice") % width >= width // 2)
-        early = halves.where("not late")
-        nodes = early.select(tag("a").alias("node"), F.col("size_a").alias("size")).union(early.select(tag("b"), "size_b")).distinct()
-        comp = connected_components(early.select(tag("a").alias("src"), tag("b").alias("dst"))).join(nodes, "node")
-        sizes = comp.groupBy("component").agg(F.sum("size").alias("total"))
-        comp = materialize(comp.join(sizes, "component").select("node", F.regexp_replace("component", "^[0-9]+:", "").alias("to"), "total"))
-        out = halves
+        width //= 2
+        half = rows.withColumn("part", F.explode(F.array(F.col("part") * 2, F.col("part") * 2 + 1)))
+        first, beyond = F.col("part") * width, (F.col("part") + 1) * width
+        half = half.where((F.col("lo_s") < beyond) & (F.col("hi_s") >= first)).withColumn("through", (F.col("lo_s") < first) & (F.col("hi_s") >= beyond))
+        half = materialize(half)
+        whole = half.where("through")
+        nodes = whole.select(tag("a").alias("node"), F.col("size_a").alias("size")).union(whole.select(tag("b"), "size_b")).distinct()
+        comp = connected_components(whole.select(tag("a").alias("src"), tag("b").alias("dst"))).join(nodes, "node")
+        totals = comp.groupBy("component").agg(F.sum("size").alias("total"))
+        comp = materialize(comp.join(totals, "component").select("node", F.regexp_replace("component", "^[0-9]+:", "").alias("to"), "total"))
+        out = half.where("not through").drop("through")
         for side in ("a", "b"):
             found = comp.select(F.col("node").alias(f"node_{side}"), F.col("to").alias(f"to_{side}"), F.col("total").alias(f"total_{side}"))
-            out = out.join(found, F.col("late") & (tag(side) == F.col(f"node_{side}")), "left")
+            out = out.join(found, tag(side) == F.col(f"node_{side}"), "left")
         moved = lambda new, old: F.coalesce(F.col(new), F.col(old)).alias(old)
-        out = out.select("seq", "slice", moved("to_a", "a"), moved("to_b", "b"), moved("total_a", "size_a"), moved("total_b", "size_b"))
-        rows, was = materialize(out), rows
-        drop(was, comp)
-        width //= 2
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, up, size, out = pdf.sort_values("seq"), {}, {}, []
-
-        def top(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b, size_a, size_b in zip(pdf["a"], pdf["b"], pdf["size_a"], pdf["size_b"], strict=True):
-            a, b = top(a), top(b)
-            size.setdefault(a, size_a)
-            if a != b:
-                up[b] = a
-                size[a] += size.get(b, size_b)
-            out.append(size[a])
-        return pd.DataFrame({"seq": pdf["seq"], "component_size": out})
-
-    return rows.groupBy("slice").applyInPandas(replay, "seq string, component_size long")
-
-
-def component_size_windowed(edges: DataFrame, window_ms: int = 86_400_000) -> DataFrame:
-    """``slot, node, size``: components within each tumbling window, so that old transfers stop counting."""
-    e = edges.withColumn("slot", F.floor(F.col("ts_ms") / window_ms).cast("long"))
-    tag = lambda c: F.concat(F.lpad(F.col("slot").cast("string"), 12, "0"), c)
-    c = components_final(e.select(tag("src").alias("src"), tag("dst").alias("dst")))
-    return c.select(F.substring("node", 1, 12).cast("long").alias("slot"), F.expr("substr(node, 13)").alias("node"), "size")
+        rows = materialize(out.select("part", "seq", "lo", "hi", "lo_s", "hi_s", moved("to_a", "a"), moved("to_b", "b"), moved("total_a", "size_a"), moved("total_b", "size_b")))
+        drop(*tables, half, comp)
+        tables = [rows]
+    return rows.groupBy("part").applyInPandas(_replay, "seq string, component_size long")
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sizes for the payments of one slice: those whose place lies in it. Transfers from before it lead in."""
+    pdf = pdf.sort_values("lo", kind="stable")
+    own = pdf["lo_s"].to_numpy() == pdf["part"].to_numpy()
+    at = pdf["lo"].to_numpy()[own]
+    names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]).astype(str), return_inverse=True)
+    a, b = codes[: len(pdf)].tolist(), codes[len(pdf) :].tolist()
+    size = np.ones(len(names), np.int64)
+    size[codes] = np.concatenate([pdf["size_a"].to_numpy(), pdf["size_b"].to_numpy()])
+    size, up, asked, out = size.tolist(), list(range(len(names))), codes[: len(pdf)][own].tolist(), [0] * len(at)
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def link(x: int, y: int, undo: list) -> None:
+        x, y = top(x), top(y)
+        if x != y:
+            if size[x] < size[y]:
+                x, y = y, x
+            up[y] = x
+            size[x] += size[y]
+            undo.append((x, y))
+
+    begin = np.searchsorted(at, pdf["lo"].to_numpy(), side="left").tolist()
+    end = np.searchsorted(at, pdf["hi"].to_numpy(), side="left").tolist()
+    real = [i for i in range(len(pdf)) if a[i] != b[i] and begin[i] < end[i]]
+
+    def halve(lo: int, hi: int, edges: list[int]) -> None:
+        undo, rest = [], []
+        for i in edges:
+            if begin[i] <= lo and end[i] >= hi:
+                link(a[i], b[i], undo)
+            else:
+                rest.append(i)
+        if hi - lo == 1:
+            out[lo] = size[top(asked[lo])]
+        elif not rest:
+            out[lo:hi] = [size[top(x)] for x in asked[lo:hi]]
+        elif all(end[i] >= hi for i in rest):  # nothing ends in here: in order, without going back
+            todo, k = sorted(rest, key=begin.__getitem__), 0
+            for j in range(lo, hi):
+                while k < len(todo) and begin[todo[k]] <= j:
+                    link(a[todo[k]], b[todo[k]], undo)
+                    k += 1
+                out[j] = size[top(asked[j])]
+        else:
+            mid = (lo + hi) // 2
+            halve(lo, mid, [i for i in rest if begin[i] < mid])
+            halve(mid, hi, [i for i in rest if end[i] > mid])
+        for x, y in reversed(undo):
+            size[x] -= size[y]
+            up[y] = y
+
+    if len(at):
+        halve(0, len(at), real)
+    return pd.DataFrame({"seq": pdf["seq"].to_numpy()[own], "component_size": out})

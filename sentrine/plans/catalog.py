@@ -409,16 +409,26 @@ def components_final(t, *_):
     return G.components_final(G.build_edges(t))
 
 
-@query(None, 5)
+def _sizes(since: str = "", rows: str = "t") -> str:
+    """Each payment's account and what it reaches over transfers up to then (``since``: and not before), a walk for each payment."""
+    src = "user_id" if rows == "t" else "src"
+    return (f", ud AS (SELECT seq, ts_ms, src AS a, dst AS b FROM g UNION ALL SELECT seq, ts_ms, dst, src FROM g), cr(seq, ts_ms, node) AS (SELECT seq, ts_ms, {src} FROM {rows} UNION SELECT cr.seq, cr.ts_ms, ud.b FROM cr JOIN ud ON ud.a = cr.node AND ud.seq <= cr.seq{since}),"
+            " zs AS (SELECT seq, count(*) AS component_size FROM cr GROUP BY seq)")
+
+
+def _linked(t):
+    return t.select("seq", "ts_ms", F.col("user_id").alias("src"), F.col("counterparty_id").alias("dst"))
+
+
+@query(_sizes() + " SELECT seq, component_size FROM zs", 5)
 def component_size_asof(t, *_):
-    return G.component_size_asof(G.build_edges(t))
+    """At every payment, transfers and others."""
+    return G.component_size_asof(_linked(t))
 
 
-@query(""", w AS (SELECT DISTINCT ts_ms // 3600000 AS slot, src, dst FROM g), ud AS (SELECT slot, src AS a, dst AS b FROM w UNION SELECT slot, dst, src FROM w),
-rw(slot, node, root) AS (SELECT slot, a, a FROM ud UNION SELECT ud.slot, ud.b, rw.root FROM rw JOIN ud ON ud.slot = rw.slot AND ud.a = rw.node),
-mn AS (SELECT slot, node, min(root) AS root FROM rw GROUP BY slot, node) SELECT slot, node, count(*) OVER (PARTITION BY slot, root) AS size FROM mn""", 5)
+@query(_sizes(" AND ud.ts_ms >= cr.ts_ms - 43200000") + " SELECT seq, component_size FROM zs", 5)
 def component_size_windowed(t, *_):
-    return G.component_size_windowed(G.build_edges(t), 3_600_000)
+    return G.component_size_windowed(_linked(t), 43_200_000)
 
 
 # ------------------------------------------------------------------ decisions
@@ -847,7 +857,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, c
 
 
 def _decided(t):
-    """Payments with all features but the size of the component, which is 1 unless asked for."""
+    """Payments with all features."""
     return D.features(t).withColumn("features", D.features_map())
 
 

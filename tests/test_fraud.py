@@ -106,19 +106,69 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_component_size_asof(spark):
-    t = txns(spark, [{"user": a, "to": b, "at": i} for i, (a, b) in enumerate([("a", "b"), ("c", "d"), ("b", "c"), ("a", "d")])])
-    assert [r.component_size for r in G.component_size_asof(G.build_edges(t)).orderBy("seq").collect()] == [2, 2, 4, 4]
+def sizes_by_walking(rows, window):
+    """Of rows (ms, a, b or None): what each account reaches over the transfers up to then, and not older than the window."""
+    out = []
+    for i, (ms, a, _) in enumerate(rows):
+        near = {}
+        for then, x, y in rows[: i + 1]:
+            if y is not None and (window is None or then >= ms - window):
+                near.setdefault(x, set()).add(y)
+                near.setdefault(y, set()).add(x)
+        seen, todo = {a}, [a]
+        while todo:
+            for y in near.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out.append(len(seen))
+    return out
+
+
+def test_component_sizes_that_grow_and_shrink(spark):
+    t = txns(spark, [{"user": a, "to": b, "at": i} for i, (a, b) in enumerate([("a", "b"), ("c", "d"), ("b", "c"), ("a", "d"), ("e", None), ("a", None), ("f", "f")])])
+    linked = lambda t: t.select("seq", "ts_ms", F.col("user_id").alias("src"), F.col("counterparty_id").alias("dst"))
+    sizes = lambda df: [r.component_size for r in df.orderBy("seq").collect()]
+    assert sizes(G.component_size_asof(linked(t))) == [2, 2, 4, 4, 1, 4, 1]
+    assert sizes(G.component_size_windowed(linked(t), 2000)) == [2, 2, 4, 4, 1, 2, 1]
+    assert sizes(G.component_size_windowed(linked(t), 1000)) == [2, 2, 3, 2, 1, 1, 1]
     rng = random.Random(6)
-    pairs = [(f"u{rng.randrange(25)}", f"u{rng.randrange(25)}") for _ in range(40)]
-    e = G.build_edges(txns(spark, [{"user": a, "to": b, "at": i} for i, (a, b) in enumerate(pairs)])).cache()
-    groups, want = {}, []
-    for r in e.orderBy("seq").collect():
-        both = groups.get(r.src, {r.src}) | groups.get(r.dst, {r.dst})
-        groups |= dict.fromkeys(both, both)
-        want.append(len(both))
-    for block in (6, 1000):
-        assert [r.component_size for r in G.component_size_asof(e, block).orderBy("seq").collect()] == want
+    rows = [{"user": f"u{rng.randrange(16)}", "to": rng.choice([None, f"u{rng.randrange(16)}"]), "at": rng.randrange(40)} for _ in range(70)]
+    t = linked(txns(spark, sorted(rows, key=lambda r: r["at"]))).cache()
+    plain = [(r.ts_ms, r.src, r.dst) for r in t.orderBy("seq").collect()]
+    for window, block in ((None, 1000), (None, 9), (6000, 1000), (6000, 20), (25000, 12)):
+        assert sizes(G.component_sizes(t, window, block)) == sizes_by_walking(plain, window)
+    assert G.component_size_asof(t.limit(0)).count() == 0
+
+
+def test_ring_search_through_crowded_accounts(spark):
+    """More transfers on both sides of an account than its newest, so that half paths are looked up rather than listed; against all paths."""
+    rng = random.Random(9)
+    cfg = type(D.DEFAULT)(max_edges=3)
+    who = lambda: rng.choice(["hub", "hub", *"abcdefgh"])
+    rows = [{"user": who(), "to": who(), "at": 1800 * i + rng.randrange(900)} for i in range(150)]
+    e = G.build_edges(txns(spark, rows)).cache()
+    edges = [(r.seq, r.src, r.dst, r.ts_ms) for r in e.orderBy("seq").collect()]
+    want = {}
+    for i, (seq, src, dst, ms) in enumerate(edges):
+        mine = {}
+        for j, x in enumerate(edges[:i]):
+            mine.setdefault(x[1], []).append(j)
+        live = {n: [j for j in js[-3:] if edges[j][3] >= ms - cfg.edge_ttl_ms] for n, js in mine.items()}
+
+        def walk(node, path, hops):
+            if node == src:
+                return [src, *path]
+            for j in live.get(node, []) if len(hops) < 4 else []:
+                if edges[j][2] not in path and (got := walk(edges[j][2], [*path, edges[j][2]], [*hops, j])):
+                    return got
+
+        if got := walk(dst, [dst], []):
+            want[seq] = got
+    assert G.dense_accounts(G.ranked_edges(e, cfg), cfg).count() > 0
+    assert {r.seq: list(r.cycle) for r in G.ring_cycles(e, cfg).collect()} == want and len(want) > 20
+    short = type(D.DEFAULT)(max_edges=3, max_cycle=3)
+    assert all(len(r.cycle) <= 4 for r in G.ring_cycles(e, short).collect())
 
 
 def test_quantities_and_numbers(spark):
