@@ -13,6 +13,7 @@ from sentrine.config import DEFAULT, HARD_RULES, EngineConfig
 from sentrine.functions.exprs import channel_code, java_round, latency_ms, merchant_category, merchant_risk_tier, shadow_sample
 from sentrine.operators import transfers as G
 from sentrine.operators import users as U
+from sentrine.storage import materialize
 
 FEATURES = ("cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "geo_speed", "secs_since", "tier", "out_degree", "in_cycle", "component_size", "channel", "pt_ratio", "pt_secs", "chain_depth")
 
@@ -84,7 +85,7 @@ def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> D
     out = merchant_risk_tier(t.withColumn("category", merchant_category(F.col("merchant_id"))))
     out = G.out_degree(U.geo_features(U.amount_zscore(U.velocity_features(out, cfg), cfg)), cfg)
     edges = G.build_edges(t)
-    pt = G.pass_through(edges, cfg)
+    pt = materialize(G.pass_through(edges, cfg))
     out = out.join(pt.join(G.chain_depth(pt, cfg.chain_cap), "seq"), "seq", "left").join(G.ring_cycles(edges, cfg), "seq", "left")
     out = out.join(G.component_size_asof(t.select("seq", "ts_ms", F.col("user_id").alias("src"), F.col("counterparty_id").alias("dst"))), "seq", "left") if sizes else out.withColumn("component_size", F.lit(None).cast("long"))
     speed = F.when(F.col("gap_s") >= cfg.min_gap_s, java_round(F.col("speed_kmh"), 1)).otherwise(0.0)
@@ -161,7 +162,7 @@ def missing_features(wanted: Column, produced: Column) -> Column:
 
 def decide(t: DataFrame, scorer=None, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> DataFrame:
     """Payments to auditable decisions."""
-    return assemble_decision(features(U.dedup_first(t, cfg.dedup_ttl_ms), cfg, sizes), scorer, cfg)
+    return assemble_decision(features(materialize(U.dedup_first(t, cfg.dedup_ttl_ms)), cfg, sizes), scorer, cfg)
 
 
 def decision_tick(decisions: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def dense_accounts(step: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return n.where(F.least("i", "o") > cfg.max_edges**2).select("mid", "day")
 
 
-def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT, few: int = 1_000_000) -> DataFrame:
     """First path, by edge order, from ``node`` to ``goal`` over the edges live when ``seq`` arrives.
 
     ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. They meet in the
@@ -162,21 +162,33 @@ def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAUL
     onward = step.join(leads, "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), "rank")
     sent = step.select(F.col("src").alias("node"), "seq", F.col("ts_ms").alias("ev"), F.lit(1).alias("_sent"))
     cur, found, tables = starts.select("seq", "ts_ms", "goal", "node", F.col("node").alias("x0")), [], [step]
-    for i in range(1, ahead + 1):
+    for i in range(1, ahead):
         cur = materialize(_forward(cur, onward, sent, i, cfg))
         tables.append(cur)
-        path, hops = F.array(*[f"x{j}" for j in range(i + 1)]), F.array(*[f"s{j}" for j in range(1, i + 1)])
-        found.append(cur.where("node = goal").select("seq", path.alias("path"), hops.alias("hops")))
+        found.append(cur.where("node = goal").select("seq", _path(i).alias("path"), _hops(i).alias("hops")))
         cur = cur.where("node != goal")
+    cur = _forward(cur, onward, sent, ahead, cfg)
     if back:
         cur = cur.withColumn("day", F.floor(F.col("ts_ms") / cfg.edge_ttl_ms))
         crowded = back > 1 and bool(dense_accounts(step, cfg).head(1))
-        half = half_paths(step, cur.select("node", "goal", "day").distinct() if crowded else None, back, cfg).withColumnRenamed("hops", "rest")
+        if crowded:
+            cur = materialize(cur)
+            tables.append(cur)
+        half = half_paths(step, cur.select("node", "goal", "day").distinct() if crowded else None, back, cfg)
+        half = materialize(half.withColumnsRenamed({"hops": "rest", "node": "from", "goal": "to", "day": "on"}))
+        tables.append(half)
+        if half.count() <= few:  # most paths ahead have none that leads back; eight bytes for each half path tell which
+            ends = half.select(F.xxhash64("from", "to", "on").alias("ends")).distinct().withColumn("some", F.lit(True))
+            cur = cur.withColumn("ends", F.xxhash64("node", "goal", "day")).join(F.broadcast(ends), "ends", "left").where("node = goal or some").drop("ends", "some")
+        leads_back = (F.col("node") == F.col("from")) & (F.col("goal") == F.col("to")) & (F.col("day") == F.col("on"))
         live = (F.col("newest") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq"))) & (F.col("oldest_ms") >= F.col("ts_ms") - cfg.edge_ttl_ms)
-        meet = cur.join(half, ["node", "goal", "day"]).where(live & ~F.coalesce(F.array_contains(path, F.col("mid")), F.lit(False)))
-        found.append(meet.select("seq", F.concat(path, F.array_compact(F.array("mid")), F.array("goal")).alias("path"), F.concat(hops, "rest").alias("hops")))
-    every = found[0]
-    for f in found[1:]:
+        cur = cur.join(half, leads_back, "left").where((F.col("node") == F.col("goal")) | (live & ~F.coalesce(F.array_contains(_path(ahead), F.col("mid")), F.lit(False))))
+        rest = F.when(F.col("node") != F.col("goal"), F.array_compact(F.array("mid", "goal")))
+        path, hops = F.concat(_path(ahead), F.coalesce(rest, F.array().cast("array<string>"))), F.concat(_hops(ahead), F.coalesce("rest", F.array().cast("array<string>")))
+    else:
+        cur, path, hops = cur.where("node = goal"), _path(ahead), _hops(ahead)
+    every = cur.select("seq", path.alias("path"), hops.alias("hops"))
+    for f in found:
         every = every.union(f)
     best = every.groupBy("seq").agg(F.min(F.struct("hops", "path")).alias("b"))
     out = materialize(best.select("seq", "b.path", "b.hops"))
@@ -184,6 +196,14 @@ def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAUL
     return out
 
 
+def _path(i: int):
+    return F.array(*[f"x{j}" for j in range(i)], "node")
+
+
+def _hops(i: int):
+    return F.array(*[f"s{j}" for j in range(1, i + 1)])
+
+
 def ring_cycles(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``seq, cycle``: the first cycle each transfer closes, as accounts from its source round to its source."""
     starts = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("seq", "ts_ms", F.col("src").alias("goal"), F.col("dst").alias("node"))
@@ -226,7 +246,7 @@ def components_final(edges: DataFrame) -> DataFrame:
     return c.join(c.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
 
 
-def component_size_asof(t: DataFrame, block: int = 1 << 16) -> DataFrame:
+def component_size_asof(t: DataFrame, block: int = 1 << 18) -> DataFrame:
     """``seq, component_size``: the size of its account's component as each payment arrives, its own transfer included; 1 if unseen.
 
     ``t``: ``seq, ts_ms, src, dst``; a payment without ``dst`` links nothing.
@@ -234,12 +254,12 @@ def component_size_asof(t: DataFrame, block: int = 1 << 16) -> DataFrame:
     return component_sizes(t, None, block)
 
 
-def component_size_windowed(t: DataFrame, window_ms: int = 86_400_000, block: int = 1 << 16) -> DataFrame:
+def component_size_windowed(t: DataFrame, window_ms: int = 86_400_000, block: int = 1 << 18) -> DataFrame:
     """``seq, component_size`` over the transfers of the trailing window alone, so that old ones stop counting; the window's start is included."""
     return component_sizes(t, window_ms, block)
 
 
-def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 16) -> DataFrame:
+def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 18) -> DataFrame:
     """Sizes of components that gain and lose transfers, by offline dynamic connectivity over a segment tree of time.
 
     Arrivals and ends of all transfers get places in one order, which is cut into slices of at most ``block`` of them.

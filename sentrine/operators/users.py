@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrine.config import DEFAULT, EngineConfig
 from sentrine.functions.exprs import haversine_km, java_round
+from sentrine.storage import drop, materialize
 
 
 def _user():
@@ -79,15 +80,30 @@ def geo_features(t: DataFrame) -> DataFrame:
 
 
 def dedup_first(t: DataFrame, ttl_ms: int = DEFAULT.dedup_ttl_ms, key: str = "txn_id") -> DataFrame:
-    """Of rows with one id those accepted: the first, and each one more than the TTL after the last accepted one."""
-    ids = t.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set("ts_ms")).alias("_ts"))
-    keep = F.aggregate(
-        "_ts", F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.try_element_at(acc, F.lit(-1)), x) > ttl_ms), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    ok = ids.select(key, F.explode(keep).alias("ts_ms"))
-    one = Window.partitionBy(key, "ts_ms").orderBy("seq")
-    return t.join(ok, [key, "ts_ms"]).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    """Of rows with one id those accepted: the first, and each one more than the TTL after the last accepted one.
+
+    Rows that repeat id and time are put together before they are shuffled. An id whose rows lie within the TTL keeps its
+    first. Of the others each time points to the first time more than the TTL later, and the times reached from the
+    first are found by doubling the pointers, so an id that is replayed for long fills no row and needs no loop.
+    """
+    t = t.where(F.col(key).isNotNull() & F.col("ts_ms").isNotNull()).dropDuplicates([key, "ts_ms"])
+    span = t.groupBy(key).agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"))
+    replayed = span.where(F.col("_last") - F.col("_first") > ttl_ms)
+    if not replayed.head(1):
+        return t.join(span.select(key, F.col("_first").alias("ts_ms")), [key, "ts_ms"], "left_semi")
+    later = F.min("ts_ms").over(Window.partitionBy(key).orderBy("ts_ms").rangeBetween(ttl_ms + 1, Window.unboundedFollowing))
+    jump = materialize(t.select(key, "ts_ms").join(replayed.select(key), key, "left_semi").withColumn("to", later))
+    reached, n, was, tables = span.select(key, F.col("_first").alias("ts_ms")), -1, 0, [jump]
+    while n != was:
+        ahead = reached.join(jump.where("to is not null"), [key, "ts_ms"]).select(key, F.col("to").alias("ts_ms"))
+        reached = materialize(reached.union(ahead).distinct())
+        n, was = reached.count(), n
+        double = jump.join(jump.select(key, F.col("ts_ms").alias("to"), F.col("to").alias("_to2")), [key, "to"], "left")
+        jump = materialize(double.select(key, "ts_ms", F.col("_to2").alias("to")))
+        tables += [jump, reached]
+    out = t.join(reached, [key, "ts_ms"], "left_semi")
+    drop(*tables[:-1])
+    return out
 
 
 def windows_asof(t: DataFrame, now_ms: int, cfg: EngineConfig = DEFAULT) -> DataFrame:

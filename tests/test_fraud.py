@@ -86,6 +86,19 @@ def test_pass_through_outside_the_band(spark):
 def test_dedup(spark):
     t = txns(spark, [{"at": 0}, {"at": 100}, {"at": 7300}]).withColumn("txn_id", F.lit("same"))
     assert U.dedup_first(t).count() == 2
+    rng = random.Random(1)
+    rows = [(rng.choice("aabbbbc"), rng.randrange(120)) for _ in range(300)] + [("x", 5), ("x", 5), (None, 3), ("y", 7), ("y", 17)]
+    want = set()
+    for k in {k for k, _ in rows if k}:
+        last = None
+        for ms in sorted(ms for x, ms in rows if x == k):
+            if last is None or ms - last > 10:
+                want.add((k, ms))
+                last = ms
+    df = spark.createDataFrame([(k, ms, f"{ms:09}|{k}") for k, ms in rows], "txn_id string, ts_ms long, seq string")
+    got = [(r.txn_id, r.ts_ms) for r in U.dedup_first(df, 10).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert U.dedup_first(df.limit(0)).count() == 0
 
 
 def test_components_against_union_find(spark):
