@@ -88,6 +88,11 @@ def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> D
     pt = materialize(G.pass_through(edges, cfg))
     out = out.join(pt.join(G.chain_depth(pt, cfg.chain_cap), "seq"), "seq", "left").join(G.ring_cycles(edges, cfg), "seq", "left")
     out = out.join(G.component_size_asof(t.select("seq", "ts_ms", F.col("user_id").alias("src"), F.col("counterparty_id").alias("dst"))), "seq", "left") if sizes else out.withColumn("component_size", F.lit(None).cast("long"))
+    return finish_features(out, cfg)
+
+
+def finish_features(out: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Features with a value where an account has no history, no transfer or no ring."""
     speed = F.when(F.col("gap_s") >= cfg.min_gap_s, java_round(F.col("speed_kmh"), 1)).otherwise(0.0)
     return out.withColumns({
         "chain_depth": F.coalesce("depth", F.lit(0)), "pt_ratio": F.coalesce("pt_ratio", F.lit(0.0)), "pt_secs": F.coalesce("pt_secs", F.lit(-1)),

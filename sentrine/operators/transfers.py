@@ -79,15 +79,21 @@ def pass_through(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
-def chain_depth(matched: DataFrame, cap: int = DEFAULT.chain_cap) -> DataFrame:
-    """``seq, depth``: forwarded hops in a row up to ``cap``, by pointer doubling over the matched parents."""
-    cur = materialize(matched.select("seq", F.col("parent").alias("jump"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth")))
-    reach = 1
+def chain_depth(matched: DataFrame, cap: int = DEFAULT.chain_cap, known: DataFrame | None = None) -> DataFrame:
+    """``seq, depth``: forwarded hops in a row up to ``cap``, by pointer doubling over the matched parents.
+
+    ``known`` (``seq, depth``) has earlier transfers that may be parents; they are not in the result.
+    """
+    cur = matched.select("seq", F.col("parent").alias("jump"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).alias("depth"))
+    if known is not None:
+        cur = cur.unionByName(known.select("seq", F.lit(None).cast("string").alias("jump"), "depth"))
+    cur, reach = materialize(cur), 1
     while reach < cap:
         far = cur.select(F.col("seq").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"))
         cur = cur.join(far, "jump", "left").select("seq", F.col("jump2").alias("jump"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
         reach *= 2
-    return cur.select("seq", F.least(F.lit(cap), "depth").cast("int").alias("depth"))
+    out = cur.select("seq", F.least(F.lit(cap), "depth").cast("int").alias("depth"))
+    return out if known is None else out.join(known.select("seq"), "seq", "left_anti")
 
 
 def ranked_edges(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -204,10 +210,11 @@ def _hops(i: int):
     return F.array(*[f"s{j}" for j in range(1, i + 1)])
 
 
-def ring_cycles(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``seq, cycle``: the first cycle each transfer closes, as accounts from its source round to its source."""
-    starts = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("seq", "ts_ms", F.col("src").alias("goal"), F.col("dst").alias("node"))
-    out = expand_paths(starts, edges, cfg).join(edges.select("seq", "src"), "seq")
+def ring_cycles(edges: DataFrame, cfg: EngineConfig = DEFAULT, of: DataFrame | None = None) -> DataFrame:
+    """``seq, cycle``: the first cycle each transfer (``of`` these) closes, as accounts from its source round to its source."""
+    of = edges if of is None else of
+    starts = of.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("seq", "ts_ms", F.col("src").alias("goal"), F.col("dst").alias("node"))
+    out = expand_paths(starts, edges, cfg).join(of.select("seq", "src"), "seq")
     return out.select("seq", F.concat(F.array("src"), "path").alias("cycle"))
 
 

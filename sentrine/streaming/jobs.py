@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sentrine.config import DEFAULT, EARTH_KM, EngineConfig
+from sentrine.config import DEFAULT, EngineConfig
+from sentrine.functions.exprs import merchant_category, merchant_risk_tier
 from sentrine.operators import cases as C
 from sentrine.operators import decisions as D
+from sentrine.operators import transfers as G
+from sentrine.operators.components import connected_components
 from sentrine.operators.metrics import feed_pulse
-from sentrine.storage import exists
+from sentrine.storage import drop, exists, materialize
+from sentrine.streaming.accounts import stream_accounts
 
 
 def stream_dedup(t: DataFrame, ttl: str = "1 hour") -> DataFrame:
@@ -23,94 +21,93 @@ def stream_dedup(t: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return t.where("txn_id is not null").withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["txn_id"])
 
 
-def _km(lat: float, lon: float, lat2: float, lon2: float) -> float:
-    a, b, c, d = map(math.radians, (lat, lon, lat2, lon2))
-    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
-    return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
-
-
-class UserState(StatefulProcessor):
-    """Velocity buckets with counts and sums, spending profile, and place and time of the last payment of one user.
-
-    Rows are taken in event order within each batch. A payment that comes late, behind ones of an earlier batch, counts
-    in its own buckets and in the profile, but does not move the last place back.
-    """
-
-    def __init__(self, cfg: EngineConfig = DEFAULT, grace_ms: int = 30_000):
-        self.cfg, self.grace = cfg, grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("user", "doc string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = self.state.get() if self.state.exists() else None
-        s = json.loads(kept[0]) if kept else {"b": {}, "n": 0, "mean": 0.0, "m2": 0.0, "last": -1, "at": None}
-        pdf, out = pd.concat(list(rows)).sort_values("seq"), []
-        for txn, ms, amount, lat, lon in zip(pdf["txn_id"], pdf["ts_ms"], pdf["amount"], pdf["lat"], pdf["lon"], strict=True):
-            counts, ms, amount = [], int(ms), float(amount)
-            for name, size, _ in self.cfg.windows:
-                b, mine = size // 60, s["b"].setdefault(name, {})
-                at = ms - ms % b
-                n, total = mine.get(str(at), (0, 0.0))
-                mine[str(at)] = (n + 1, total + amount)
-                for old in [x for x in mine if int(x) <= s["last"] - size - self.grace]:  # retention
-                    del mine[old]
-                now = [v for x, v in mine.items() if at - (size - b) <= int(x) <= at]
-                counts.append((sum(n for n, _ in now), sum(v for _, v in now)))
-            std = (s["m2"] / (s["n"] - 1)) ** 0.5 if s["n"] > 1 else 0.0
-            known = s["n"] >= self.cfg.min_samples and std >= self.cfg.min_std
-            z = (amount - s["mean"]) / std if known else 0.0
-            since, km, speed = -1.0, None, None
-            if s["at"] is not None:
-                since = max(0.0, (ms - s["last"]) / 1000)
-                km, gap = _km(*s["at"], float(lat), float(lon)), (ms - s["last"]) // 1000
-                speed = km / (gap / 3600) if gap >= 1 else None
-            out.append((key[0], txn, *(n for n, _ in counts), counts[-1][1], float(int((z * 100 + 0.5) // 1)) / 100, since, km, speed))
-            s["n"] += 1
-            d = amount - s["mean"]
-            s["mean"] += d / s["n"]
-            s["m2"] += d * (amount - s["mean"])
-            if ms >= s["last"]:
-                s["last"], s["at"] = ms, (float(lat), float(lon))
-        self.state.update((json.dumps(s),))
-        yield pd.DataFrame(out, columns=["user_id", "txn_id", "cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "secs_since", "distance_km", "speed_kmh"])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_user_state(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Velocity, spending and travel of each payment as it arrives (needs the RocksDB state store).
-
-    ``user_id, txn_id, cnt1m, cnt5m, cnt1h, sum1h, amt_z, secs_since, distance_km, speed_kmh``; the last two are null
-    for a user's first payment.
-    """
-    schema = "user_id string, txn_id string, cnt1m long, cnt5m long, cnt1h long, sum1h double, amt_z double, secs_since double, distance_km double, speed_kmh double"
-    out = t.groupBy("user_id").transformWithStateInPandas(UserState(cfg), schema, "append", "none")
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("distance_km", "speed_kmh")})  # pandas has no null numbers
+    """Velocity, spending and travel of each payment as it arrives; the last two are null for a user's first payment."""
+    return stream_accounts(t, cfg).select("user_id", "txn_id", "cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "secs_since", "distance_km", "speed_kmh")
 
 
 def stream_pulse(decisions: DataFrame) -> DataFrame:
     return feed_pulse(decisions.withWatermark("ts", "30 seconds"))
 
 
-def decide_batch(spark: SparkSession, log: str, decided: str, cfg: EngineConfig = DEFAULT, look_back_ms: int = 86_400_000):
-    """A foreachBatch function: payments join the log of the last day, which the batch operators then judge together.
+class StreamDecider:
+    """A foreachBatch function that makes decisions of the rows of ``stream_accounts`` joined with their payments.
 
-    A batch writes folders of its own number only, so a batch that is run again replaces what it wrote.
+    What one account cannot know is found from tables beside the stream, and for new payments alone: rings among the
+    live transfers, chains from the depths of the transfers passed on, and components from labels that change only where
+    two components meet. A batch writes folders of its own number and reads those of earlier numbers, so a batch that is
+    run again replaces what it wrote. ``compact`` batches of labels are put together from time to time.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        new = spark.read.parquet(f"{log}/batch={number}")
+    def __init__(self, spark: SparkSession, path: str, scorer=None, cfg: EngineConfig = DEFAULT, compact: int = 64):
+        self.spark, self.path, self.scorer, self.cfg, self.compact = spark, path, scorer, cfg, compact
+
+    def _before(self, name: str, number: int, since_ms: int | None = None) -> DataFrame | None:
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return None
+        rows = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch") < number)
+        return rows if since_ms is None else rows.where(F.col("ts_ms") >= since_ms)
+
+    def _write(self, rows: DataFrame, name: str, number: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/batch={number}")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        cfg = self.cfg
+        new = self._write(batch, "features", number)
         since = new.agg(F.min("ts_ms")).first()[0]
         if since is None:
             return
-        seen = spark.read.parquet(log).where((F.col("batch") <= number) & (F.col("ts_ms") >= since - look_back_ms))
-        out = D.decide(seen.drop("batch"), cfg=cfg).join(new.select("txn_id"), "txn_id", "left_semi")
-        out.drop("features").write.mode("overwrite").parquet(f"{decided}/batch={number}")
-
-    return run
+        edges = G.build_edges(new)
+        old = self._before("edges", number, since - cfg.edge_ttl_ms)
+        self._write(edges, "edges", number)
+        live = edges if old is None else edges.unionByName(old.select(edges.columns))
+        rings = G.ring_cycles(live, cfg, edges)
+        known = self._before("depths", number, since - cfg.pass_window_ms)
+        depth = self._write(G.chain_depth(new.where("in_from is not null"), cfg.chain_cap, known).join(new.select("seq", "ts_ms"), "seq"), "depths", number)
+        out = new.join(depth.select("seq", "depth"), "seq", "left").join(rings, "seq", "left").join(self.sizes(new, number), "seq", "left")
+        out = D.finish_features(merchant_risk_tier(out.withColumn("category", merchant_category(F.col("merchant_id")))), cfg)
+        self._write(D.assemble_decision(out, self.scorer, cfg).drop("features"), "decisions", number)
+
+    def sizes(self, new: DataFrame, number: int) -> DataFrame:
+        """Component sizes as of each payment; writes the labels of accounts, and the sizes, that this batch changes."""
+        rows = new.select("seq", "ts_ms", F.col("user_id").alias("src"), F.coalesce("counterparty_id", "user_id").alias("dst"))
+        latest = lambda t, key, value: None if t is None else t.groupBy(key).agg(F.max_by(value, "batch").alias(value))
+        labels, counts = latest(self._before("labels", number), "node", "label"), latest(self._before("sizes", number), "label", "size")
+        ends = rows.select(F.col("src").alias("node")).union(rows.select("dst")).distinct()
+        if labels is None:
+            ends = ends.select("node", F.lit(None).cast("string").alias("label"), F.lit(1).cast("long").alias("size"))
+        else:
+            ends = ends.join(labels, "node", "left").join(counts, "label", "left").select("node", "label", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+        ends = materialize(ends.withColumn("at", F.coalesce("label", "node")))
+        side = lambda node, at, size: ends.select(F.col("node").alias(node), F.col("at").alias(at), F.col("size").alias(size))
+        linked = materialize(rows.join(side("src", "a", "size_a"), "src").join(side("dst", "b", "size_b"), "dst").select("seq", "ts_ms", F.col("a").alias("src"), F.col("b").alias("dst"), "size_a", "size_b"))
+        groups = connected_components(linked.select("src", "dst").distinct())
+        groups = groups.join(ends.select(F.col("at").alias("node"), "size").distinct(), "node")
+        # the largest keeps its label, so an account changes its own only as often as its component doubles
+        into = groups.groupBy("component").agg(F.max_by("node", F.struct("size", "node")).alias("to"), F.sum("size").alias("total"))
+        moved = materialize(groups.join(into, "component").select(F.col("node").alias("label"), "to", "total"))
+        fresh = ends.where("label is null").select("node", F.col("at").alias("label"))
+        have = fresh if labels is None else labels.join(moved.where("label != to").select("label"), "label", "left_semi").select("node", "label").unionByName(fresh)
+        self._write(have.join(moved, "label").select("node", F.col("to").alias("label")), "labels", number)
+        self._write(moved.select(F.col("to").alias("label"), F.col("total").alias("size")).distinct(), "sizes", number)
+        if number and number % self.compact == 0:
+            self._compact(number)
+        return G.component_size_asof(linked)
+
+    def _compact(self, number: int) -> None:
+        """Puts the labels and sizes of earlier batches into the folder of the last of them, which then has all."""
+        for name, key, value in (("labels", "node", "label"), ("sizes", "label", "size")):
+            old = self._before(name, number)
+            whole = materialize(old.groupBy(key).agg(F.max_by(value, "batch").alias(value)))
+            self._write(whole, name, number - 1)
+            drop(whole)
+
+
+def decide_stream(t: DataFrame, cfg: EngineConfig = DEFAULT, late: str = "1 hour") -> DataFrame:
+    """Payments of a stream with the features of their accounts, once each: what ``StreamDecider`` takes. ``t`` has event time ``ts``."""
+    once = t.where("txn_id is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["txn_id"])
+    return stream_accounts(once, cfg, None, keep=("merchant_id", "counterparty_id", "channel", "amount"))
 
 
 def open_cases_batch(spark: SparkSession, path: str):

@@ -225,40 +225,6 @@ def test_stream_dedup(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
-def test_stream_decisions_equal_batch(spark, tmp_path):
-    from sentrine.streaming.jobs import decide_batch
-
-    t = txns(spark, [{"at": 3 * i} for i in range(9)])
-    t.coalesce(1).write.parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
-    run = decide_batch(spark, str(tmp_path / "log"), str(tmp_path / "out"))
-    q = src.writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    got = {r.txn_id: r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {r.txn_id: r.verdict for r in D.decide(t).collect()}
-
-
-def test_stream_user_state_equals_batch_over_several_batches(spark, tmp_path):
-    from sentrine.streaming.jobs import stream_user_state
-
-    rng = random.Random(2)
-    rows = [{"user": rng.choice(["u_a", "u_b"]), "at": 7 * i + rng.random(), "amount": rng.randrange(10, 900), "lat": 17 + rng.random() * 9, "lon": 77 + rng.random()} for i in range(60)]
-    t = txns(spark, rows).cache()
-    for i in range(3):
-        t.where((F.col("ts_ms") - T0_MS >= 140_000 * i) & (F.col("ts_ms") - T0_MS < 140_000 * (i + 1) + (10**9 if i == 2 else 0))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        src = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = stream_user_state(src).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
-        assert q.awaitTermination(180)
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    names = ("cnt1m", "cnt5m", "cnt1h", "sum1h", "amt_z", "secs_since", "distance_km", "speed_kmh")
-    near = lambda r: tuple(None if r[n] is None else round(r[n], 4) for n in names)
-    want = {r.txn_id: near(r) for r in U.geo_features(U.amount_zscore(U.velocity_features(t))).collect()}
-    assert {r.txn_id: near(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
-
-
 def test_cases_open_once_whatever_the_batches(spark, tmp_path):
     from sentrine.streaming.jobs import open_cases_batch
 
