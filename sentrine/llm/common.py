@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 SPACE = b" \t\n\x0b\f\r"
 PIECE = 1 << 20  # bytes of text that are hashed at a time
+LONG = 32  # bytes of a word beyond which it has a cryptographic hash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +99,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = (turn[::2], turn[1::2]) if gap[0] else (np.concatenate([[0], turn[1::2]]).astype(np.int64), turn[::2])
         lo = lo[: len(hi)]
         h, down = prefix_sums(raw, FOLDED)
-        hashes.append(mix((h[hi] - h[lo]) * down[lo] + (hi - lo).astype(np.uint64)))
+        own = mix((h[hi] - h[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+        for i in np.flatnonzero(hi - lo > LONG).tolist():  # sums of powers can be made to meet in long words
+            own[i] = int.from_bytes(blake2b(piece[lo[i] : hi[i]].lower(), digest_size=8).digest(), "little")
+        hashes.append(own)
         bounds.append(np.searchsorted(lo, at) + have)
         have += len(lo)
     return np.concatenate([*hashes, np.empty(0, np.uint64)]), np.concatenate([*bounds, [have]]).astype(np.int64)

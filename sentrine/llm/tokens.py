@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
+import json
+import os
 import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,38 +31,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: The byte-level alphabet and the pattern that cuts text before merges, as the vocabulary file fixes them.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_ALPHABET = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
-_CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-class _Units(dict):
-    """Ids of units of text, each a word with the space or line feed before it; the first ``most`` that occur are remembered.
-
-    A new unit is cut like the tokenizer cuts, and each piece passes the library's model. A unit that ends with a
-    punctuation mark after a letter or digit is two pieces, of which the first is often known.
-    """
-
-    def __init__(self, model, most: int):
-        super().__init__()
-        import regex
-
-        self.model, self.most, self.cut = model, most, regex.compile(_CUT).findall
-
-    def piece(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        if unit[:1] == "\n":
-            raw = b"".join(map(self.piece, self.cut(unit)))
-        elif (word := unit.rstrip(".,;:!?")) != unit and word and word[-1].isalnum():
-            return self[word] + b"".join(map(self.piece, self.cut(unit[len(word) :])))
-        else:
-            raw = self.piece(" " + unit) if unit.isalpha() else b"".join(map(self.piece, self.cut(" " + unit)))
-        if len(self) < self.most:
-            self[unit] = raw
-        return raw
+def cuts_at_spaces(model) -> bool:
+    """Whether a text may be cut before a white space that stands alone: byte-level pieces by the library's own pattern, and nothing changed before."""
+    kind = json.loads(model.to_str())
+    pre, merges = kind.get("pre_tokenizer") or {}, kind["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    return plain and kind.get("normalizer") is None and merges.get("type") == "BPE" and not merges.get("dropout")
 
 
 class Encoder:
@@ -64,14 +44,16 @@ class Encoder:
 
     Byte-level BPE merges nothing across the pieces that the text is cut into first, and a white space between two
     other characters always starts one. So texts without neighbouring white space are split there, and each distinct
-    unit (a space or line feed and what follows it) passes the tokenizers library once. Other texts, and those that
-    hold a special token's name, go to the library whole; such names become that token, as is the library's default.
-    One encoder serves one task, so that what it remembers is freed with it.
-    """
+    unit (a space or line feed and what follows it) passes the tokenizers library once a task, all new ones of some
+    texts in one call; their ids are put back by position. The first ``most`` units are remembered. A unit that ends
+    with punctuation after a letter or digit is two, of which the first is often known.
 
-    def __init__(self, path: str, most: int = 600_000):
-        import os
+    Other texts, and those that hold a special token's name, go to the library whole; such names become that token, as
+    is the library's default. So does every text if the tokenizer is of another kind (``cuts_at_spaces``). One encoder
+    serves one task, so that what it remembers is freed with it.
+    """
 
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -79,24 +61,77 @@ class Encoder:
             _READY[path] = Tokenizer.from_file(path)
         model = _READY[path]
         self.library = partial(model.encode_batch_fast, add_special_tokens=False)
-        self.units = _Units(model.model, most)
+        self.cuts, self.most, self.known = cuts_at_spaces(model), most, {}
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
         self.spaces = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
 
     def odd(self, text: str) -> bool:
-        return any(name in text for name in self.special) or self.spaces(text) is not None
+        return not self.cuts or any(name in text for name in self.special) or self.spaces(text) is not None
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library(texts)] if texts else []
+
+    def units(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct units: a key is what follows the space, or begins with its line feed, or comes after a space if nothing stood before it."""
+        known = self.known
+        raw = list(map(known.get, keys))
+        new = [i for i, r in enumerate(raw) if r is None]
+        heads, tails = [], []  # of each new unit its word and the punctuation after it
+        for i in new:
+            key = keys[i]
+            word = key.rstrip(".,;:!?")
+            if word == key or not word or not word[-1].isalnum() or key[0] in " \n":
+                word = key
+            heads.append(word)
+            tails.append(" " + key[len(word) :])
+        todo = [k for k in dict.fromkeys(heads + tails) if k not in known and k != " "]
+        got = dict(zip(todo, self.plain([k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in todo]), strict=True))
+        got[" "] = b""
+        find = lambda k: got[k] if k in got else known[k]
+        for i, raw_head, raw_tail in zip(new, map(find, heads), map(find, tails), strict=True):
+            raw[i] = raw_head + raw_tail
+        room = max(0, self.most - len(known))
+        known.update(islice(((k, r) for k, r in chain(zip((keys[i] for i in new), (raw[i] for i in new)), got.items()) if len(k) < 64), room))
+        return raw
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cuts = [[] if self.odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [ws.pop(0) if ws else t for ws, t in zip(cuts, texts, strict=True)]  # what follows no space, or all
-        units = self.units.__getitem__
-        return [array("I", e.ids).tobytes() + b"".join(map(units, ws)) for e, ws in zip(self.library(heads), cuts, strict=True)]
-
-
-def some(texts: list, most: int = 64) -> Iterator[list]:
-    for i in range(0, len(texts), most):
-        yield texts[i : i + most]
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles
+        try:
+            return self._ids([t or "" for t in texts])
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        whole = [self.odd(t) for t in texts]
+        out = dict(zip([i for i, o in enumerate(whole) if o], self.plain([t for t, o in zip(texts, whole, strict=True) if o]), strict=True))
+        cut = pc.split_pattern(pc.replace_substring(pa.array([t for t, o in zip(texts, whole, strict=True) if not o], pa.string()), "\n", " \n"), " ")
+        if len(cut):
+            sizes = pc.list_value_length(cut).to_numpy().astype(np.int64)
+            ends, units = np.cumsum(sizes), cut.flatten()
+            head = np.zeros(len(units), bool)
+            head[ends - sizes] = True
+            coded = pc.if_else(pa.array(head), pc.binary_join_element_wise("", units, " "), units).dictionary_encode()
+            raw = self.units(coded.dictionary.to_pylist())
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32))).take(coded.indices)
+            flat, place = ids.flatten().to_numpy().tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy().astype(np.int64))]) * 4
+            lo, hi = place[ends - sizes].tolist(), place[ends].tolist()
+            out |= {i: flat[a:b] for i, a, b in zip([i for i, o in enumerate(whole) if not o], lo, hi, strict=True)}
+        return [out[i] for i in range(len(texts))]
+
+
+def some(rows: list[tuple], most: int = 4 << 20) -> Iterator[list]:
+    """Rows, whose second value is a text, in lists of about ``most`` characters."""
+    at, have = 0, 0
+    for i, r in enumerate(rows):
+        have += len(r[1] or "")
+        if have >= most:
+            yield rows[at : i + 1]
+            at, have = i + 1, 0
+    if at < len(rows):
+        yield rows[at:]
 
 
 # ---------------------------------------------------------------- packing

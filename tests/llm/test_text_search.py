@@ -148,3 +148,34 @@ def test_queries_of_the_three(spark, library, tmp_path):
     assert [tuple(r) for r in got] == [(i, len(x), sha(",".join(map(str, x))), sha(library.decode(x))) for i, x in enumerate(ids)]
     assert [r.doc_id for r in search.op11_ranked_search(spark, str(tmp_path)).orderBy("rank").collect()] == [d for _, _, d, _ in ranked([x[:2] for x in docs], [(1, "the end")], 10)]
     assert [r.phrase for r in phrases.op12_collocations(spark, str(tmp_path)).collect()] == [p for _, _, p, *_ in mined([(x[2], x[1]) for x in docs], 100, 5, 2000)]
+
+
+@pytest.mark.parametrize("name,cuts", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_equals_the_library_with_any_tokenizer(name, cuts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sentrine.llm import tokens
+
+    rng = random.Random(2)
+    parts = [" ", " ", " ", "\n", "  ", "a", "the", "The", "é", "☃", ".", ",", "?!", "ing", "😀", "12", "\r\n", "don't", "'ll", "<|endoftext|>", "x_y", "(", "\t", "word,", "\xa0", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(4000)] + [None, "", " ", "\n", "a ", "the cat, the dog.\nThe end.", "y" * 50_000]
+    encode, library = tokens.Encoder(public_tokenizers.path(name), 300), Tokenizer.from_file(public_tokenizers.path(name))
+    assert encode.cuts == cuts
+    got = [list(search.np.frombuffer(x, "<u4")) for i in range(0, len(texts), 700) for x in encode(texts[i : i + 700])]
+    assert got == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_words_whose_power_sums_meet(spark):
+    """Two words of 2,048 letters built so that their sums of powers agree modulo 2 ** 64."""
+    from sentrine.llm import common, ngram_join
+
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    raw = [search.np.frombuffer(x.encode(), search.np.uint8) for x in (a, b)]
+    assert len({int(common.prefix_sums(x, common.FOLDED)[0][-1]) for x in raw}) == 1  # the sums do meet
+    rows = [(1, a), (2, b), (3, f"x y z {a}"), (4, f"x y z {b}"), (5, f"X Y Z {a.upper()}")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
