@@ -1,14 +1,11 @@
-"""Column expressions of the payment domain; all but the walk through JSON evidence stay in the JVM."""
+"""Column expressions of the payment domain; all stay in the JVM."""
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sentrine.config import CHANNELS, CITIES, EARTH_KM, TIERS
 
@@ -77,6 +74,13 @@ def nearest_city(lat: Column, lon: Column, within_km: float = 30.0) -> Column:
     return F.when(best["km"] < within_km, best["name"])
 
 
+def nearest_city_by_degrees(lat: Column, lon: Column, within: float = 1.0) -> Column:
+    """Name of the listed city nearest in degrees, if they are less than ``within`` apart, else null."""
+    all_ = F.array(*[F.struct((F.pow(lat - a, 2) + F.pow(lon - b, 2)).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("name")) for i, (n, a, b) in enumerate(CITIES)])
+    best = F.array_min(all_)
+    return F.when(best["d"] < within**2, best["name"])
+
+
 # Texts by rule.
 HYPOTHESES = {
     "VELOCITY_1M": "An automated burst or card testing on this account",
@@ -139,9 +143,13 @@ def latency_ms(ts_ms: Column, decided_ms: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0), decided_ms - ts_ms), F.lit(0)).cast("long")
 
 
-def number_matches(value: Column, candidate: Column) -> Column:
-    """Whether a quoted number is a fair reading of one in the evidence: equal, within 1 %, rounded or truncated."""
-    places = F.length(F.regexp_replace(F.regexp_extract(F.format_string("%.10f", value), r"\.(\d*)", 1), "0+$", ""))
+def decimal_places(value: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(F.format_string("%.10f", value), r"\.(\d*)", 1), "0+$", ""))
+
+
+def number_matches(value: Column, candidate: Column, places: Column | None = None) -> Column:
+    """Whether a quoted number is a fair reading of one in the evidence: equal, within 1 %, rounded or truncated. ``places`` are those of ``value``, if known."""
+    places = decimal_places(value) if places is None else places
     gap = F.abs(value - candidate)
     near = gap <= F.greatest(F.abs(value), F.abs(candidate)) * 0.01
     return near | (gap <= 0.5 * F.pow(F.lit(10.0), -places) + 1e-9) | ((places == 0) & (value == F.when(candidate < 0, F.ceil(candidate)).otherwise(F.floor(candidate))))
@@ -159,41 +167,47 @@ def extract_quantities(text: Column) -> Column:
     return F.transform(found, lambda x: F.struct(F.regexp_replace(x, "[,%]", "").cast("double").alias("value"), x.endswith("%").alias("is_percent")))
 
 
-@F.pandas_udf(T.StructType().add("numbers", T.ArrayType(T.DoubleType())).add("texts", T.ArrayType(T.StringType())))
-def _leaves(payloads: pd.Series) -> pd.DataFrame:
-    """Of each JSON text the numbers and the sizes of its arrays, and its strings and keys. What is no JSON is one string."""
-
-    def leaves(payload: str | None) -> tuple[list[float], list[str]]:
-        numbers, texts = [], []
-        try:
-            todo = [] if payload is None else [json.loads(payload)]
-        except ValueError:
-            return [], [payload]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                texts.append(x)
-            elif isinstance(x, dict):
-                texts += x
-                todo += x.values()
-            elif isinstance(x, list):
-                numbers.append(float(len(x)))
-                if not any(isinstance(y, dict | list) for y in x):  # members that can be told apart as values
-                    numbers.append(float(len(set(x))))
-                todo += x
-            elif isinstance(x, int | float) and not isinstance(x, bool) and abs(x) < 1e308:
-                numbers.append(float(x))
-        return numbers, texts
-
-    return pd.DataFrame([leaves(p) for p in payloads], columns=["numbers", "texts"])
+def _json_values(payload: Column) -> Column:
+    """All values of a JSON text, from the whole of it down to each member, as variants.
 
+    Level by level, in as many rounds as the text has opening brackets at most; a level without members costs nothing.
+    """
+    none = F.array().cast("array<variant>")
 
-def flatten_numbers(payload: Column) -> Column:
-    """Every number of a JSON text by size, those inside strings and keys too, and for arrays how many members and different members they have."""
-    parsed = F.array(_leaves(payload))
+    def members(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        inner = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).when(kind.startswith("OBJECT"), F.map_values(F.try_variant_get(v, "$", "map<string,variant>")))
+        return F.coalesce(inner, none)
 
-    def numbers(leaf: Column) -> Column:
-        quoted = F.flatten(F.transform(leaf["texts"], lambda t: F.transform(extract_quantities(t), lambda q: q["value"])))
-        return F.array_sort(F.array_distinct(F.transform(F.concat(leaf["numbers"], quoted), lambda x: F.abs(x))))
+    opened = F.length(payload) - F.length(F.translate(payload, "[{", ""))
+    zero = F.struct(F.array(F.try_parse_json(payload)).cast("array<variant>").alias("level"), none.alias("seen"))
+    step = lambda acc, _: F.struct(F.flatten(F.transform(acc["level"], members)).alias("level"), F.concat(acc["seen"], acc["level"]).alias("seen"))
+    return F.aggregate(F.sequence(F.lit(0), opened), zero, step, lambda acc: F.concat(acc["seen"], acc["level"]))
 
-    return F.transform(parsed, numbers)[0]
+
+def flatten_numbers(payload: Column) -> Column:
+    """Every number of a JSON text by size, those inside strings and keys too, and for arrays how many members and different members they have.
+
+    Members are told apart as values, 1 and 1.0 and true being one, unless some are lists or objects.
+    """
+    none = F.array().cast("array<double>")
+    quoted = lambda t: F.transform(extract_quantities(t), lambda q: q["value"])
+    is_number = lambda kind: kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+    def same(y: Column) -> Column:
+        kind = F.schema_of_variant(y)
+        return F.when(is_number(kind) | (kind == "BOOLEAN"), F.concat(F.lit("n"), F.try_variant_get(y, "$", "double").cast("string"))).otherwise(F.concat(kind, F.coalesce(F.try_variant_get(y, "$", "string"), F.lit(""))))
+
+    def numbers(v: Column) -> Column:
+        kind, items = F.schema_of_variant(v), F.try_variant_get(v, "$", "array<variant>")
+        nested = F.exists(items, lambda y: F.schema_of_variant(y).startswith("ARRAY") | F.schema_of_variant(y).startswith("OBJECT"))
+        sizes = F.array_compact(F.array(F.size(items).cast("double"), F.when(~nested, F.size(F.array_distinct(F.transform(items, same))).cast("double"))))
+        keys = F.flatten(F.transform(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), quoted))
+        found = F.when(is_number(kind), F.array(F.try_variant_get(v, "$", "double"))).when(kind.startswith("ARRAY"), sizes).when(kind.startswith("OBJECT"), keys)
+        return F.coalesce(found.when(kind == "STRING", quoted(F.try_variant_get(v, "$", "string"))), none)
+
+    every = F.flatten(F.transform(_json_values(payload), numbers))
+    sized = F.transform(F.filter(every, lambda x: F.abs(x) < 1e308), lambda x: F.abs(x))
+    # what is no JSON counts as one string
+    plain = F.array_sort(F.array_distinct(F.transform(quoted(payload), lambda x: F.abs(x))))
+    return F.when(payload.isNull(), none).when(F.try_parse_json(payload).isNull(), plain).otherwise(F.array_sort(F.array_distinct(sized)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrine.functions import exprs as X
+from sentrine.storage import drop, exists, materialize
 
 STATUSES = ("OPEN", "INVESTIGATING", "REPORTED", "CLOSED_FRAUD", "CLOSED_FP")
 
@@ -51,10 +52,12 @@ def case_detail(cases: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def list_cases(cases: DataFrame, status: str | None = None, rule: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of cases, newest first; blank filters count as none, and the limit stays between 1 and 200."""
+    """A page of cases, newest first, with the ``total`` of all that fit; blank filters count as none, and the limit stays between 1 and 200."""
     out = cases.where(F.col("status") == status) if status else cases
     out = out.where(F.array_contains("fired_rules", rule)) if rule else out
-    return out.orderBy(F.desc("created_ms"), "case_id").offset(offset).limit(min(200, max(1, limit)))
+    total = out.agg(F.count("*").alias("total"))
+    page = out.orderBy(F.desc("created_ms"), "case_id").offset(max(0, offset)).limit(min(200, max(1, limit)))
+    return page.crossJoin(F.broadcast(total))  # one row
 
 
 def case_counts_by_status(cases: DataFrame, statuses=STATUSES) -> DataFrame:
@@ -134,10 +137,28 @@ def similar_cases(closed: DataFrame, asked: DataFrame, k: int = 3, block: int =
 
 
 def index_closed_cases(cases: DataFrame) -> DataFrame:
-    """Closed cases with a report as ``case_id, text``, the latest of each id."""
+    """Closed cases with a report as ``case_id, text, at_ms``, the latest of each id."""
     rows = cases.where(F.col("status").startswith("CLOSED") & F.col("summary").isNotNull())
     text = X.summary_text(F.col("summary"), F.col("fired_rules"), F.col("fraud_type"))
-    return rows.groupBy("case_id").agg(F.max_by(text, "created_ms").alias("text"))
+    return rows.groupBy("case_id").agg(F.max_by(text, F.struct("created_ms", text)).alias("text"), F.max("created_ms").alias("at_ms"))
+
+
+def upsert_closed_cases(index: str, cases: DataFrame, buckets: int = 64) -> DataFrame:
+    """Puts closed cases into the table at ``index``, a newer text in place of an older one, and returns the table.
+
+    Cases are dealt into ``buckets`` by their id. Only buckets that get a case are read and written again, so running it
+    twice changes nothing and the files of the others stay as they are.
+    """
+    spark = cases.sparkSession
+    new = materialize(index_closed_cases(cases).withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")))
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most all buckets
+    if exists(spark, index):
+        new = new.unionByName(spark.read.parquet(index).where(F.col("bucket").isin(touched)).select(new.columns))
+    latest = F.max(F.struct("at_ms", "text")).alias("m")
+    merged = materialize(new.groupBy("bucket", "case_id").agg(latest).select("case_id", "m.text", "m.at_ms", "bucket"))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(index)
+    drop(merged)
+    return spark.read.schema(merged.schema).parquet(index)
 
 
 def evidence_numbers(evidence: DataFrame) -> DataFrame:
@@ -150,8 +171,11 @@ def claims_x_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """``case_id, claim, value, supported``: each number a claim quotes, against the evidence it cites."""
     quoted = claims.select("case_id", "claim", F.explode("refs").alias("idx"), "text").withColumn("q", F.explode(X.extract_quantities(F.col("text"))))
     quoted = quoted.select("case_id", "claim", "idx", F.abs("q.value").alias("value"), "q.is_percent")
-    hit = X.number_matches(F.col("value"), F.col("number")) | (F.col("is_percent") & X.number_matches(F.col("value") / 100, F.col("number")))
-    m = quoted.join(evidence_numbers(evidence), ["case_id", "idx"], "left")
+    quoted = quoted.withColumns({"places": X.decimal_places(F.col("value")), "part": F.col("value") / 100, "part_places": X.decimal_places(F.col("value") / 100)})
+    has = lambda n: X.number_matches(F.col("value"), n, F.col("places")) | (F.col("is_percent") & X.number_matches(F.col("part"), n, F.col("part_places")))
+    pieces = evidence.where("error is null").select("case_id", "idx", X.flatten_numbers(F.col("payload")).alias("numbers"))
+    hit = F.exists("numbers", has)  # a piece's numbers stay together
+    m = quoted.join(pieces, ["case_id", "idx"], "left")
     return m.groupBy("case_id", "claim", "value").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("supported"))
 
 

@@ -80,6 +80,16 @@ def hard_rules(cfg: EngineConfig = DEFAULT, rules=RULES) -> Column:
     return fired_rule(cfg, rules)["signal"]["code"]
 
 
+def enrich(t: DataFrame) -> DataFrame:
+    """Payments with the static tier of their merchant and their account as it was before: ``category, tier, prior_n, prior_mean, prior_std, prior_lat, prior_lon, prior_ms``."""
+    out = merchant_risk_tier(t.withColumn("category", merchant_category(F.col("merchant_id"))))
+    before, was = U._before(), lambda c: F.lag(c).over(U._in_order())
+    return out.withColumns({
+        "prior_n": F.count("amount").over(before), "prior_mean": F.avg("amount").over(before), "prior_std": F.stddev_samp("amount").over(before),
+        "prior_lat": was("lat"), "prior_lon": was("lon"), "prior_ms": was("ts_ms"),
+    })
+
+
 def features(t: DataFrame, cfg: EngineConfig = DEFAULT, sizes: bool = True) -> DataFrame:
     """All features of every payment; without ``sizes`` components count as 1."""
     out = merchant_risk_tier(t.withColumn("category", merchant_category(F.col("merchant_id"))))
@@ -101,8 +111,15 @@ def finish_features(out: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 
 def all_signals(cfg: EngineConfig = DEFAULT, checks: list[Callable[[EngineConfig], Column]] = ()) -> Column:
-    """Signals in the order of the checks; more checks may be given as functions of the configuration."""
-    return F.array_compact(F.array(*velocity_signals(cfg), geo_signal(cfg), ring_signal(cfg), pass_through_signal(cfg), *[c(cfg) for c in checks]))
+    """Signals in the order of the checks; more checks may be given as functions of the configuration. A check that cannot be built is left out."""
+    out = []
+    for check in (velocity_signals, geo_signal, ring_signal, pass_through_signal, *checks):
+        try:
+            got = check(cfg)
+            out += got if isinstance(got, list) else [got]
+        except Exception:  # one check must not stop the others
+            logging.getLogger(__name__).warning("check %s failed", getattr(check, "__name__", check), exc_info=True)
+    return F.array_compact(F.array(*out))
 
 
 def threshold_policy(rule: Column, score: Column, signals: Column, mode: Column, cfg: EngineConfig = DEFAULT, ruled: Column | None = None) -> Column:

@@ -17,6 +17,11 @@ def join_labels(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     return decisions.join(labels.select("txn_id", "pattern"), "txn_id", "left").withColumn("y", F.col("pattern").isNotNull().cast("int"))
 
 
+def cases_x_truth(cases: DataFrame, labels: DataFrame, only_labelled: bool = False) -> DataFrame:
+    """Cases with what the labels say of their payment, as ``truth``; null, or left out, without a label."""
+    return cases.join(labels.select("txn_id", F.col("pattern").alias("truth")), "txn_id", "inner" if only_labelled else "left")
+
+
 def drop_scenarios(rows: DataFrame, staged: DataFrame) -> DataFrame:
     return rows.join(staged.select("txn_id"), "txn_id", "left_anti")
 
@@ -143,23 +148,39 @@ def ring_recall_by_hop(decisions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def legit_ledger(decisions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Unlabelled payments: ``n, flagged_policy, flagged_stat, false_positive_rate``."""
+    """Unlabelled payments: ``n, flagged_policy, flagged_stat, false_positive_rate``; and ``modes``, the number of all decisions by mode."""
+    modes = decisions.groupBy("mode").agg(F.count("*").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("mode", "c"))).alias("modes"))  # a row for each mode
     d = decisions.join(labels.select("txn_id"), "txn_id", "left_anti")
     flagged, policy = F.col("verdict").isin(*FLAGGED), F.arrays_overlap("fired_rules", F.array(*map(F.lit, HARD_RULES)))
     s = d.agg(F.count("*").alias("n"), F.count(F.when(flagged & policy, 1)).alias("flagged_policy"), F.count(F.when(flagged & ~policy, 1)).alias("flagged_stat"))
-    return s.withColumn("false_positive_rate", F.when(F.col("n") > 0, F.col("flagged_stat") / F.col("n")))
+    return s.withColumn("false_positive_rate", F.when(F.col("n") > 0, F.col("flagged_stat") / F.col("n"))).crossJoin(F.broadcast(modes))  # one row each
 
 
-def latency_percentiles(decisions: DataFrame, by: str = "verdict") -> DataFrame:
+def latency_percentiles(decisions: DataFrame, by: str = "verdict", k: int | None = None) -> DataFrame:
+    """``p50, p95, p99`` of each group; with ``k`` from sketches of bounded size, whose values are of ranks within about 3 / ``k`` of those asked for."""
+    if k:
+        s = decisions.groupBy(by).agg(F.kll_sketch_agg_bigint("latency_ms", k).alias("s"))
+        return s.select(by, *[F.kll_sketch_get_quantile_bigint("s", F.lit(p)).cast("double").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
     q = lambda p: F.percentile("latency_ms", F.lit(p))
     return decisions.groupBy(by).agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
 
 
-def feed_pulse(decisions: DataFrame, size: str = "30 seconds", slide: str = "10 seconds") -> DataFrame:
-    """Per sliding window: samples, decisions per second and nearest-rank latencies."""
-    nearest = lambda p: F.expr(f"percentile_disc({p}) within group (order by latency_ms)")
-    w = decisions.groupBy(F.window("ts", size, slide).alias("w")).agg(F.count("*").alias("samples"), nearest(0.5).alias("p50"), nearest(0.99).alias("p99"))
-    return w.select(F.unix_millis("w.start").alias("start_ms"), "samples", (F.col("samples") / 30.0).alias("tps"), "p50", "p99")
+def feed_pulse(decisions: DataFrame, slide: str = "10 seconds", k: int = 400) -> DataFrame:
+    """The feed as of the end of each sliding window: ``start_ms, samples, tps, p50, p99``.
+
+    Latencies are those of the 30 seconds before, by sketches that merge and stay small (a rank is off by at most 1 in
+    100 at the default ``k``; up to ``k`` samples they are exact nearest ranks). The rate is that of the last 10
+    seconds, over the part of them since their first decision, one second at least; 0 if they have none.
+    """
+    w = F.window("ts", "30 seconds", slide)
+    end = F.unix_millis(w["end"])
+    ms = F.unix_millis("ts")
+    late = ms >= end - 10_000
+    d = decisions.select(w.alias("w"), "latency_ms", F.when(late, end - ms).alias("age"))
+    out = d.groupBy("w").agg(F.count("*").alias("samples"), F.count("age").alias("n"), F.max("age").alias("oldest"), F.kll_sketch_agg_bigint("latency_ms", k).alias("s"))
+    span = F.least(F.lit(10_000), F.greatest(F.lit(1_000), "oldest")) / 1000.0
+    rate = F.when(F.col("n") > 0, F.col("n") / span).otherwise(0.0)
+    return out.select(F.unix_millis("w.start").alias("start_ms"), "samples", rate.alias("tps"), *[F.kll_sketch_get_quantile_bigint("s", F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p99", 0.99))])
 
 
 def eval_kind() -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -235,16 +237,39 @@ def distinct_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_set")
 
 
-def neighborhood(edges: DataFrame, roots: DataFrame, now_ms: int, depth: int = 2, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``root, node, hop, degree`` of all accounts within ``depth`` live transfers of each root."""
+@dataclass(frozen=True)
+class Neighborhood:
+    """What surrounds some accounts, a table each: ``nodes`` (root, node, hop, degree), ``edges`` (root, seq, src, dst, amount, ts_ms,
+    chain_depth), ``cycles`` (root, seq, cycle) and ``sizes`` (root, component_size)."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    cycles: DataFrame
+    sizes: DataFrame
+
+
+def neighborhood(edges: DataFrame, roots: DataFrame, now_ms: int, depth: int = 2, cfg: EngineConfig = DEFAULT) -> Neighborhood:
+    """All within ``depth`` live transfers of each root as of ``now_ms``, for many roots at once.
+
+    Every account on the way shows its live transfers once, each with the number of hops over which its money had been
+    passed on when it was made. Cycles are those of ``cycles_through``; a component counts all transfers so far, and is
+    1 for an account without any.
+    """
+    known = edges.where(F.col("ts_ms") <= now_ms)
     live = materialize(live_edges_asof(edges, now_ms, cfg))
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))
-    front = seen
+    front = seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct()
     for hop in range(1, depth + 1):
         front = front.join(live.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct()
         seen = seen.union(front)
+    seen = materialize(seen.groupBy("root", "node").agg(F.min("hop").alias("hop")))
     degree = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    return seen.groupBy("root", "node").agg(F.min("hop").alias("hop")).join(degree, "node", "left").select("root", "node", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
+    nodes = seen.join(degree, "node", "left").select("root", "node", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
+    passed = chain_depth(pass_through(known, cfg), cfg.chain_cap)
+    deep = live.join(passed, "seq", "left").withColumn("chain_depth", F.coalesce("depth", F.lit(0)))
+    shown = seen.where(F.col("hop") < depth).withColumnRenamed("node", "src").join(deep, "src").select("root", "seq", "src", "dst", "amount", "ts_ms", "chain_depth")
+    sizes = components_final(known).select(F.col("node").alias("root"), F.col("size").alias("component_size"))
+    sizes = roots.select("root").distinct().join(sizes, "root", "left").fillna(1, ["component_size"])
+    return Neighborhood(nodes, shown, cycles_through(edges, roots, now_ms, cfg), sizes)
 
 
 def components_final(edges: DataFrame) -> DataFrame:

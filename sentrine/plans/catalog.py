@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrine.config import CATEGORIES, CITIES, DEFAULT, SANCTIONED, TIERS
+from sentrine.config import CATEGORIES, CITIES, DEFAULT, HARD_RULES, SANCTIONED, TIERS
 from sentrine.functions import exprs as X
 from sentrine.operators import cases as C
 from sentrine.operators import decisions as D
@@ -135,11 +135,13 @@ def primary_pattern(t, *_):
 
 
 _CITY = ", ".join(f"{{'km': {_km('a', 'b', str(x), str(y))}, 'name': '{n}'}}" for n, x, y in CITIES)
+_CITY_DEGREES = ", ".join(f"{{'d': pow(a - {x}, 2) + pow(b - {y}, 2), 'name': '{n}'}}" for n, x, y in CITIES)
 
 
-@query(f", c AS (SELECT txn_id, lat + (k % 7) * 0.08 AS a, lon AS b FROM t), s AS (SELECT txn_id, list_sort([{_CITY}])[1] AS best FROM c) SELECT txn_id, CASE WHEN best.km < 30 THEN best.name END AS city FROM s")
+@query(f", c AS (SELECT txn_id, lat + (k % 7) * 0.08 AS a, lon AS b FROM t), s AS (SELECT txn_id, list_sort([{_CITY}])[1] AS best, list_sort([{_CITY_DEGREES}])[1] AS by_degrees FROM c) SELECT txn_id, CASE WHEN best.km < 30 THEN best.name END AS city, CASE WHEN by_degrees.d < 0.04 THEN by_degrees.name END AS city_by_degrees FROM s")
 def nearest_city(t, *_):
-    return t.select("txn_id", X.nearest_city(F.col("lat") + (F.col("k") % 7) * 0.08, F.col("lon")).alias("city"))
+    lat = F.col("lat") + (F.col("k") % 7) * 0.08
+    return t.select("txn_id", X.nearest_city(lat, F.col("lon")).alias("city"), X.nearest_city_by_degrees(lat, F.col("lon"), 0.2).alias("city_by_degrees"))
 
 
 @query(" SELECT txn_id, greatest(0, latency_ms - 100) AS latency FROM d")
@@ -401,7 +403,25 @@ n2 AS (SELECT * FROM n1 UNION SELECT n1.root, lv.dst, 2 FROM n1 JOIN lv ON lv.sr
 SELECT root, node, CAST(min(hop) AS INTEGER) AS hop, coalesce(max(dg.k), 0) AS degree FROM n2 LEFT JOIN dg ON dg.src = node GROUP BY root, node""", 5)
 def neighborhood(t, *_):
     e = G.build_edges(t)
-    return G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY)
+    return G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).nodes
+
+
+_NEAR = _LIVE + ", rt AS (SELECT DISTINCT src AS root FROM g), n1 AS (SELECT root, root AS node FROM rt UNION SELECT rt.root, lv.dst FROM rt JOIN lv ON lv.src = rt.root)"
+
+
+@query(_PT.replace("43200000", "3600000") + ", ch(seq, depth) AS (SELECT seq, 0 FROM g WHERE seq NOT IN (SELECT seq FROM pt WHERE parent IS NOT NULL) UNION ALL SELECT pt.seq, ch.depth + 1 FROM pt JOIN ch ON pt.parent = ch.seq), cd AS (SELECT seq, least(10, max(depth)) AS depth FROM ch GROUP BY seq)"
+       + _NEAR + " SELECT n1.root, lv.seq, lv.src, lv.dst, round(lv.amount, 2) AS amount, CAST(cd.depth AS INTEGER) AS chain_depth FROM n1 JOIN lv ON lv.src = n1.node JOIN cd ON cd.seq = lv.seq", 30)
+def neighborhood_edges(t, *_):
+    e = G.build_edges(t)
+    n = G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY)
+    return n.edges.select("root", "seq", "src", "dst", F.round("amount", 2).alias("amount"), "chain_depth")
+
+
+@query(f", b AS (SELECT src AS x, dst AS y FROM g WHERE ts_ms <= {DAY} UNION SELECT dst, src FROM g WHERE ts_ms <= {DAY}), r(root, node) AS (SELECT DISTINCT src, src FROM g UNION SELECT r.root, b.y FROM r JOIN b ON b.x = r.node) SELECT root, count(*) AS component_size FROM r GROUP BY root", 30)
+def neighborhood_sizes(t, *_):
+    """Of accounts that ever send, what they were linked with at the time."""
+    e = G.build_edges(t)
+    return G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).sizes
 
 
 @query(", b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), r(node, root) AS (SELECT x, x FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c", 5)
@@ -473,9 +493,11 @@ def ops_counters(t, *_):
     return D.ops_counters(dec(t))
 
 
-@query(" SELECT round(count(*) FILTER (WHERE k % 10 <> 0 AND counterparty_id IS NOT NULL AND list_contains(fired_rules, 'PASS_THROUGH')) * 1.0 / count(*) FILTER (WHERE k % 10 <> 0 AND counterparty_id IS NOT NULL), 6) AS honest_pass_through, round(avg(CAST(len(fired_rules) > 0 AS INTEGER)), 6) AS scored_share FROM d")
+@query(_HASH + " SELECT round(count(*) FILTER (WHERE k % 10 <> 0 AND counterparty_id IS NOT NULL AND list_contains(fired_rules, 'PASS_THROUGH')) * 1.0 / count(*) FILTER (WHERE k % 10 <> 0 AND counterparty_id IS NOT NULL), 6) AS honest_pass_through, round(avg(CAST(len(list_filter(fired_rules, lambda x: x NOT IN ('HARD_BLOCK_MERCHANT', 'AMOUNT_CAP'))) > 0 OR CAST(xor(h, h >> 13) & 2147483647 AS DOUBLE) / 2147483647.0 < " + str(DEFAULT.sample_rate) + " AS INTEGER)), 6) AS scored_share FROM d JOIN h2 USING (txn_id)")
 def gate_cost(t, *_):
-    g = D.gate_cost(dec(t).withColumn("gate", F.size("fired_rules") > 0), P.labels(t))
+    """The gate is that of the engine: a check has fired, or the payment is in the sample."""
+    checks = F.filter("fired_rules", lambda r: ~r.isin(*HARD_RULES))
+    g = D.gate_cost(dec(t).withColumn("gate", D.score_gate(checks, F.col("txn_id"))), P.labels(t))
     return g.select(*[F.round(c, 6).alias(c) for c in g.columns])
 
 
@@ -588,9 +610,10 @@ def ring_recall_by_hop(t, *_):
     return M.ring_recall_by_hop(dec(t), P.labels(t)).withColumn("recall", F.round("recall", 6))
 
 
-@query(", u AS (SELECT * FROM d WHERE k % 10 <> 0), a AS (SELECT count(*) AS n, count(*) FILTER (WHERE verdict <> 'ALLOW' AND rule IS NOT NULL) AS flagged_policy, count(*) FILTER (WHERE verdict <> 'ALLOW' AND rule IS NULL) AS flagged_stat FROM u) SELECT *, round(flagged_stat * 1.0 / n, 6) AS false_positive_rate FROM a")
+@query(", u AS (SELECT * FROM d WHERE k % 10 <> 0), a AS (SELECT count(*) AS n, count(*) FILTER (WHERE verdict <> 'ALLOW' AND rule IS NOT NULL) AS flagged_policy, count(*) FILTER (WHERE verdict <> 'ALLOW' AND rule IS NULL) AS flagged_stat FROM u) SELECT *, round(flagged_stat * 1.0 / n, 6) AS false_positive_rate, (SELECT count(*) FROM d WHERE mode = 'FULL') AS full_mode, (SELECT count(*) FROM d WHERE mode = 'DEGRADED') AS degraded_mode FROM a")
 def legit_ledger(t, *_):
-    return M.legit_ledger(dec(t), P.labels(t)).withColumn("false_positive_rate", F.round("false_positive_rate", 6))
+    ledger = M.legit_ledger(dec(t), P.labels(t)).withColumn("false_positive_rate", F.round("false_positive_rate", 6))
+    return ledger.withColumns({f"{m.lower()}_mode": F.coalesce(F.element_at("modes", m), F.lit(0)) for m in ("FULL", "DEGRADED")}).drop("modes")
 
 
 @query(" SELECT verdict, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(quantile_cont(latency_ms, 0.99), 4) AS p99 FROM d GROUP BY verdict")
@@ -598,9 +621,12 @@ def latency_percentiles(t, *_):
     return M.latency_percentiles(dec(t)).select("verdict", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
-@query(", w AS (SELECT *, unnest([0, 1, 2]) AS i FROM d) SELECT (ts_ms // 10000 - i) * 10000 AS start_ms, count(*) AS samples, round(count(*) / 30.0, 6) AS tps FROM w GROUP BY 1")
+@query(""", w0 AS (SELECT ts_ms, latency_ms, (ts_ms // 10000 - unnest([0, 1, 2])) * 10000 AS start_ms FROM d),
+w AS (SELECT start_ms, count(*) AS samples, count(*) FILTER (WHERE ts_ms >= start_ms + 20000) AS n, start_ms + 30000 - min(ts_ms) FILTER (WHERE ts_ms >= start_ms + 20000) AS oldest, list_sort(list(latency_ms)) AS ls FROM w0 GROUP BY start_ms)
+SELECT start_ms, samples, round(CASE WHEN n > 0 THEN n * 1000.0 / least(10000, greatest(1000, oldest)) ELSE 0 END, 6) AS tps, ls[CAST(ceil(0.5 * samples) AS BIGINT)] AS p50, ls[CAST(ceil(0.99 * samples) AS BIGINT)] AS p99 FROM w""")
 def feed_pulse(t, *_):
-    return M.feed_pulse(dec(t)).select("start_ms", "samples", F.round("tps", 6).alias("tps"))
+    """With sketches large enough for these windows to be exact."""
+    return M.feed_pulse(dec(t), k=4096).withColumn("tps", F.round("tps", 6))
 
 
 def results(t):
@@ -630,9 +656,9 @@ def eval_confusion(t, *_):
     return M.eval_confusion(results(t))
 
 
-@query(" SELECT txn_id, pattern FROM d LEFT JOIN l USING (txn_id) WHERE verdict <> 'ALLOW'")
+@query(" SELECT 'case_' || txn_id AS case_id, pattern AS truth FROM d LEFT JOIN l USING (txn_id) WHERE verdict <> 'ALLOW' AND event_id % 17 <> 0")
 def cases_x_truth(t, *_):
-    return results(t).select("txn_id", F.col("truth").alias("pattern"))
+    return M.cases_x_truth(opened(t), P.labels(t)).select("case_id", "truth")
 
 
 # ------------------------------------------------------------------ cases
@@ -656,9 +682,9 @@ def insert_if_absent(t, *_):
     return C.insert_if_absent(t.union(t), t.where("event_id % 17 = 0")).select("txn_id")
 
 
-@query(_CASES + " SELECT case_id, created_ms FROM cs WHERE status = 'OPEN' AND list_contains(fired_rules, 'VELOCITY_1M') ORDER BY created_ms DESC, case_id LIMIT 20 OFFSET 5")
+@query(_CASES + " SELECT case_id, created_ms, count(*) OVER () AS total FROM cs WHERE status = 'OPEN' AND list_contains(fired_rules, 'VELOCITY_1M') ORDER BY created_ms DESC, case_id LIMIT 20 OFFSET 5")
 def list_cases(t, *_):
-    return C.list_cases(opened(t), "OPEN", "VELOCITY_1M", 20, 5).select("case_id", "created_ms")
+    return C.list_cases(opened(t), "OPEN", "VELOCITY_1M", 20, 5).select("case_id", "created_ms", "total")
 
 
 @query(_CASES + f", st AS (SELECT unnest({_list(C.STATUSES)}) AS status) SELECT st.status, count(cs.case_id) AS n FROM st LEFT JOIN cs ON cs.status = st.status GROUP BY st.status")
@@ -771,7 +797,17 @@ def summary_text(t, *_):
 
 @query(_CASES + " SELECT case_id, trim('case of ' || user_id || CASE WHEN len(fired_rules) > 0 THEN ' signals: ' || array_to_string(fired_rules, ', ') ELSE '' END || ' type: RING', ' ') AS text FROM cs WHERE starts_with(status, 'CLOSED')")
 def index_closed_cases(t, *_):
-    return C.index_closed_cases(opened(t).withColumns({"summary": F.concat(F.lit("case of "), "user_id"), "fraud_type": F.lit("RING")}))
+    return C.index_closed_cases(opened(t).withColumns({"summary": F.concat(F.lit("case of "), "user_id"), "fraud_type": F.lit("RING")})).drop("at_ms")
+
+
+@query(_CASES + " SELECT case_id, trim(CASE WHEN k % 2 = 0 THEN 'newer case of ' ELSE 'case of ' END || user_id || CASE WHEN len(fired_rules) > 0 THEN ' signals: ' || array_to_string(fired_rules, ', ') ELSE '' END || ' type: RING', ' ') AS text FROM cs WHERE starts_with(status, 'CLOSED')")
+def upsert_closed_cases(t, *_):
+    """Cases put into the index, half of them then again with a newer report, and at last with an older one, which changes nothing."""
+    path = f"{shared_dir(t.sparkSession)}/index_{uuid.uuid4().hex}"
+    c = opened(t).join(t.select("txn_id", "k"), "txn_id").withColumns({"summary": F.concat(F.lit("case of "), "user_id"), "fraud_type": F.lit("RING")})
+    C.upsert_closed_cases(path, c)
+    C.upsert_closed_cases(path, c.where("k % 2 = 0").withColumns({"summary": F.concat(F.lit("newer "), "summary"), "created_ms": F.col("created_ms") + 1}))
+    return C.upsert_closed_cases(path, c.withColumn("created_ms", F.col("created_ms") - 1)).select("case_id", "text")
 
 
 def evidence(t):
@@ -864,17 +900,32 @@ def _decided(t):
 _FEATURES = _DECIDE[: _DECIDE.index(",\ns AS (SELECT *, list_filter")] + ", fx AS (SELECT f.*, pt.pt_ratio, pt.pt_secs FROM f LEFT JOIN pt ON pt.seq = f.seq)"
 
 
-@query(_FEATURES + _LABELLED + """ SELECT fx.txn_id, CAST(fx.cnt1h AS DOUBLE) AS cnt1h, CAST(ring IS NOT NULL AS DOUBLE) AS in_cycle, CAST(coalesce(pt_secs, -1) AS DOUBLE) AS pt_secs,
-  coalesce(pt_ratio, 0.0) AS pt_ratio, CAST(least(10, depth) AS DOUBLE) AS chain_depth, jl.y FROM fx JOIN jl ON jl.txn_id = fx.txn_id""", 100)
+#: All features of the map, each by its own definition.
+_ALL = _FEATURES + _sizes() + f""", od AS (SELECT seq, CAST(least(50, (SELECT count(*) FROM g WHERE g.src = t.user_id AND g.seq <= t.seq AND g.ts_ms >= t.ts_ms - 86400000)) AS INTEGER) AS out_degree, {_CAT} AS category FROM t),
+fa AS (SELECT fx.txn_id, CAST(cnt1m AS DOUBLE) AS cnt1m, CAST(cnt5m AS DOUBLE) AS cnt5m, CAST(cnt1h AS DOUBLE) AS cnt1h, (SELECT sum1h FROM v WHERE v.seq = fx.seq) AS sum1h,
+  CASE WHEN z0.n >= 10 AND z0.s >= 1.0 THEN {_jr('((z0.amount - z0.m) / z0.s)', 2)} ELSE 0.0 END AS amt_z, CASE WHEN fx.gap_s >= 60 THEN coalesce({_jr('fx.speed', 1)}, 0.0) ELSE 0.0 END AS geo_speed, g2.secs_since,
+  CAST(CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in TIERS.items())} ELSE 0 END AS DOUBLE) AS tier, CAST(out_degree AS DOUBLE) AS out_degree, CAST(ring IS NOT NULL AS DOUBLE) AS in_cycle,
+  CAST(component_size AS DOUBLE) AS component_size, CASE z0.channel WHEN 'CARD' THEN 0.0 WHEN 'UPI' THEN 1.0 ELSE 2.0 END AS channel, coalesce(pt_ratio, 0.0) AS pt_ratio, CAST(coalesce(pt_secs, -1) AS DOUBLE) AS pt_secs, CAST(least(10, depth) AS DOUBLE) AS chain_depth
+  FROM fx JOIN z0 ON z0.seq = fx.seq JOIN g2 ON g2.seq = fx.seq JOIN od ON od.seq = fx.seq JOIN zs ON zs.seq = fx.seq)"""
+
+
+def _named(frame, *more):
+    return frame.select("txn_id", *[(F.round("f_sum1h", 2) if n == "sum1h" else F.col(f"f_{n}")).alias(n) for n in D.FEATURES], *more)
+
+
+@query(_ALL + _LABELLED + " SELECT fa.*, jl.y FROM fa JOIN jl ON jl.txn_id = fa.txn_id", 100)
 def training_frame(t, *_):
-    names = ("cnt1h", "in_cycle", "pt_secs", "pt_ratio", "chain_depth")
-    return ML.training_frame(_decided(t), P.labels(t)).select("txn_id", *[F.col(f"f_{n}").alias(n) for n in names], "y")
+    return _named(ML.training_frame(_decided(t), P.labels(t)), "y")
 
 
-@query(_FEATURES + """ SELECT fx.txn_id, CAST(cnt5m AS DOUBLE) AS cnt5m, CASE channel WHEN 'CARD' THEN 0.0 WHEN 'UPI' THEN 1.0 ELSE 2.0 END AS channel,
-  CAST(ring IS NOT NULL AS DOUBLE) AS in_cycle, CAST(least(10, depth) AS DOUBLE) AS chain_depth FROM fx JOIN t ON t.txn_id = fx.txn_id""", 100)
+@query(_ALL + " SELECT * FROM fa", 100)
 def feature_row(t, *_):
-    return D.feature_row(_decided(t)).select("txn_id", *[F.col(f"f_{n}").alias(n) for n in ("cnt5m", "channel", "in_cycle", "chain_depth")])
+    return _named(D.feature_row(_decided(t)))
+
+
+@query(_Z + f", e1_ AS (SELECT txn_id, seq, n AS prior_n, round(m, 4) AS prior_mean, round(s, 4) AS prior_std, lag(lat) OVER (PARTITION BY user_id ORDER BY seq) AS prior_lat, lag(ts_ms) OVER (PARTITION BY user_id ORDER BY seq) AS prior_ms, {_CAT} AS category FROM z0) SELECT * EXCLUDE (seq), CAST(CASE category {' '.join(f"WHEN '{k}' THEN {v}" for k, v in TIERS.items())} ELSE 0 END AS INTEGER) AS tier FROM e1_")
+def enrich(t, *_):
+    return D.enrich(t).select("txn_id", "category", "tier", "prior_n", F.round("prior_mean", 4).alias("prior_mean"), F.round("prior_std", 4).alias("prior_std"), "prior_lat", "prior_ms")
 
 
 @query(None, 100)
