@@ -53,14 +53,14 @@ class Encoder:
     serves one task, so that what it remembers is freed with it.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         if path not in _READY:
             _READY[path] = Tokenizer.from_file(path)
         model = _READY[path]
-        self.library = partial(model.encode_batch_fast, add_special_tokens=False)
+        self.library, self.merge = partial(model.encode_batch_fast, add_special_tokens=False), model.model.tokenize
         self.cuts, self.most, self.known = cuts_at_spaces(model), most, {}
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
         self.spaces = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
@@ -85,7 +85,11 @@ class Encoder:
             heads.append(word)
             tails.append(" " + key[len(word) :])
         todo = [k for k in dict.fromkeys(heads + tails) if k not in known and k != " "]
-        got = dict(zip(todo, self.plain([k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in todo]), strict=True))
+        plain = [k for k in todo if k.isalpha() and k.isascii()]  # one piece each, which goes straight to the merges
+        merge = self.merge
+        got = dict(zip(plain, [array("I", [t.id for t in merge("Ġ" + k)]).tobytes() for k in plain], strict=True))
+        todo = [k for k in todo if k not in got]
+        got |= zip(todo, self.plain([k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in todo]), strict=True)
         got[" "] = b""
         find = lambda k: got[k] if k in got else known[k]
         for i, raw_head, raw_tail in zip(new, map(find, heads), map(find, tails), strict=True):
@@ -122,7 +126,7 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
 
-def some(rows: list[tuple], most: int = 4 << 20) -> Iterator[list]:
+def some(rows: list[tuple], most: int = 16 << 20) -> Iterator[list]:
     """Rows, whose second value is a text, in lists of about ``most`` characters."""
     at, have = 0, 0
     for i, r in enumerate(rows):
