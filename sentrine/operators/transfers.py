@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -237,39 +237,49 @@ def distinct_cycles(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_set")
 
 
-@dataclass(frozen=True)
 class Neighborhood:
-    """What surrounds some accounts, a table each: ``nodes`` (root, node, hop, degree), ``edges`` (root, seq, src, dst, amount, ts_ms,
-    chain_depth), ``cycles`` (root, seq, cycle) and ``sizes`` (root, component_size)."""
+    """What surrounds some accounts (``root``) as of ``now_ms``, a table each, made when it is asked for.
 
-    nodes: DataFrame
-    edges: DataFrame
-    cycles: DataFrame
-    sizes: DataFrame
-
-
-def neighborhood(edges: DataFrame, roots: DataFrame, now_ms: int, depth: int = 2, cfg: EngineConfig = DEFAULT) -> Neighborhood:
-    """All within ``depth`` live transfers of each root as of ``now_ms``, for many roots at once.
-
-    Every account on the way shows its live transfers once, each with the number of hops over which its money had been
-    passed on when it was made. Cycles are those of ``cycles_through``; a component counts all transfers so far, and is
-    1 for an account without any.
+    ``nodes`` (root, node, hop, degree) has all within ``depth`` live transfers; ``edges`` (root, seq, src, dst, amount,
+    ts_ms, chain_depth) the live transfers of every account on the way, each with the number of hops over which its
+    money had been passed on when it was made; ``cycles`` (root, seq, cycle) those of ``cycles_through``; ``sizes`` (root,
+    component_size) counts over all transfers so far, 1 for an account without any.
     """
-    known = edges.where(F.col("ts_ms") <= now_ms)
-    live = materialize(live_edges_asof(edges, now_ms, cfg))
-    front = seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop")).distinct()
-    for hop in range(1, depth + 1):
-        front = front.join(live.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct()
-        seen = seen.union(front)
-    seen = materialize(seen.groupBy("root", "node").agg(F.min("hop").alias("hop")))
-    degree = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-    nodes = seen.join(degree, "node", "left").select("root", "node", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
-    passed = chain_depth(pass_through(known, cfg), cfg.chain_cap)
-    deep = live.join(passed, "seq", "left").withColumn("chain_depth", F.coalesce("depth", F.lit(0)))
-    shown = seen.where(F.col("hop") < depth).withColumnRenamed("node", "src").join(deep, "src").select("root", "seq", "src", "dst", "amount", "ts_ms", "chain_depth")
-    sizes = components_final(known).select(F.col("node").alias("root"), F.col("size").alias("component_size"))
-    sizes = roots.select("root").distinct().join(sizes, "root", "left").fillna(1, ["component_size"])
-    return Neighborhood(nodes, shown, cycles_through(edges, roots, now_ms, cfg), sizes)
+
+    def __init__(self, edges: DataFrame, roots: DataFrame, now_ms: int, depth: int = 2, cfg: EngineConfig = DEFAULT):
+        self.known, self.roots, self.now_ms, self.depth, self.cfg = edges.where(F.col("ts_ms") <= now_ms), roots.select("root").distinct(), now_ms, depth, cfg
+
+    @cached_property
+    def live(self) -> DataFrame:
+        return materialize(live_edges_asof(self.known, self.now_ms, self.cfg))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        front = seen = self.roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))
+        for hop in range(1, self.depth + 1):
+            front = front.join(self.live.select(F.col("src").alias("node"), "dst"), "node").select("root", F.col("dst").alias("node"), F.lit(hop).alias("hop")).distinct()
+            seen = seen.union(front)
+        return materialize(seen.groupBy("root", "node").agg(F.min("hop").alias("hop")))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        degree = self.live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+        return self.seen.join(degree, "node", "left").select("root", "node", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        deep = self.live.join(chain_depth(pass_through(self.known, self.cfg), self.cfg.chain_cap), "seq", "left").withColumn("chain_depth", F.coalesce("depth", F.lit(0)))
+        on_the_way = self.seen.where(F.col("hop") < self.depth).withColumnRenamed("node", "src")
+        return on_the_way.join(deep, "src").select("root", "seq", "src", "dst", "amount", "ts_ms", "chain_depth")
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        return cycles_through(self.known, self.roots, self.now_ms, self.cfg)
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        sizes = components_final(self.known).select(F.col("node").alias("root"), F.col("size").alias("component_size"))
+        return self.roots.join(sizes, "root", "left").fillna(1, ["component_size"])
 
 
 def components_final(edges: DataFrame) -> DataFrame:

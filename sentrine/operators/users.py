@@ -1,7 +1,10 @@
-"""Per-user features: every window has the same partition key, so all of them share one shuffle."""
+"""Per-user features. What grows with an account's history is counted in chunks of time, so that a busy account is many tasks."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,28 +45,59 @@ def running_count(rows: DataFrame, key: str, name: str, at: str = "ts_ms", count
     return rows.withColumn("_c", chunk).withColumn(name, within).join(totals, [key, "_c"]).withColumn(name, F.col(name) + F.col("_before")).drop("_c", "_before")
 
 
+def _meet(rows: DataFrame, sums: DataFrame, *keys: str) -> DataFrame:
+    """Each row with the sums of its keys, null keys too."""
+    named = sums.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def velocity_features(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``cnt1m, cnt5m, cnt1h`` and sums, the payment itself included.
 
     A window is sixty tumbling buckets ending with the payment's own; payments later in that bucket are taken off.
+    Every window fits two chunks of its own length, so payments are counted within chunks of time, each of which also
+    sees those of the chunk before: an account is spread over as many tasks as it has chunks.
     """
     out = t
     for name, size, _ in cfg.windows:
         b = size // 60
-        bucket = F.col("ts_ms") - F.pmod("ts_ms", F.lit(b))
-        out = out.withColumn("_b", bucket)
-        frame = _user().orderBy("_b").rangeBetween(-(size - b), 0)
+        chunk, bucket = F.floor(F.col("ts_ms") / size), F.col("ts_ms") - F.pmod("ts_ms", F.lit(b))
+        sums = out.groupBy("user_id", bucket.alias("_b")).agg(F.count("*").alias("_n"), F.sum("amount").alias("_s"))
+        at = F.floor(F.col("_b") / size)
+        sums = sums.withColumn("_own", at).withColumn("_c", F.explode(F.array(at, at + 1)))
+        near = Window.partitionBy("user_id", "_c").orderBy("_b").rangeBetween(-(size - b), 0)
+        sums = sums.select("user_id", "_b", "_c", "_own", F.sum("_n").over(near).alias("_n"), F.sum("_s").over(near).alias("_s")).where("_c = _own").drop("_c", "_own")
         later = Window.partitionBy("user_id", "_b").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-        out = out.withColumn(f"cnt{name}", (F.count("*").over(frame) - F.count("*").over(later)).cast("long"))
-        out = out.withColumn(f"sum{name}", F.sum("amount").over(frame) - F.coalesce(F.sum("amount").over(later), F.lit(0.0)))
-    return out.drop("_b")
+        out = out.withColumn("_b", bucket).withColumns({"_ln": F.count("*").over(later), "_ls": F.coalesce(F.sum("amount").over(later), F.lit(0.0))})
+        out = _meet(out, sums, "user_id", "_b").withColumns({f"cnt{name}": (F.col("_n") - F.col("_ln")).cast("long"), f"sum{name}": F.col("_s") - F.col("_ls")})
+        out = out.drop("_b", "_n", "_s", "_ln", "_ls")
+    return out
+
 
+def amount_zscore(t: DataFrame, cfg: EngineConfig = DEFAULT, chunk_ms: int = HOUR) -> DataFrame:
+    """``amt_z`` against the user's earlier amounts; 0 with few of them or hardly any spread.
 
-def amount_zscore(t: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``amt_z`` against the user's earlier amounts; 0 with few of them or hardly any spread."""
-    n, std = F.count("amount").over(_before()), F.stddev_samp("amount").over(_before())
-    z = (F.col("amount") - F.avg("amount").over(_before())) / F.when(std > 0, std)
-    return t.withColumn("amt_z", F.when((n >= cfg.min_samples) & (std >= cfg.min_std), java_round(z, 2)).otherwise(0.0))
+    Number, sum and squared deviations are taken within chunks of time and joined with those of the chunks before, by
+    the rule for merging two sets; so an account's history is in many tasks, and no sum of squares loses digits.
+    """
+    chunk = F.floor(F.col("ts_ms") / chunk_ms)
+    before = Window.partitionBy("user_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy("user_id", chunk.alias("_c")).agg(F.count("amount").alias("n"), F.sum("amount").alias("s"), F.coalesce(F.var_pop("amount") * F.count("amount"), F.lit(0.0)).alias("m2"))
+    # merged before a chunk: all squares about a common origin, the account's first chunk mean, which keeps them small
+    origin = F.first(F.col("s") / F.when(F.col("n") > 0, F.col("n")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    sums = sums.withColumn("o", origin)
+    shift = F.col("s") - F.col("n") * F.col("o")
+    sums = sums.select("user_id", "_c", "o", *[F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(a) for a, x in (("n0", F.col("n")), ("d0", shift), ("q0", F.col("m2") + F.when(F.col("n") > 0, shift * shift / F.col("n")).otherwise(0.0)))])
+    own = Window.partitionBy("user_id", "_c").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = _meet(t.withColumn("_c", chunk), sums, "user_id", "_c")
+    d = F.col("amount") - F.col("o")
+    out = out.withColumns({"_n": F.col("n0") + F.count("amount").over(own), "_d": F.col("d0") + F.coalesce(F.sum(d).over(own), F.lit(0.0)), "_q": F.col("q0") + F.coalesce(F.sum(d * d).over(own), F.lit(0.0))})
+    n, mean = F.col("_n"), F.col("_d") / F.when(F.col("_n") > 0, F.col("_n"))
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("_d") * mean) / F.when(n > 1, n - 1))
+    z = (d - mean) / F.when(std > 0, std)
+    known = (n >= cfg.min_samples) & (std >= cfg.min_std)
+    return out.withColumn("amt_z", F.when(known, java_round(z, 2)).otherwise(0.0)).drop("_c", "o", "n0", "d0", "q0", "_n", "_d", "_q")
 
 
 def geo_features(t: DataFrame) -> DataFrame:

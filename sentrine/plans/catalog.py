@@ -403,7 +403,7 @@ n2 AS (SELECT * FROM n1 UNION SELECT n1.root, lv.dst, 2 FROM n1 JOIN lv ON lv.sr
 SELECT root, node, CAST(min(hop) AS INTEGER) AS hop, coalesce(max(dg.k), 0) AS degree FROM n2 LEFT JOIN dg ON dg.src = node GROUP BY root, node""", 5)
 def neighborhood(t, *_):
     e = G.build_edges(t)
-    return G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).nodes
+    return G.Neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).nodes
 
 
 _NEAR = _LIVE + ", rt AS (SELECT DISTINCT src AS root FROM g), n1 AS (SELECT root, root AS node FROM rt UNION SELECT rt.root, lv.dst FROM rt JOIN lv ON lv.src = rt.root)"
@@ -413,7 +413,7 @@ _NEAR = _LIVE + ", rt AS (SELECT DISTINCT src AS root FROM g), n1 AS (SELECT roo
        + _NEAR + " SELECT n1.root, lv.seq, lv.src, lv.dst, round(lv.amount, 2) AS amount, CAST(cd.depth AS INTEGER) AS chain_depth FROM n1 JOIN lv ON lv.src = n1.node JOIN cd ON cd.seq = lv.seq", 30)
 def neighborhood_edges(t, *_):
     e = G.build_edges(t)
-    n = G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY)
+    n = G.Neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY)
     return n.edges.select("root", "seq", "src", "dst", F.round("amount", 2).alias("amount"), "chain_depth")
 
 
@@ -421,7 +421,7 @@ def neighborhood_edges(t, *_):
 def neighborhood_sizes(t, *_):
     """Of accounts that ever send, what they were linked with at the time."""
     e = G.build_edges(t)
-    return G.neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).sizes
+    return G.Neighborhood(e, e.select(F.col("src").alias("root")).distinct(), DAY).sizes
 
 
 @query(", b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), r(node, root) AS (SELECT x, x FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.node), c AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c", 5)

@@ -184,6 +184,83 @@ def test_ring_search_through_crowded_accounts(spark):
     assert all(len(r.cycle) <= 4 for r in G.ring_cycles(e, short).collect())
 
 
+def test_a_busy_account_is_counted_in_chunks(spark):
+    """A third of all rows are of one account; counts, sums and deviations against plain loops, with nulls and equal times."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", None, *"abcd"]), rng.randrange(30_000) * 500, rng.choice([None, *[float(x) for x in range(1, 900)]])) for _ in range(500)]
+    df = spark.createDataFrame([(u, T0_MS + ms, a, f"{ms:09}|{i:04}") for i, (u, ms, a) in enumerate(rows)], "user_id string, ts_ms long, amount double, seq string")
+    got = sorted(map(tuple, U.amount_zscore(U.velocity_features(df), chunk_ms=3_600_000).select("seq", "cnt1m", "cnt5m", "cnt1h", F.round("sum1h", 4), "amt_z").collect()))
+    plain = sorted((f"{ms:09}|{i:04}", u, ms, a) for i, (u, ms, a) in enumerate(rows))
+    for g, (seq, u, ms, a) in zip(got, plain, strict=True):
+        mine = [(s, at, x) for s, v, at, x in plain if v == u and s <= seq]
+        for i, size in enumerate((60_000, 300_000, 3_600_000)):
+            b = size // 60
+            near = [x for s, at, x in mine if (T0_MS + ms) // b * b - (size - b) <= (T0_MS + at) // b * b]
+            assert g[1 + i] == len(near)
+        before = [x for s, at, x in mine if s < seq and x is not None]
+        z = 0.0
+        if len(before) >= 10 and a is not None:
+            mean = sum(before) / len(before)
+            std = (sum((x - mean) ** 2 for x in before) / (len(before) - 1)) ** 0.5
+            z = (a - mean) / std if std >= 1 else 0.0
+        if a is not None or len(before) < 10:
+            assert g[0] == seq and abs(g[5] - z) < 0.0051
+    plan = U.velocity_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_c#" in line or "_b#" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+    ranked = {r.seq: r.n for r in U.running_count(df.where("user_id is not null"), "user_id", "n").collect()}
+    assert all(ranked[s] == sum(v == u and x <= s for x, v, *_ in plain) for s, u, *_ in plain if u)
+
+
+def test_pulse_by_sketches(spark):
+    """Rates over what the last ten seconds cover, and ranks within the stated error."""
+    rng = random.Random(5)
+    rows = [(T0_MS + rng.randrange(30_000), rng.randrange(100_000)) for _ in range(20_000)] + [(T0_MS + 95_500, 7), (T0_MS + 99_900, 9)]
+    df = spark.createDataFrame(rows, "ts_ms long, latency_ms long").select(F.timestamp_millis("ts_ms").alias("ts"), "latency_ms")
+    got = {(r.start_ms - T0_MS) // 1000: r for r in M.feed_pulse(df).collect()}
+    assert got[70].tps == 2 / 4.5 and (got[70].p50, got[70].p99, got[70].samples) == (7, 9, 2) and got[80].tps == 0.0
+    full, every = got[0], sorted(x for ms, x in rows if ms < T0_MS + 30_000)
+    last = [ms for ms, _ in rows if T0_MS + 20_000 <= ms < T0_MS + 30_000]
+    assert full.samples == 20_000 and abs(full.tps - len(last) * 1000 / (T0_MS + 30_000 - min(last))) < 1e-9
+    assert all(abs(sum(x <= v for x in every) / len(every) - p) < 0.01 for v, p in ((full.p50, 0.5), (full.p99, 0.99)))
+    d = df.withColumn("verdict", F.lit("ALLOW"))
+    exact, near = M.latency_percentiles(d).first(), M.latency_percentiles(d, k=400).first()
+    assert all(abs(exact[c] - near[c]) < 1500 for c in ("p50", "p95", "p99"))
+
+
+def test_neighborhood_of_many_roots(spark):
+    rows = [{"user": a, "to": b, "amount": m, "at": 60 * i} for i, (a, b, m) in enumerate([("a", "b", 100), ("b", "c", 98), ("c", "a", 97), ("c", "d", 5), ("d", "e", 5), ("x", "y", 1), ("a", "b", 3)])]
+    e = G.build_edges(txns(spark, rows))
+    n = G.Neighborhood(e, spark.createDataFrame([("a",), ("d",), ("lone",)], "root string"), T0_MS + 3_600_000)
+    assert sorted(map(tuple, n.nodes.collect())) == [("a", "a", 0, 2), ("a", "b", 1, 1), ("a", "c", 2, 2), ("d", "d", 0, 1), ("d", "e", 1, 0), ("lone", "lone", 0, 0)]
+    assert sorted((r.root, r.src, r.dst, r.amount, r.chain_depth) for r in n.edges.collect()) == [("a", "a", "b", 3.0, 0), ("a", "a", "b", 100.0, 0), ("a", "b", "c", 98.0, 1), ("d", "d", "e", 5.0, 1)]
+    assert [r.cycle for r in n.cycles.collect()] == [["a", "b", "c", "a"]]
+    assert sorted(map(tuple, n.sizes.collect())) == [("a", 5), ("d", 5), ("lone", 1)]
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    c = spark.createDataFrame([(f"c{i}", "CLOSED_FP", f"text {i}", ["R"], "RING", 10 + i) for i in range(40)], "case_id string, status string, summary string, fired_rules array<string>, fraud_type string, created_ms long")
+    path = str(tmp_path / "index")
+    files = lambda: {p.relative_to(path): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert C.upsert_closed_cases(path, c, 8).count() == 40
+    was = files()
+    newer = c.where("case_id = 'c7'").withColumns({"summary": F.lit("changed"), "created_ms": F.lit(99).cast("long")})
+    for _ in range(2):
+        got = {r.case_id: r.text for r in C.upsert_closed_cases(path, newer, 8).collect()}
+        assert len(got) == 40 and got["c7"].startswith("changed") and got["c8"].startswith("text 8")
+    mine = {f.parent.name for f in files()} - {f.parent.name for f in was if was[f] == files().get(f)}
+    assert len(mine) == 1 and len({f.parent.name for f in was}) > 4
+    assert C.upsert_closed_cases(path, c.limit(0), 8).count() == 40
+
+
+def test_a_failing_check_stops_no_other(spark):
+    def broken(cfg):
+        raise RuntimeError("no such column")
+
+    more = lambda cfg: D._signal(F.col("amount") > 100, "LARGE", F.lit(0.3), amount=F.col("amount"))
+    got = D.assemble_decision(D.features(txns(spark, [{"at": 0}]), sizes=False), checks=(broken, more)).first()
+    assert got.fired_rules == ["LARGE"] and got.verdict == "REVIEW"
+
+
 def test_quantities_and_numbers(spark):
     rows = ["18 transactions in 60 seconds, limit 8", "Forwarded 97% of it", "13 805 at 2024-01-01T10:00:00Z", "see [3] and [0, 2]", "−0.38 below", "1,234.56"]
     got = [[(q.value, q.is_percent) for q in r.q] for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").withColumn("q", X.extract_quantities(F.col("x"))).orderBy("i").collect()]
