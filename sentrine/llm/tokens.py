@@ -61,7 +61,7 @@ class Encoder:
             _READY[path] = Tokenizer.from_file(path)
         model = _READY[path]
         self.library, self.merge = partial(model.encode_batch_fast, add_special_tokens=False), model.model.tokenize
-        self.cuts, self.most, self.known = cuts_at_spaces(model), most, {}
+        self.cuts, self.most, self.known = cuts_at_spaces(model), most, {"": b""}
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
         self.spaces = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
 
@@ -72,7 +72,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.library(texts)] if texts else []
 
     def units(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct units: a key is what follows the space, or begins with its line feed, or comes after a space if nothing stood before it."""
+        """Ids of distinct units: a key is what follows the space, or begins with its line feed; of punctuation after a word it begins with a space."""
         known = self.known
         raw = list(map(known.get, keys))
         new = [i for i, r in enumerate(raw) if r is None]
@@ -114,19 +114,21 @@ class Encoder:
         if len(cut):
             sizes = pc.list_value_length(cut).to_numpy().astype(np.int64)
             ends, units = np.cumsum(sizes), cut.flatten()
-            head = np.zeros(len(units), bool)
-            head[ends - sizes] = True
-            coded = pc.if_else(pa.array(head), pc.binary_join_element_wise("", units, " "), units).dictionary_encode()
+            coded = units.dictionary_encode()
+            codes, heads = coded.indices.to_numpy().copy(), units.take(pa.array(ends - sizes)).to_pylist()  # nothing stands before a head
             raw = self.units(coded.dictionary.to_pylist())
+            codes[ends - sizes] = len(raw) + np.arange(len(heads))
+            raw += self.plain(heads)
+            del units, coded, cut
             at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32))).take(coded.indices)
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32))).take(pa.array(codes))
             flat, place = ids.flatten().to_numpy().tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy().astype(np.int64))]) * 4
             lo, hi = place[ends - sizes].tolist(), place[ends].tolist()
             out |= {i: flat[a:b] for i, a, b in zip([i for i, o in enumerate(whole) if not o], lo, hi, strict=True)}
         return [out[i] for i in range(len(texts))]
 
 
-def some(rows: list[tuple], most: int = 16 << 20) -> Iterator[list]:
+def some(rows: list[tuple], most: int = 24 << 20) -> Iterator[list]:
     """Rows, whose second value is a text, in lists of about ``most`` characters."""
     at, have = 0, 0
     for i, r in enumerate(rows):
@@ -341,13 +343,14 @@ class Dac:
         return int(self.slice(i, i + 1)[0])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19, part_bytes: int = 24 << 20) -> DataFrame:
     """Encode all documents in ascending doc_id order and write them as segments of directly addressable codes.
 
     Returns the written table as read back: ``first_doc, part, segment, doc_ids, lengths`` (little-endian 64- and
     32-bit), ``n_ids`` and ``payload``. A segment holds about ``segment_ids`` ids and always whole documents. Null
     text counts as empty. Rows without doc_id come first; rows that repeat a doc_id stand next to each other. An
-    empty input gives an empty table. Documents are range-partitioned by doc_id and sorted within partitions.
+    empty input gives an empty table. Documents are range-partitioned by doc_id, about ``part_bytes`` of text each, and
+    sorted within partitions.
     """
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, end = Encoder(tokenizer), struct.pack("<I", end_id)
@@ -372,7 +375,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
         if docs_:
             yield flush()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] // part_bytes + 1
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))  # rows that repeat a doc_id, or have none, may fill several partitions
     dealt = dealt.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -381,6 +384,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
     return materialize(dealt.mapInPandas(encode, schema))
 
 
+def tokens_at(files: DataFrame, doc_id: int, first: int = 0, count: int = 1) -> list[int]:
+    """``count`` ids of a written document from its ``first`` on, without decoding what lies before them.
+
+    Of the written table only the segment that holds the document is read: the last one that begins with it or one
+    before it. A document that is not there, and places beyond its end, give nothing.
+    """
+    row = files.where(F.col("first_doc") <= doc_id).orderBy(F.desc("first_doc"), F.desc("part"), F.desc("segment")).limit(1).collect()
+    for r in row:
+        docs, sizes = np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+        at = np.flatnonzero(docs == doc_id)
+        if len(at):
+            begin, n = int(sizes[: at[0]].sum()), int(sizes[at[0]])
+            return Dac(r["payload"]).slice(begin + min(first, n), begin + min(first + count, n)).tolist()
+    return []
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, read from the written segments.
 

@@ -179,3 +179,20 @@ def test_words_whose_power_sums_meet(spark):
     rows = [(1, a), (2, b), (3, f"x y z {a}"), (4, f"x y z {b}"), (5, f"X Y Z {a.upper()}")]
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_token_files_give_any_id(spark):
+    from tokenizers import Tokenizer
+
+    from sentrine.llm import tokens
+
+    path = tokens.default_tokenizer()
+    rows = [(i * 3, f"document {i} of many, " * (i % 9)) for i in range(60)] + [(7, None)]
+    files = tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, segment_ids=300, part_bytes=2000)
+    assert files.count() > 4
+    library = Tokenizer.from_file(path)
+    for doc, text in rows[::7] + rows[-1:]:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        assert tokens.tokens_at(files, doc, 0, 10**6) == ids and tokens.tokens_at(files, doc, len(ids) - 1) == [2]
+        assert tokens.tokens_at(files, doc, 3, 4) == ids[3:7]
+    assert tokens.tokens_at(files, 1) == [] and tokens.tokens_at(files, 10**9) == []
