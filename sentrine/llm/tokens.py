@@ -369,9 +369,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
                     docs_.append(doc)
                     parts.append(raw + end)
                     have += len(raw) // 4 + 1
-                if have >= segment_ids:
-                    yield flush()
-                    docs_, parts, have, segment = [], [], 0, segment + 1
+                    if have >= segment_ids:
+                        yield flush()
+                        docs_, parts, have, segment = [], [], 0, segment + 1
         if docs_:
             yield flush()
 
