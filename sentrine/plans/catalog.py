@@ -271,14 +271,14 @@ def geo_signal(t, *_):
     return s.select("txn_id", F.round("s.severity", 6).alias("severity"), F.element_at("s.evidence", "distanceKm").alias("km"))
 
 
-@query()
+@query(""", x AS (SELECT txn_id, k, ts_ms + unnest(CASE WHEN k % 2 = 0 THEN [0, 1800000, 3660000, 7300000] ELSE [0, 3600000, 7200000, 7200001] END) AS ts_ms FROM t),
+ac(txn_id, ts_ms) AS (SELECT txn_id, min(ts_ms) FROM x GROUP BY txn_id UNION ALL SELECT x.txn_id, min(x.ts_ms) FROM ac JOIN x ON x.txn_id = ac.txn_id AND x.ts_ms > ac.ts_ms + 3600000 GROUP BY x.txn_id)
+SELECT txn_id, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM ac GROUP BY txn_id""")
 def dedup_first(t, *_):
-    """Each payment again after half the TTL and after twice the TTL: the first and the last stay."""
-    again = lambda ms: t.withColumn("ts_ms", F.col("ts_ms") + ms).withColumn("seq", P.order_key(F.col("ts_ms"), F.col("txn_id")))
-    return U.dedup_first(t.union(again(1_800_000)).union(again(7_200_000))).groupBy("txn_id").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"))
-
-
-ORACLES["dedup_first"] = base_sql(720) + " SELECT txn_id, CAST(2 AS BIGINT) AS n, ts_ms AS first_ms FROM t"
+    """Each payment four times over two hours, some exactly the TTL apart, which is still a repeat."""
+    shift = F.when(F.col("k") % 2 == 0, F.array(*map(F.lit, (0, 1_800_000, 3_660_000, 7_300_000)))).otherwise(F.array(*map(F.lit, (0, 3_600_000, 7_200_000, 7_200_001))))
+    again = t.withColumn("ms", F.explode(shift)).withColumn("ts_ms", F.col("ts_ms") + F.col("ms")).withColumn("seq", P.order_key(F.col("ts_ms"), F.col("txn_id")))
+    return U.dedup_first(again).groupBy("txn_id").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
 
 
 @query(f" SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE ts_ms - ts_ms % {s // 60} > {NOW - s} AND ts_ms - ts_ms % {s // 60} <= {NOW}) AS cnt{n}" for n, s, _ in DEFAULT.windows) + f" FROM t WHERE ts_ms <= {NOW} GROUP BY user_id")
@@ -306,9 +306,10 @@ def user_history(t, *_):
     return h.select("user_id", "n", "mean", "std", "cnt1m", "cnt5m", "cnt1h", "recent", "last_ms")
 
 
-@query(" SELECT user_id, count(*) AS in_period, CAST(least(5, count(*)) AS INTEGER) AS shown FROM d GROUP BY user_id")
+@query(", hr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r FROM d) SELECT user_id, count(*) AS in_period, string_agg(verdict || ':' || coalesce(CAST(round(ml_score, 3) AS VARCHAR), '-'), ',' ORDER BY r) FILTER (WHERE r <= 5) AS latest FROM hr GROUP BY user_id")
 def history_view(t, *_):
-    return U.history_view(dec(t)).select("user_id", "in_period", F.size("latest").alias("shown"))
+    shown = F.transform("latest", lambda x: F.concat_ws(":", x["verdict"], F.coalesce(F.round(x["score"], 3).cast("string"), F.lit("-"))))
+    return U.history_view(dec(t)).select("user_id", "in_period", F.array_join(shown, ",").alias("latest"))
 
 
 # ------------------------------------------------------------------ transfers
@@ -720,10 +721,13 @@ def attach_reports(t, *_):
     return C.attach_reports(c, r.union(r.withColumns({"report": F.lit("older"), "at_ms": F.col("at_ms") - 1}))).select("case_id", "report", "status")
 
 
-@query(_CASES + " SELECT case_id, CAST(1 AS INTEGER) AS events FROM cs")
+@query(_CASES + " SELECT case_id, CASE WHEN k % 3 = 0 THEN 'CREATED,NOTE,STATUS' WHEN k % 3 = 1 THEN 'NOTE,CREATED' ELSE 'CREATED' END AS events FROM cs")
 def case_detail(t, *_):
-    c = opened(t)
-    return C.case_detail(c, c.select("case_id", F.lit("CREATED").alias("event_type"), F.col("created_ms").alias("at_ms"))).select("case_id", F.size("events").alias("events"))
+    """Up to three events a case, given in no order."""
+    c = opened(t).join(t.select("txn_id", "k"), "txn_id")
+    event = lambda kind, ms: c.select("case_id", "k", F.lit(kind).alias("event_type"), (F.col("created_ms") + ms).alias("at_ms"))
+    events = event("STATUS", 9).where("k % 3 = 0").union(event("NOTE", 5).where("k % 3 = 0")).union(event("NOTE", -5).where("k % 3 = 1")).union(event("CREATED", 0))
+    return C.case_detail(c, events.drop("k")).select("case_id", F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("events"))
 
 
 @query(" SELECT * FROM (SELECT txn_id, 'all' AS feed FROM d ORDER BY seq DESC LIMIT 200) UNION ALL SELECT * FROM (SELECT txn_id, 'flagged' AS feed FROM d WHERE verdict <> 'ALLOW' ORDER BY seq DESC LIMIT 200)")
@@ -882,12 +886,12 @@ def finalize_reports(t, *_):
 
 def _similar(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), "embedding")
-    return C.similar_cases(e, e.where("case_id % 50 = 0")).select("query_id", "rank", "case_id")
+    return C.similar_cases(e, e.where("case_id % 50 = 0"))
 
 
 _add("similar_cases", _similar, """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS case_id, list_cosine_similarity(q.e, c.e) AS x FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, case_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, case_id FROM r WHERE rank <= 3""")
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY x DESC, case_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, case_id, round(x, 3) AS similarity FROM r WHERE rank <= 3""")
 
 # ------------------------------------------------------------------ models
 
