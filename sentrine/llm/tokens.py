@@ -128,7 +128,7 @@ class Encoder:
         return [out[i] for i in range(len(texts))]
 
 
-def some(rows: list[tuple], most: int = 24 << 20) -> Iterator[list]:
+def some(rows: list[tuple], most: int = 12 << 20) -> Iterator[list]:
     """Rows, whose second value is a text, in lists of about ``most`` characters."""
     at, have = 0, 0
     for i, r in enumerate(rows):
@@ -343,7 +343,7 @@ class Dac:
         return int(self.slice(i, i + 1)[0])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19, part_bytes: int = 24 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19, part_bytes: int = 16 << 20) -> DataFrame:
     """Encode all documents in ascending doc_id order and write them as segments of directly addressable codes.
 
     Returns the written table as read back: ``first_doc, part, segment, doc_ids, lengths`` (little-endian 64- and
