@@ -5,13 +5,11 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sentrine.storage import materialize
 
-_READY: dict[str, object] = {}  # tokenizers, which have a fixed size, by path
+_READY: dict[str, "Encoder"] = {}  # by path; a Python worker's tasks share one, whose table has a bound
 
 
 def default_tokenizer() -> str:
@@ -39,64 +37,89 @@ def cuts_at_spaces(model) -> bool:
     return plain and kind.get("normalizer") is None and merges.get("type") == "BPE" and not merges.get("dropout")
 
 
+def id_lists(raw: list[bytes]) -> pa.ListArray:
+    """Ids in bytes as lists of integers."""
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+
+
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as the character of that number
+UNPRINTED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))}  # the others follow from 256 on
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to those of the library's ``encode`` of each whole text.
 
     Byte-level BPE merges nothing across the pieces that the text is cut into first, and a white space between two
     other characters always starts one. So texts without neighbouring white space are split there, and each distinct
-    unit (a space or line feed and what follows it) passes the tokenizers library once a task, all new ones of some
-    texts in one call; their ids are put back by position. The first ``most`` units are remembered. A unit that ends
-    with punctuation after a letter or digit is two, of which the first is often known.
+    unit (a space or line feed and what follows it) of some texts is encoded once; ids are put back by position. A
+    unit that ends with punctuation after a letter or digit is two, of which the first is often known. Units without
+    their punctuation are remembered, the first ``most`` that come twice in a call, in two Arrow arrays of about 40
+    bytes a unit.
 
     Other texts, and those that hold a special token's name, go to the library whole; such names become that token, as
-    is the library's default. So does every text if the tokenizer is of another kind (``cuts_at_spaces``). One encoder
-    serves one task, so that what it remembers is freed with it.
+    is the library's default. So does every text if the tokenizer is of another kind (``cuts_at_spaces``).
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if path not in _READY:
-            _READY[path] = Tokenizer.from_file(path)
-        model = _READY[path]
+        model = Tokenizer.from_file(path)
         self.library, self.merge = partial(model.encode_batch_fast, add_special_tokens=False), model.model.tokenize
-        self.cuts, self.most, self.known = cuts_at_spaces(model), most, {"": b""}
+        self.cuts, self.most = cuts_at_spaces(model), most
+        self.known, self.known_ids = pa.array([], pa.large_string()), id_lists([])
         self.special = [t.content for t in model.get_added_tokens_decoder().values()]
-        self.spaces = re.compile(r"[\s\x1c-\x1f\x85\u200b\u180e\ufeff](?:[\s\x1c-\x1f\x85\u200b\u180e\ufeff]|\Z)").search
+        self.spaces = f"{SPACE}(?:{SPACE}|$)"
 
-    def odd(self, text: str) -> bool:
-        return not self.cuts or any(name in text for name in self.special) or self.spaces(text) is not None
+    def odd(self, texts: pa.LargeStringArray) -> np.ndarray:
+        """Whether each text goes to the library whole."""
+        if not self.cuts:
+            return np.full(len(texts), True)
+        odd = pc.match_substring_regex(texts, self.spaces)
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, name))
+        return odd.to_numpy(zero_copy_only=False)
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library(texts)] if texts else []
 
-    def units(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct units: a key is what follows the space, or begins with its line feed; of punctuation after a word it begins with a space."""
-        known = self.known
-        raw = list(map(known.get, keys))
-        new = [i for i, r in enumerate(raw) if r is None]
-        heads, tails = [], []  # of each new unit its word and the punctuation after it
-        for i in new:
-            key = keys[i]
-            word = key.rstrip(".,;:!?")
-            if word == key or not word or not word[-1].isalnum() or key[0] in " \n":
-                word = key
-            heads.append(word)
-            tails.append(" " + key[len(word) :])
-        todo = [k for k in dict.fromkeys(heads + tails) if k not in known and k != " "]
-        plain = [k for k in todo if k.isalpha() and k.isascii()]  # one piece each, which goes straight to the merges
-        merge = self.merge
-        got = dict(zip(plain, [array("I", [t.id for t in merge("Ġ" + k)]).tobytes() for k in plain], strict=True))
-        todo = [k for k in todo if k not in got]
-        got |= zip(todo, self.plain([k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in todo]), strict=True)
-        got[" "] = b""
-        find = lambda k: got[k] if k in got else known[k]
-        for i, raw_head, raw_tail in zip(new, map(find, heads), map(find, tails), strict=True):
-            raw[i] = raw_head + raw_tail
-        room = max(0, self.most - len(known))
-        known.update(islice(((k, r) for k, r in chain(zip((keys[i] for i in new), (raw[i] for i in new)), got.items()) if len(k) < 64), room))
-        return raw
+    def words(self, words: pa.LargeStringArray) -> list[bytes]:
+        """Ids of units by the library; those of Latin letters are one piece each and go straight to the merges."""
+        letters = pc.match_substring_regex(words, "^[A-Za-zÀ-ÖØ-öø-ɏ]+$").to_numpy(zero_copy_only=False) if self.cuts else np.full(len(words), False)
+        words, merge = words.to_pylist(), self.merge
+        got = [array("I", [t.id for t in merge("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(UNPRINTED)))]).tobytes() if easy else None for w, easy in zip(words, letters.tolist(), strict=True)]
+        hard = np.flatnonzero(~letters).tolist()
+        for i, raw in zip(hard, self.plain([words[i] if words[i][:1] in ("", "\n") else " " + words[i] for i in hard]), strict=True):
+            got[i] = raw
+        return got
+
+    def units(self, keys: pa.LargeStringArray, times: np.ndarray) -> pa.ListArray:
+        """Lists of ids of distinct units, which come so many times. A key is what follows the space, or begins with its line feed."""
+        stem = pc.utf8_rtrim(keys, ".,;:!?")
+        two = pc.and_(pc.match_substring_regex(stem, r"^(?:[^ \n](?s:.*))?[\p{L}\p{N}]$"), pc.not_equal(stem, keys))
+        words = pc.if_else(two, stem, keys).dictionary_encode()
+        marks = pc.struct_field(pc.extract_regex(keys.filter(two), r"(?P<marks>[.,;:!?]+)$"), "marks").dictionary_encode()
+        new_at = pc.index_in(words.dictionary, value_set=self.known)
+        new = words.dictionary.filter(pc.is_null(new_at))
+        new_ids = id_lists(self.words(new))
+        table = pa.concat_arrays([self.known_ids, new_ids, id_lists([b"", *self.plain(marks.dictionary.to_pylist())])])
+        known, empty = len(self.known), len(self.known) + len(new)
+        at = new_at.to_numpy(zero_copy_only=False)
+        missing = np.isnan(at)
+        at = np.where(missing, 0, at).astype(np.int64)
+        at[missing] = known + np.arange(len(new))
+        pairs = np.full(2 * len(keys), empty, np.int64)
+        code = words.indices.to_numpy()
+        pairs[::2] = at[code]
+        pairs[1::2][two.to_numpy(zero_copy_only=False)] = empty + 1 + marks.indices.to_numpy()
+        both = table.take(pa.array(pairs))
+        if (room := self.most - known) > 0:
+            often = np.bincount(code, weights=times, minlength=len(at))[missing] > 1
+            keep = pa.array(np.flatnonzero(often & (pc.binary_length(new).to_numpy() < 64))[:room])
+            self.known, self.known_ids = pa.concat_arrays([self.known, new.take(keep)]), pa.concat_arrays([self.known_ids, new_ids.take(keep)])
+        return pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         collects = gc.isenabled()
@@ -108,26 +131,33 @@ class Encoder:
                 gc.enable()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        whole = [self.odd(t) for t in texts]
-        out = dict(zip([i for i, o in enumerate(whole) if o], self.plain([t for t, o in zip(texts, whole, strict=True) if o]), strict=True))
-        cut = pc.split_pattern(pc.replace_substring(pa.array([t for t, o in zip(texts, whole, strict=True) if not o], pa.string()), "\n", " \n"), " ")
+        arrow = pa.array(texts, pa.large_string())
+        odd = self.odd(arrow)
+        whole, parted = np.flatnonzero(odd).tolist(), np.flatnonzero(~odd).tolist()
+        out = dict(zip(whole, self.plain([texts[i] for i in whole]), strict=True))
+        cut = pc.split_pattern(pc.replace_substring(arrow.filter(pa.array(~odd)), "\n", " \n"), " ")
         if len(cut):
             sizes = pc.list_value_length(cut).to_numpy().astype(np.int64)
             ends, units = np.cumsum(sizes), cut.flatten()
             coded = units.dictionary_encode()
             codes, heads = coded.indices.to_numpy().copy(), units.take(pa.array(ends - sizes)).to_pylist()  # nothing stands before a head
-            raw = self.units(coded.dictionary.to_pylist())
-            codes[ends - sizes] = len(raw) + np.arange(len(heads))
-            raw += self.plain(heads)
+            known = self.units(coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)))
+            codes[ends - sizes] = len(known) + np.arange(len(heads))
             del units, coded, cut
-            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32))).take(pa.array(codes))
+            ids = pa.concat_arrays([known, id_lists(self.plain(heads))]).take(pa.array(codes))
             flat, place = ids.flatten().to_numpy().tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy().astype(np.int64))]) * 4
             lo, hi = place[ends - sizes].tolist(), place[ends].tolist()
-            out |= {i: flat[a:b] for i, a, b in zip([i for i, o in enumerate(whole) if not o], lo, hi, strict=True)}
+            out |= {i: flat[a:b] for i, a, b in zip(parted, lo, hi, strict=True)}
         return [out[i] for i in range(len(texts))]
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file."""
+    if path not in _READY:
+        _READY[path] = Encoder(path)
+    return _READY[path]
+
+
 def some(rows: list[tuple], most: int = 12 << 20) -> Iterator[list]:
     """Rows, whose second value is a text, in lists of about ``most`` characters."""
     at, have = 0, 0
@@ -234,7 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int
     shards = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] // shard_bytes + 1
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = Encoder(tokenizer), struct.pack("<I", end_id)
+        encode, end = encoder(tokenizer), struct.pack("<I", end_id)
         for pdf in batches:
             for ids in some(list(zip(pdf["doc_id"], pdf["text"], strict=True))):
                 out = []
@@ -353,7 +383,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, segment_
     sorted within partitions.
     """
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = Encoder(tokenizer), struct.pack("<I", end_id)
+        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
         docs_, parts, have, part, segment = [], [], 0, 0, 0
 
         def flush():
