@@ -347,6 +347,15 @@ def test_urls(spark):
     }
 
 
+def test_url_rules_of_the_contract(spark):
+    rows = [(1, "http://net/de/7"), (2, "http://a.Net/de/casino"), (3, "http://example.net/de/8"), (4, "http://a.example.net/de/81"), (5, "http://example.net/de/9"), (6, "http://a.org/es/"), (7, "http://net/en/casino"), (8, "http://example.com/en/6")]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {
+        1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("example.net/de/8", "block"),
+        5: ("net/de/", "allow"), 6: ("org/es/", "block"), 7: (None, "block"), 8: ("com/en/", "block"),
+    }
+
+
 def test_quality(spark, docs):
     good = [(i, text(80)) for i in range(60)]
     bad = [(100 + i, " ".join(w.upper() + "!!" for w in text(80).split())) for i in range(60)]
