@@ -58,26 +58,56 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = 3000, rank: int = 48,
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [features(t).tobytes() for t in pdf["text"]]})
+            at, value = [], []
+            for x in map(features, pdf["text"]):  # most features of a text are 0
+                at.append(np.flatnonzero(x).astype(np.uint16))
+                value.append(x[at[-1]].tobytes())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "at": [a.tobytes() for a in at], "value": value})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInPandas(describe, "doc_id long, label int, x binary").collect()
+    got = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).mapInPandas(describe, "doc_id long, label int, at binary, value binary").collect()
     got = sorted(got, key=lambda r: r["doc_id"])
     if not got:
         return None
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float64)
-    share = x[:, : WIDE**3] ** 2
-    share /= np.maximum(share.sum(0), 1e-12)
-    weight = np.ones(SIZE)
-    if len(got) > 1:
-        weight[: WIDE**3] += (share * np.log(np.maximum(share, 1e-12))).sum(0) / np.log(len(got))
-    x *= weight
-    mean = x.mean(0)
-    values, vectors = np.linalg.eigh((x - mean).T @ (x - mean))
-    basis = vectors[:, ::-1][:, : min(rank, len(got))]
-    z = (x - mean) @ basis
+    at, value = [np.frombuffer(r["at"], np.uint16) for r in got], [np.frombuffer(r["value"], np.float32).astype(np.float64) for r in got]
+    return (*latent(at, value, rank), np.array([r["label"] for r in got], np.float32))
+
+
+def latent(at: list[np.ndarray], value: list[np.ndarray], rank: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``origin, basis, vectors`` of texts given as the places and values of their features that are not 0.
+
+    Dense matrices have the features that some text has, and at most ``block`` texts at a time.
+    """
+    n, places, values = len(at), np.concatenate(at).astype(np.int64), np.concatenate(value)
+    used, places = np.unique(places, return_inverse=True)
+    m, bound = len(used), np.cumsum([0, *map(len, at)])
+    share = values**2
+    share /= np.maximum(np.bincount(places, share, m), 1e-12)[places]
+    weight = np.ones(m)
+    if n > 1:
+        grams = used < WIDE**3
+        weight[grams] += np.bincount(places, share * np.log(np.maximum(share, 1e-12)), m)[grams] / np.log(n)
+    values = values * weight[places]
+    mean = np.bincount(places, values, m) / n
+
+    def centred() -> Iterator[np.ndarray]:
+        for lo in range(0, n, block):
+            b = bound[lo : lo + block + 1]
+            x = np.zeros((len(b) - 1, m))
+            x[np.repeat(np.arange(len(x)), np.diff(b)), places[b[0] : b[-1]]] = values[b[0] : b[-1]]
+            x -= mean
+            yield x
+
+    spread = np.zeros((m, m))
+    for x in centred():
+        spread += x.T @ x
+    top = np.linalg.eigh(spread)[1][:, ::-1][:, : min(rank, n)].copy()
+    del spread
+    z = np.concatenate([x @ top for x in centred()])
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    return (mean @ basis).astype(np.float32), (weight[:, None] * basis).astype(np.float32), z.astype(np.float32), np.array([r["label"] for r in got], np.float32)
+    basis = np.zeros((SIZE, top.shape[1]), np.float32)
+    basis[used] = weight[:, None] * top
+    return (mean @ top).astype(np.float32), basis, z.astype(np.float32)
 
 
 def vote(x: np.ndarray, model, k: int = 15, power: float = 8.0) -> np.ndarray:

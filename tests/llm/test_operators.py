@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -368,6 +369,29 @@ def test_quality(spark, docs):
     assert quality.score_quality(docs.union(df.select("doc_id", "text", *[F.lit(None).alias(c) for c in docs.columns[2:]])), labels).where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_quality_vectors(spark):
+    """Against dense matrices of all features, which take several hundred MB of the driver."""
+    marks = "aB7 .,!|'-\u00e9\n"
+    texts = ["", None, "ab"] + ["".join(random.choices(marks, k=random.randrange(1, 90))) for _ in range(2997)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tracemalloc.start()
+    origin, basis, z, _ = quality.fit(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.array([quality.features(t) for t in texts], np.float64)
+    share = x[:, : quality.WIDE**3] ** 2
+    share /= np.maximum(share.sum(0), 1e-12)
+    weight = np.ones(quality.SIZE)
+    weight[: quality.WIDE**3] += (share * np.log(np.maximum(share, 1e-12))).sum(0) / np.log(len(x))
+    left = x * weight - (x * weight).mean(0)
+    values, vectors = np.linalg.eigh(left.T @ left)
+    want, got = left @ vectors[:, ::-1][:, :48], (x @ basis - origin).astype(np.float64)
+    assert np.abs((want**2).sum(0) - (got**2).sum(0)).max() < 1e-3 * values[-1]
+    assert np.abs(want @ want[:50].T - got @ got[:50].T).max() < 1e-3  # whichever way an eigenvector points
+    assert np.abs(z - got / np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)).max() < 1e-3
+    assert peak < 150e6
+
+
 def test_stages(spark, docs, tmp_path):
     import corpus_pipeline as c
 
