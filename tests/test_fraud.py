@@ -1,6 +1,7 @@
 """Small streams with the decisions they must get, and pure expressions at their limits."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from sentrine.operators import transfers as G
 from sentrine.operators import users as U
 from sentrine.operators.components import connected_components
 from sentrine.sources.payments import T0_MS, order_key
+from sentrine.storage import materialize
 
 COLS = "txn_id string, user_id string, merchant_id string, counterparty_id string, amount double, lat double, lon double, channel string, ts_ms long"
 
@@ -211,6 +213,17 @@ def test_a_busy_account_is_counted_in_chunks(spark):
     assert all(ranked[s] == sum(v == u and x <= s for x, v, *_ in plain) for s, u, *_ in plain if u)
 
 
+def test_plans_read_each_table_few_times(spark):
+    """A plan that doubles with each step fills the driver's memory, however few the rows."""
+    t = txns(spark, [{"at": 60 * i, "user": f"u_{i}", "to": f"u_{i + 1}", "amount": 1000 - i} for i in range(12)])
+    read = lambda df: len(re.findall("LogicalRDD|LocalRelation|Relation \\[", df._jdf.queryExecution().optimizedPlan().toString()))
+    assert read(U.velocity_features(t)) <= 4
+    depths = G.chain_depth(materialize(G.pass_through(G.build_edges(t))))
+    assert read(depths) == 1 and [r.depth for r in depths.orderBy("seq").collect()] == [*range(1, 11), 10]
+    f = D.features(t)
+    assert read(f) <= 5 and [r.chain_depth for r in f.orderBy("seq").collect()] == [*range(11), 10]
+
+
 def test_pulse_by_sketches(spark):
     """Rates over what the last ten seconds cover, and ranks within the stated error."""
     rng = random.Random(5)
