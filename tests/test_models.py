@@ -69,6 +69,30 @@ def test_contributions_add_up_to_the_log_odds(frame, kind):
     assert abs(top[0]["value"]) > 0 and np.isfinite(rows[0]["base"])
 
 
+@pytest.mark.parametrize("kind", ["gbt", "linear"])
+def test_missing_values_are_explained_as_they_are_scored(frame, kind):
+    """NaN counts as 0 like null, and -inf is on the lower side of each question."""
+    model = ML.fit_model(frame, kind=kind)
+    odd = frame.limit(40).withColumns({"f_cnt1m": F.lit(float("nan")), "f_sum1h": F.lit(None).cast("double")})
+    if kind == "gbt":
+        odd = odd.unionByName(frame.limit(40).withColumns({"txn_id": F.concat(F.lit("i"), "txn_id")} | {c: F.lit(float("-inf")) for c in COLS[::3]}))
+    rows = ML.explain(model, odd.join(ML.score(model, odd).select("txn_id", "p"), "txn_id")).collect()
+    for r in rows:
+        total = r["base"] + sum(c["value"] for c in r["contributions"])
+        assert abs(total - math.log(r["p"] / (1 - r["p"]))) < 1e-6
+    assert len(rows) == (80 if kind == "gbt" else 40)
+
+
+def test_leaves_that_ask_many_features(spark):
+    """Patterns beyond the tables: the same values as from every pattern at once."""
+    rng = np.random.default_rng(3)
+    d = 11
+    leaf = ML.Leaf(1.5, np.arange(d), np.full(d, np.nan), rng.random(d), rng.random(d))
+    x = rng.random((50, d))
+    got = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").select(ML.tree_contributions([leaf], d)("x")).collect()
+    assert np.allclose([r[0] for r in got], ML.leaf_shapley(leaf, x <= leaf.high), atol=1e-12)
+
+
 def test_a_model_needs_both_classes_and_known_features(frame):
     with pytest.raises(ValueError):
         ML.fit_model(frame.where("y = 1"))
