@@ -240,6 +240,23 @@ def test_pulse_by_sketches(spark):
     assert all(abs(exact[c] - near[c]) < 1500 for c in ("p50", "p95", "p99"))
 
 
+def test_pulse_of_the_query_is_exact(spark, tmp_path):
+    """Windows of more samples than a sketch holds; ranks, as the SQL defines them, are those of all samples sorted."""
+    from sentrine.plans import catalog
+
+    n = 20_000
+    events = spark.range(n).selectExpr("id as event_id", f"timestamp_millis({T0_MS} + cast(id * 720 * 25000 / {n} as long)) as ts", "id % 50 as user_id", "'view' as event_type", "1.0D as value", "concat('{\"k\": ', id % 100, '}') as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.start_ms - T0_MS) // 1000: r for r in catalog.QUERIES["feed_pulse"](spark, str(tmp_path)).collect()}
+    for start, r in got.items():
+        every = sorted(i * 37 % 500 for i in range(n) if start <= i * 25 / n < start + 30)
+        assert (r.samples, r.p50, r.p99) == (len(every), every[-(-len(every) // 2) - 1], every[-(-len(every) * 99 // 100) - 1])
+    assert max(r.samples for r in got.values()) == n
+    few = spark.createDataFrame([(T0_MS, x) for x in (None, 9, 5, 7, 7)], "ts_ms long, latency_ms long").select(F.timestamp_millis("ts_ms").alias("ts"), "latency_ms")
+    assert {tuple(r)[1:] for r in M.feed_pulse(few, k=None).collect()} == {tuple(r)[1:] for r in M.feed_pulse(few).collect()}
+    assert {(r.samples, r.p50, r.p99) for r in M.feed_pulse(few, k=None).collect()} == {(5, 7, 9)}
+
+
 def test_neighborhood_of_many_roots(spark):
     rows = [{"user": a, "to": b, "amount": m, "at": 60 * i} for i, (a, b, m) in enumerate([("a", "b", 100), ("b", "c", 98), ("c", "a", 97), ("c", "d", 5), ("d", "e", 5), ("x", "y", 1), ("a", "b", 3)])]
     e = G.build_edges(txns(spark, rows))
