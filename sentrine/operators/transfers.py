@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 import numpy as np
@@ -14,7 +15,7 @@ from sentrine.functions.exprs import java_round
 from sentrine.operators.components import connected_components
 from sentrine.operators.metrics import global_rank
 from sentrine.operators.users import running_count
-from sentrine.storage import drop, materialize
+from sentrine.storage import append, drop, materialize, release
 
 
 def build_edges(t: DataFrame) -> DataFrame:
@@ -107,23 +108,37 @@ def ranked_edges(edges: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return e.join(fall, ["src", "rank"], "left").select("seq", "src", "dst", "ts_ms", "rank", "until")
 
 
-def _forward(cur: DataFrame, step: DataFrame, sent: DataFrame, i: int, cfg: EngineConfig) -> DataFrame:
+def out_lists(step: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``node, chunk, list``: the transfers of each account by rank, ``max_edges`` in a row; those to accounts that nothing leaves are left out."""
+    leads = step.select(F.col("src").alias("dst")).distinct()
+    e = F.struct(F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), F.col("until").alias("e_until"))
+    return step.join(leads, "dst", "left_semi").groupBy(F.col("src").alias("node"), F.floor((F.col("rank") - 1) / cfg.max_edges).alias("chunk")).agg(F.collect_list(e).alias("list"))
+
+
+def _forward(cur: DataFrame, lists: DataFrame, sent: DataFrame | None, i: int, cfg: EngineConfig) -> DataFrame:
     """Paths one transfer longer: ``x<i>`` and ``s<i>`` are the account it reaches and the transfer.
 
-    A path knows how many transfers its account had sent when ``seq`` arrived, and so meets at most the newest
-    ``max_edges`` of them by an equi-join on (account, rank), however many are no longer live.
+    ``sent`` has the transfers of accounts with more than ``max_edges`` of them. There a path knows how many had been sent
+    when ``seq`` arrived, and so meets at most two lists by an equi-join on (account, chunk), however many are no longer
+    live. The other accounts have one list. Lists are opened after the join, so that a path is shuffled once.
     """
-    both = cur.withColumns({"_sent": F.lit(0), "ev": F.col("ts_ms")}).unionByName(sent, allowMissingColumns=True)
-    had = running_count(both, "node", "had", "ev", "_sent").where("_sent = 0 and had > 0").drop("_sent", "ev")
-    ranks = F.sequence(F.greatest(F.lit(1), F.col("had") - (cfg.max_edges - 1)), F.col("had"))
-    nxt = had.withColumn("rank", F.explode(ranks)).join(step, ["node", "rank"]).where(F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms)
+    at = cur.withColumn("chunk", F.lit(0).cast("long"))
+    if sent is not None:
+        busy = sent.select("node").distinct()
+        both = cur.join(busy, "node", "left_semi").withColumns({"_sent": F.lit(0), "ev": F.col("ts_ms")}).unionByName(sent, allowMissingColumns=True)
+        had = running_count(both, "node", "had", "ev", "_sent").where("_sent = 0 and had > 0").drop("_sent", "ev")
+        chunk = lambda rank: F.floor((rank - 1) / cfg.max_edges)
+        chunks = F.sequence(chunk(F.greatest(F.lit(1), F.col("had") - (cfg.max_edges - 1))), chunk(F.col("had")))
+        at = at.join(busy, "node", "left_anti").unionByName(had.withColumn("chunk", F.explode(chunks)).drop("had"))
+    nxt = at.join(lists, ["node", "chunk"]).select(*[c for c in at.columns if c != "chunk"], F.inline("list"))
+    nxt = nxt.where((F.col("e_seq") < F.col("seq")) & (F.col("e_until").isNull() | (F.col("e_until") >= F.col("seq"))) & (F.col("e_ts") >= F.col("ts_ms") - cfg.edge_ttl_ms))
     for seen in ["x0", *(f"x{j}" for j in range(1, i))]:
         nxt = nxt.where(F.col("to") != F.col(seen))
-    return nxt.withColumns({f"x{i}": F.col("to"), f"s{i}": F.col("e_seq"), "node": F.col("to")}).drop("had", "rank", "to", "e_seq", "e_ts")
+    return nxt.withColumns({f"x{i}": F.col("to"), f"s{i}": F.col("e_seq"), "node": F.col("to")}).drop("to", "e_seq", "e_ts", "e_until")
 
 
-def half_paths(step: DataFrame, wanted: DataFrame | None, length: int, cfg: EngineConfig) -> DataFrame:
-    """Paths of one or two transfers by first and last account and day: ``node, goal, day, mid, hops, newest, until, oldest_ms``.
+def half_paths(step: DataFrame, wanted: DataFrame | None, length: int, cfg: EngineConfig, goals: DataFrame) -> DataFrame:
+    """Paths of one or two transfers to one of ``goals`` by first and last account and day: ``node, goal, day, mid, hops, newest, until, oldest_ms``.
 
     A transfer counts on its own day and the next, beyond which it is dead. Two meet at the account between them; where
     an account has so many on both sides that all pairs would exceed ``max_edges`` squared for each of its transfers, only
@@ -131,11 +146,12 @@ def half_paths(step: DataFrame, wanted: DataFrame | None, length: int, cfg: Engi
     """
     days = lambda ts: F.explode(F.array(F.floor(ts / cfg.edge_ttl_ms), F.floor(ts / cfg.edge_ttl_ms) + 1))
     e = step.select("seq", "src", "dst", "ts_ms", "until").withColumn("day", days(F.col("ts_ms")))
-    out = e.select(F.col("src").alias("node"), F.col("dst").alias("goal"), "day", F.lit(None).cast("string").alias("mid"), F.array("seq").alias("hops"), F.col("seq").alias("newest"), "until", F.col("ts_ms").alias("oldest_ms"))
+    last = e.join(goals.select(F.col("goal").alias("dst")), "dst", "left_semi")
+    out = last.select(F.col("src").alias("node"), F.col("dst").alias("goal"), "day", F.lit(None).cast(step.schema["src"].dataType).alias("mid"), F.array("seq").alias("hops"), F.col("seq").alias("newest"), "until", F.col("ts_ms").alias("oldest_ms"))
     if length < 2:
         return out
     a = e.select(F.col("src").alias("node"), F.col("dst").alias("mid"), "day", *[F.col(c).alias(f"{c}_a") for c in ("seq", "ts_ms", "until")])
-    b = e.select(F.col("src").alias("mid"), F.col("dst").alias("goal"), "day", *[F.col(c).alias(f"{c}_b") for c in ("seq", "ts_ms", "until")])
+    b = last.select(F.col("src").alias("mid"), F.col("dst").alias("goal"), "day", *[F.col(c).alias(f"{c}_b") for c in ("seq", "ts_ms", "until")])
     if wanted is not None:
         dense = dense_accounts(step, cfg).withColumn("day", F.explode(F.array("day", F.col("day") + 1))).distinct()
         heavy = a.join(dense, ["mid", "day"], "left_semi").join(wanted, ["node", "day"]).join(b, ["mid", "goal", "day"])
@@ -156,7 +172,37 @@ def dense_accounts(step: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return n.where(F.least("i", "o") > cfg.max_edges**2).select("mid", "day")
 
 
-def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT, few: int = 1_000_000) -> DataFrame:
+def numbered(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Starts and edges with numbers for ``seq`` and accounts, in the order of their names; and the names of both, ``seq, no`` and ``node, id``."""
+    order = materialize(global_rank(edges.select("seq").union(starts.select("seq")).distinct(), "seq").withColumnRenamed("rank", "no"))
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(starts.select("goal")).union(starts.select("node")).distinct()
+    names = materialize(global_rank(ends, "node").withColumnRenamed("rank", "id"))
+
+    def plain(rows: DataFrame, *ends: str) -> DataFrame:
+        rows = rows.join(order, "seq").drop("seq").withColumnRenamed("no", "seq")
+        for c in ends:
+            rows = rows.join(names.select(F.col("node").alias(c), F.col("id").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+        return materialize(rows)
+
+    return plain(starts.select("seq", "ts_ms", "goal", "node"), "goal", "node"), plain(edges.select("seq", "src", "dst", "ts_ms"), "src", "dst"), order, names
+
+
+def path_slices(starts: DataFrame, step: DataFrame, crowded: bool, cfg: EngineConfig, few: int, most: int) -> int:
+    """In how many slices starts are followed, so that each has about ``few`` half paths; and ``most`` paths ahead, if those have to be written."""
+    day = F.floor(F.col("ts_ms") / cfg.edge_ttl_ms)
+    days = F.explode(F.array(day, day + 1)).alias("day")
+    ends = step.select(F.col("dst").alias("mid"), days, F.lit(1).alias("i"), F.lit(0).alias("o")).union(step.select("src", days, F.lit(0), F.lit(1)))
+    pairs = ends.groupBy("mid", "day").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where(F.least("i", "o") <= 2 * cfg.max_edges**2)
+    n = (pairs.agg(F.sum(F.col("i") * F.col("o")).alias("n")).first()["n"] or 0) / few
+    if crowded:
+        leaves = step.groupBy(F.col("src").alias("node")).agg(F.least(F.lit(cfg.max_edges), F.count("*")).alias("c"))
+        two = step.join(leaves.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.avg("c").alias("two"))
+        ahead = starts.join(leaves, "node").join(two, "node").agg(F.sum(F.col("c") * F.col("two")).alias("n"))
+        n = max(n, (ahead.first()["n"] or 0) / most)
+    return max(1, math.ceil(n))
+
+
+def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAULT, few: int = 8_000_000, most: int = 32_000_000) -> DataFrame:
     """First path, by edge order, from ``node`` to ``goal`` over the edges live when ``seq`` arrives.
 
     ``starts``: ``seq, ts_ms, goal, node``. Paths are simple and have at most ``max_cycle - 1`` edges. They meet in the
@@ -164,46 +210,97 @@ def expand_paths(starts: DataFrame, edges: DataFrame, cfg: EngineConfig = DEFAUL
     half paths of one or two transfers that lead from where they are to the goal, by (account, goal, day); whether
     those are live is checked as of ``seq``. So no step makes rows for paths that do not close beyond the second
     transfer. Accounts that nothing leaves are trimmed. Returns ``seq, path`` (accounts) and ``hops``.
+
+    Both kinds of paths grow with the square of what an account sends, so they are made for a slice of the goals at a time,
+    about ``few`` half paths each, and go before the next slice; transfers and accounts are numbers on the way.
     """
     back = max(0, min(2, cfg.max_cycle - 2))
     ahead = cfg.max_cycle - 1 - back
-    step = materialize(ranked_edges(edges, cfg))
-    leads = step.select(F.col("src").alias("dst")).distinct()
-    onward = step.join(leads, "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), "rank")
-    sent = step.select(F.col("src").alias("node"), "seq", F.col("ts_ms").alias("ev"), F.lit(1).alias("_sent"))
-    cur, found, tables = starts.select("seq", "ts_ms", "goal", "node", F.col("node").alias("x0")), [], [step]
+    spark = edges.sparkSession
+    starts, plain, order, names = numbered(starts, edges)
+    step = materialize(ranked_edges(plain, cfg))
+    lists = materialize(out_lists(step, cfg))
+    busy = step.where(F.col("rank") > cfg.max_edges).select("src").distinct()
+    sent = None
+    if busy.head(1):
+        sent = materialize(step.join(busy, "src", "left_semi").select(F.col("src").alias("node"), "seq", F.col("ts_ms").alias("ev"), F.lit(1).alias("_sent")))
+    crowded = back > 1 and bool(dense_accounts(step, cfg).head(1))
+    n = path_slices(starts, step, crowded, cfg, few, most) if back > 1 else 1
+    base = [starts, plain, step, lists, *([sent] if sent is not None else [])]
+    if n > 1:  # a goal of more starts than a slice should have is in several
+        many = starts.groupBy("goal").agg(F.count("*").alias("_n"))
+        share = F.ceil(F.col("_n") * n / F.lit(starts.count()))
+        starts = starts.join(many, "goal").withColumn("part", F.pmod(F.xxhash64("goal", F.pmod(F.xxhash64("seq"), share)), F.lit(n))).drop("_n")
+        starts = materialize(starts.repartitionByRange("part").sortWithinPartitions("part"))
+        base.append(starts)
+    release(spark)
+    best = None
+    for i in range(n):
+        mine = starts.where(F.col("part") == i).drop("part") if n > 1 else starts
+        rows, tables = _meet_in_the_middle(mine, step, lists, sent, crowded, ahead, back, cfg, few)
+        best = append(best, rows)
+        drop(*tables)
+        release(spark)
+    out = best.select("seq", F.posexplode(F.arrays_zip("path", "hops"))).select("seq", "pos", F.col("col.path").alias("id"), F.col("col.hops").alias("hop"))
+    out = out.join(names, "id").join(order.select(F.col("no").alias("hop"), F.col("seq").alias("name")), "hop", "left")
+    out = out.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "name"))).alias("on"))
+    out = out.withColumnRenamed("seq", "no").join(order, "no").select("seq", F.col("on.node").alias("path"), F.array_compact("on.name").alias("hops"))
+    out = materialize(out)
+    drop(*base, best, order, names)
+    release(spark)
+    return out
+
+
+def _meet_in_the_middle(starts: DataFrame, step: DataFrame, lists: DataFrame, sent: DataFrame | None, crowded: bool, ahead: int, back: int, cfg: EngineConfig, few: int) -> tuple[DataFrame, list[DataFrame]]:
+    """First paths, ``seq, path, hops``, of numbered ``starts``; and the tables to drop when they are written."""
+    cur, found, tables = starts.withColumn("x0", F.col("node")), [], []
     for i in range(1, ahead):
-        cur = materialize(_forward(cur, onward, sent, i, cfg))
+        cur = materialize(_forward(cur, lists, sent, i, cfg))
         tables.append(cur)
         found.append(cur.where("node = goal").select("seq", _path(i).alias("path"), _hops(i).alias("hops")))
         cur = cur.where("node != goal")
-    cur = _forward(cur, onward, sent, ahead, cfg)
+    cur = _forward(cur, lists, sent, ahead, cfg)
     if back:
         cur = cur.withColumn("day", F.floor(F.col("ts_ms") / cfg.edge_ttl_ms))
-        crowded = back > 1 and bool(dense_accounts(step, cfg).head(1))
         if crowded:
             cur = materialize(cur)
             tables.append(cur)
-        half = half_paths(step, cur.select("node", "goal", "day").distinct() if crowded else None, back, cfg)
+        half = half_paths(step, cur.select("node", "goal", "day").distinct() if crowded else None, back, cfg, starts.select("goal").distinct())
         half = materialize(half.withColumnsRenamed({"hops": "rest", "node": "from", "goal": "to", "day": "on"}))
         tables.append(half)
-        if half.count() <= few:  # most paths ahead have none that leads back; eight bytes for each half path tell which
-            ends = half.select(F.xxhash64("from", "to", "on").alias("ends")).distinct().withColumn("some", F.lit(True))
-            cur = cur.withColumn("ends", F.xxhash64("node", "goal", "day")).join(F.broadcast(ends), "ends", "left").where("node = goal or some").drop("ends", "some")
+        cur = _leads_back(cur, half, few)
         leads_back = (F.col("node") == F.col("from")) & (F.col("goal") == F.col("to")) & (F.col("day") == F.col("on"))
         live = (F.col("newest") < F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq"))) & (F.col("oldest_ms") >= F.col("ts_ms") - cfg.edge_ttl_ms)
         cur = cur.join(half, leads_back, "left").where((F.col("node") == F.col("goal")) | (live & ~F.coalesce(F.array_contains(_path(ahead), F.col("mid")), F.lit(False))))
         rest = F.when(F.col("node") != F.col("goal"), F.array_compact(F.array("mid", "goal")))
-        path, hops = F.concat(_path(ahead), F.coalesce(rest, F.array().cast("array<string>"))), F.concat(_hops(ahead), F.coalesce("rest", F.array().cast("array<string>")))
+        none = F.array().cast("array<long>")
+        path, hops = F.concat(_path(ahead), F.coalesce(rest, none)), F.concat(_hops(ahead), F.coalesce("rest", none))
     else:
         cur, path, hops = cur.where("node = goal"), _path(ahead), _hops(ahead)
     every = cur.select("seq", path.alias("path"), hops.alias("hops"))
     for f in found:
         every = every.union(f)
-    best = every.groupBy("seq").agg(F.min(F.struct("hops", "path")).alias("b"))
-    out = materialize(best.select("seq", "b.path", "b.hops"))
-    drop(*tables)
-    return out
+    return every.groupBy("seq").agg(F.min(F.struct("hops", "path")).alias("b")).select("seq", "b.path", "b.hops"), tables
+
+
+def _leads_back(cur: DataFrame, half: DataFrame, few: int) -> DataFrame:
+    """Paths ahead that may have a half path, before they are shuffled: most have none.
+
+    Ends of half paths set bits of bitmaps, 16 or more for each end and 16 MB at most, which are broadcast; beyond four times ``few`` half
+    paths bits would be too full to tell, and all paths go on.
+    """
+    n = half.count()
+    if n > 4 * few:
+        return cur
+    size = 1 << 15  # bits of one of Spark's bitmaps
+    bits = size * min(1 << 12, max(1, math.ceil(16 * n / size)))
+    bit = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(bits))
+    ends = half.select(bit("from", "to").alias("bit")).distinct()
+    maps = ends.groupBy(F.floor(F.col("bit") / size).alias("_map")).agg(F.bitmap_construct_agg(F.col("bit") % size).alias("_bits"))
+    cur = cur.withColumn("_bit", bit("node", "goal")).withColumn("_map", F.floor(F.col("_bit") / size))
+    octet = F.conv(F.hex(F.substring("_bits", (F.col("_bit") % size / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = F.expr("shiftright(_octet, cast(_bit % 8 as int)) & 1") == 1
+    return cur.join(F.broadcast(maps), "_map", "left").withColumn("_octet", octet).where((F.col("node") == F.col("goal")) | some).drop("_map", "_bit", "_bits", "_octet")
 
 
 def _path(i: int):

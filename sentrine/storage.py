@@ -38,6 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def append(table: DataFrame | None, df: DataFrame) -> DataFrame:
+    """A materialized table with the rows of ``df`` added; without a table, a new one."""
+    if table is None:
+        return materialize(df)
+    path = table._sentrine_path
+    df.write.mode("append").parquet(path)
+    out = df.sparkSession.read.schema(table.schema).parquet(path)
+    out._sentrine_path = path
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)

@@ -186,6 +186,37 @@ def test_ring_search_through_crowded_accounts(spark):
     assert all(len(r.cycle) <= 4 for r in G.ring_cycles(e, short).collect())
 
 
+def test_ring_search_writes_a_slice_at_a_time(spark, monkeypatch):
+    """No table has more than a slice of the paths, an account of many starts is in several, and all slices together find what one finds and plain loops find."""
+    rng = random.Random(4)
+    who = lambda: f"u{rng.randrange(60)}" if rng.random() < 0.8 else "u0"
+    rows = [{"user": who(), "to": who(), "at": 60 * i} for i in range(500)]
+    e = materialize(G.build_edges(txns(spark, rows)))
+    cfg = type(D.DEFAULT)(max_edges=20)
+    starts = e.select("seq", "ts_ms", F.col("src").alias("goal"), F.col("dst").alias("node"))
+    gone, drop = [], G.drop
+    monkeypatch.setattr(G, "drop", lambda *tables: gone.extend(df.count() for df in tables) or drop(*tables))
+    whole = {r.seq: (r.path, r.hops) for r in G.expand_paths(starts, e, cfg).collect()}
+    largest = max(gone)
+    gone.clear()
+    assert {r.seq: (r.path, r.hops) for r in G.expand_paths(starts, e, cfg, few=6_000).collect()} == whole
+    assert max(gone) < 0.7 * largest
+    edges, mine, want = [(r.seq, r.src, r.dst) for r in e.orderBy("seq").collect()], {}, {}
+
+    def walk(goal, node, path, hops):
+        if node == goal:
+            return path, [edges[j][0] for j in hops]
+        for j in mine.get(node, [])[-20:] if len(hops) < 3 else []:
+            if edges[j][2] not in path and (got := walk(goal, edges[j][2], [*path, edges[j][2]], [*hops, j])):
+                return got
+
+    for i, (seq, src, dst) in enumerate(edges):
+        if got := walk(src, dst, [dst], []):
+            want[seq] = got
+        mine.setdefault(src, []).append(i)
+    assert len(want) > 100 and all(whole[seq] == got for seq, got in want.items() if len(whole[seq][1]) < 4)
+
+
 def test_a_busy_account_is_counted_in_chunks(spark):
     """A third of all rows are of one account; counts, sums and deviations against plain loops, with nulls and equal times."""
     rng = random.Random(3)
