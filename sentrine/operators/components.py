@@ -19,7 +19,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Each round contracts every neighbourhood to its smallest member, so the number of rounds is logarithmic in
     the diameter. Minima are combined before the shuffle and the joins are plain equi-joins that adaptive
     execution can split, so one hub with a third of all edges does not end in one task. Edges with a null end
-    are ignored; self-edges give a node without links. An empty input gives an empty result.
+    are ignored; self-edges give a node without links. An empty input gives an empty result. ``drop`` of the result
+    deletes the table it is read from, when it has been written.
     """
     a, b = F.col(src), F.col(dst)
     given = edges.where(a.isNotNull() & b.isNotNull())
@@ -43,4 +44,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     linked = found.union(roots)
     alone = selfs.join(linked.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    return linked.union(alone)
+    out = linked.union(alone)
+    out._sentrine_path = cur._sentrine_path
+    return out

@@ -172,11 +172,19 @@ def dense_accounts(step: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return n.where(F.least("i", "o") > cfg.max_edges**2).select("mid", "day")
 
 
+def _placed(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows with their ``global_rank`` as ``name``, written."""
+    ranked = global_rank(rows, *order)
+    out = materialize(ranked.withColumnRenamed("rank", name))
+    drop(ranked)
+    return out
+
+
 def numbered(starts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Starts and edges with numbers for ``seq`` and accounts, in the order of their names; and the names of both, ``seq, no`` and ``node, id``."""
-    order = materialize(global_rank(edges.select("seq").union(starts.select("seq")).distinct(), "seq").withColumnRenamed("rank", "no"))
+    order = _placed(edges.select("seq").union(starts.select("seq")).distinct(), "no", "seq")
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(starts.select("goal")).union(starts.select("node")).distinct()
-    names = materialize(global_rank(ends, "node").withColumnRenamed("rank", "id"))
+    names = _placed(ends, "id", "node")
 
     def plain(rows: DataFrame, *ends: str) -> DataFrame:
         rows = rows.join(order, "seq").drop("seq").withColumnRenamed("no", "seq")
@@ -411,17 +419,20 @@ def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 18) -
     ``t`` may carry ``size_a, size_b``, where accounts stand for several.
     """
     one = F.lit(1).cast("long")
-    linked = F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))
+    moves = F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))
     sizes = [F.col(c) if c in t.columns else one.alias(c) for c in ("size_a", "size_b")]
-    rows = t.select("seq", F.col("ts_ms").alias("at"), F.lit(0).alias("end"), F.col("src").alias("a"), F.when(linked, F.col("dst")).otherwise(F.col("src")).alias("b"), *sizes)
+    rows = t.select("seq", F.col("ts_ms").alias("at"), F.lit(0).alias("end"), F.col("src").alias("a"), F.when(moves, F.col("dst")).otherwise(F.col("src")).alias("b"), *sizes)
     if window_ms is not None:
         ends = rows.where("a != b").select("seq", (F.col("at") + window_ms).alias("at"), F.lit(1).alias("end"))
-        placed = global_rank(rows.unionByName(ends, allowMissingColumns=True), "at", "end", "seq")
-        placed = materialize(placed.withColumn("rank", F.col("rank") - 1))
+        rows = rows.unionByName(ends, allowMissingColumns=True)
+    ranked = global_rank(rows, "at", "end", "seq")
+    placed = materialize(ranked.withColumn("rank", F.col("rank") - 1))
+    drop(ranked)
+    if window_ms is not None:
         over = placed.where("end = 1").select("seq", F.col("rank").alias("hi"))
         rows = placed.where("end = 0").join(over, "seq", "left")
     else:
-        placed = rows = materialize(global_rank(rows, "at", "end", "seq").withColumn("rank", F.col("rank") - 1).withColumn("hi", F.lit(None).cast("long")))
+        rows = placed.withColumn("hi", F.lit(None).cast("long"))
     n = placed.count()
     slices = 1
     while slices * block < n:
@@ -440,7 +451,8 @@ def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 18) -
         half = materialize(half)
         whole = half.where("through")
         nodes = whole.select(tag("a").alias("node"), F.col("size_a").alias("size")).union(whole.select(tag("b"), "size_b")).distinct()
-        comp = connected_components(whole.select(tag("a").alias("src"), tag("b").alias("dst"))).join(nodes, "node")
+        linked = connected_components(whole.select(tag("a").alias("src"), tag("b").alias("dst")))
+        comp = linked.join(nodes, "node")
         totals = comp.groupBy("component").agg(F.sum("size").alias("total"))
         comp = materialize(comp.join(totals, "component").select("node", F.regexp_replace("component", "^[0-9]+:", "").alias("to"), "total"))
         out = half.where("not through").drop("through")
@@ -449,9 +461,10 @@ def component_sizes(t: DataFrame, window_ms: int | None, block: int = 1 << 18) -
             out = out.join(found, tag(side) == F.col(f"node_{side}"), "left")
         moved = lambda new, old: F.coalesce(F.col(new), F.col(old)).alias(old)
         rows = materialize(out.select("part", "seq", "lo", "hi", "lo_s", "hi_s", moved("to_a", "a"), moved("to_b", "b"), moved("total_a", "size_a"), moved("total_b", "size_b")))
-        drop(*tables, half, comp)
+        drop(*tables, half, linked, comp)
+        release(t.sparkSession)
         tables = [rows]
-    return rows.groupBy("part").applyInPandas(_replay, "seq string, component_size long")
+    return rows.groupBy("part").applyInPandas(_replay, f"seq {t.schema['seq'].dataType.simpleString()}, component_size long")
 
 
 def _replay(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -255,6 +255,17 @@ def test_plans_read_each_table_few_times(spark):
     assert read(f) <= 5 and [r.chain_depth for r in f.orderBy("seq").collect()] == [*range(11), 10]
 
 
+def test_features_carry_few_columns(spark, monkeypatch):
+    """Whole payments are written once, however many groups of features there are; each row stays one, repeated ones and one without a place too."""
+    t = txns(spark, [{"at": 60 * i, "user": f"u_{i % 3}", "to": f"u_{(i + 1) % 3}", "amount": 1000 - i} for i in range(6)])
+    t = t.union(t.where("txn_id = 't0002'")).union(t.where("txn_id = 't0005'").withColumn("seq", F.lit(None).cast("string")))
+    written, write = [], D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df: written.append(df.columns) or write(df))
+    got = D.features(t).select("txn_id", "cnt1h", "in_cycle").collect()
+    assert sorted(r.txn_id for r in got) == sorted([*(f"t000{i}" for i in range(6)), "t0002", "t0005"])
+    assert [c for c in written if "merchant_id" in c] == written[:1] and any(r.in_cycle for r in got)
+
+
 def test_pulse_by_sketches(spark):
     """Rates over what the last ten seconds cover, and ranks within the stated error."""
     rng = random.Random(5)
