@@ -266,6 +266,13 @@ def test_features_carry_few_columns(spark, monkeypatch):
     assert [c for c in written if "merchant_id" in c] == written[:1] and any(r.in_cycle for r in got)
 
 
+def test_ids_that_come_once_move_no_rows(spark):
+    rows = [(f"t{i}", i) for i in range(9)] + [(None, 4), ("t0", None)]
+    once = U.dedup_first(spark.createDataFrame(rows, "txn_id string, ts_ms long"), 10)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and sorted(map(tuple, once.collect())) == rows[:9]
+
+
 def test_pulse_by_sketches(spark):
     """Rates over what the last ten seconds cover, and ranks within the stated error."""
     rng = random.Random(5)
